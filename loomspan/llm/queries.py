@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import simhash
+from loomspan.llm import decontamination, ensemble, mixing, rules, simhash
 from loomspan.llm.common import table
 
 
@@ -16,9 +16,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.report(found).drop("text")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = rules.learned(docs, table(spark, sf_dir, "labels"))
+    return rules.judged(docs, found).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ensemble.fit(docs, table(spark, sf_dir, "labels"))
+    return ensemble.scored(docs, model).select("doc_id", ensemble.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+DOCUMENTS = "select doc_id, text, source from documents"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {
+        "op1_simhash": op1_simhash,
+        "op5_decontamination": op5_decontamination,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_mixing": op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": decontamination.SQL.replace("{rows}", DOCUMENTS),
+        "op9_mixing": mixing.SQL.replace("{rows}", DOCUMENTS),
+    }
