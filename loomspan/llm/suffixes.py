@@ -388,11 +388,12 @@ def _cut(data: bytes, spans: list[dict] | None) -> tuple[list[bytes], int, int]:
     return left, removed, runs
 
 
-def _joined(df: DataFrame, text_col: str, options: dict) -> DataFrame:
-    marks = repeated_bytes(df, text_col, **options)
+def _joined(df: DataFrame, own: Column, text_col: str, options: dict) -> DataFrame:
+    """own, text and the spans to be removed from it."""
+    marks = repeated_bytes(df.select(text_col), text_col, **options)
     arrow_batches(df.sparkSession, 500)
-    rows = df.select(F.struct(*df.columns).alias("row"), *text_key(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.join(marks, ["t1", "t2"], "left")
+    rows = df.select(own.alias("own"), *text_key(F.col(text_col)), F.col(text_col).alias("text"))
+    return rows.join(marks, ["t1", "t2"], "left").select("own", "text", "spans")
 
 
 def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -413,7 +414,7 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     to.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _joined(df.select(id_col, text_col), text_col, options).select(F.col(f"row.{id_col}").alias("id"), "text", "spans")
+    joined = _joined(df, F.col(id_col), text_col, options)
     return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -422,9 +423,10 @@ def without_repeats(df: DataFrame, text_col: str = "text", **options) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [None if s is None and t is None else b"".join(_cut(_bytes(t), s)[0]).decode("utf-8", "ignore") for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["row", "kept"])
+            kept = [None if t is None else b"".join(_cut(_bytes(t), s)[0]).decode("utf-8", "ignore") for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["own", "kept"])
 
-    joined = _joined(df, text_col, options).select("row", "text", "spans")
-    out = joined.mapInArrow(run, T.StructType([joined.schema["row"], T.StructField("kept", T.StringType())]))
-    return out.select(*[F.when(F.col(f"row.`{c}`").isNotNull(), F.col("kept")).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
+    others = [c for c in df.columns if c != text_col]
+    joined = _joined(df, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]), text_col, options)
+    out = joined.mapInArrow(run, T.StructType([joined.schema["own"], T.StructField("kept", T.StringType())]))
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in df.columns])
