@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "chunk_documents"
-MODULES = ("transcripts",)
+MODULES = ("transcripts", "routing")
 
 
 def _all(name: str) -> dict:
