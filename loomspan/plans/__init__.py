@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "chunk_documents"
-MODULES = ("transcripts", "routing")
+MODULES = ("transcripts", "routing", "images", "jobs", "quality")
 
 
 def _all(name: str) -> dict:
