@@ -44,7 +44,7 @@ TEMPLATES = {
 #: Paragraphs about licences of no family above.
 OTHERS = ["All rights reserved", "Licensed under the terms of the Example Corporation agreement", "This work is licensed under a proprietary license", "Released under a custom license", "Licensed to the customer under the master license agreement, version 7", "Redistribution of this material is not permitted without a license", "Copyright held by the authors, license on request"]
 #: Words that are no feature on their own, and no reason to look at a paragraph.
-COMMON = frozenset("a an and are as at by either for free form in into is it mit of on or published use any person this to under with without you 0 1 2 3 4".split())
+COMMON = frozenset("a all an and are as at be by either for free form in into is it mit of on or published use any person nd not that the this to under was with without you 0 1 2 3 4".split())
 FILLERS = "the river over market green walking number theory people often small light winter train paper answer question garden music table".split()
 VARIANTS = 40
 SALADS = 1200
