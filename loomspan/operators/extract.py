@@ -133,7 +133,7 @@ def pipe_tables(text: str) -> list[dict]:
             end += 1
         if end - i >= 2:
             rows = [_cells(x) for x in lines[i:end]]
-            if all(re.fullmatch(r":?-{3,}:?", c) for c in rows[1]):
+            if all(re.fullmatch(r":?-+:?", c) for c in rows[1]):
                 del rows[1]
             if not any(rows[0]) and len(rows) > 1:
                 del rows[0]
