@@ -73,7 +73,8 @@ def _plan(scored: DataFrame, scratch: Scratch, weights: Sequence[float], share:
     inside = under.where("slice = cut").withColumn("upto", F.col("before") + F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = inside.where("upto + words / 2 <= rest").select("source", F.struct("key", "id", "size").alias("last"))
     last = wholly.union(inside).groupBy(F.col("source").alias("of")).agg(F.max("last").alias("last"))
-    return goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "fraction", "last")
+    # Written, so that Spark knows its size and sends it to all tasks where that is small, as few sources are.
+    return scratch.write(goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select(F.col("source").alias("of"), "source_size", "target", "whole", "fraction", "last"), "plan")
 
 
 def pareto_key(u: Column, inclusion: Column) -> Column:
