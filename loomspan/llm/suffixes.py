@@ -206,6 +206,8 @@ class SuffixIndex:
             both = both.union(level.withColumn("new", F.lit(False)))
         both = both.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "full", "t1", "t2", "place")
         hits = self.scratch.write(both.mapInArrow(_scan, HITS), f"hits-{self.count}")
+        del both
+        self.scratch.release()
         if last:
             return hits
         rank, merged, gone = 0, rows, []
@@ -215,8 +217,10 @@ class SuffixIndex:
             gone.append(old)
         merged = merged.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "full", "t1", "t2", "place")
         self.levels.append((rank, name, self.scratch.write(merged, name)))
+        del merged
         for old in gone:
             self.scratch.drop(old)
+        self.scratch.release()
         return hits
 
 
@@ -355,6 +359,10 @@ def repeated_bytes(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     arrow_batches(spark, 500)
     near = texts.where(F.octet_length("text") >= length).join(leads, ["t1", "t2"]).select("t1", "t2", "text", "leads").mapInArrow(_neighbourhoods(length), NEAR)
     near = scratch.write(near.dropDuplicates(["key", "full"]), "neighbourhoods")
+    scratch.drop("suffixes")
+    for k in range(1, batches):
+        scratch.drop(f"level-{k}")
+    scratch.release()
     busy = scratch.write(near.groupBy("key").count().where(F.col("count") > neighbours).select("key"), "busy")
     usual = near if busy.isEmpty() else near.join(busy, "key", "left_anti")
     partial = usual.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_compare(length), MARKS)
@@ -363,10 +371,9 @@ def repeated_bytes(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     whole = found.where("repeated").select("t1", "t2", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(0xFFFF) + length).alias("stop"))
     copies = texts.select("t1", "t2", F.octet_length("text").cast("long").alias("stop")).where(F.col("stop") >= length).groupBy("t1", "t2", "stop").count().where("count > 1")
     marks = scratch.write(whole.union(partial).union(copies.select("t1", "t2", F.lit(0).cast("long"), "stop")).distinct(), "marks")
-    scratch.drop("suffixes")
     scratch.drop("neighbourhoods")
-    for k in range(1, batches):
-        scratch.drop(f"level-{k}")
+    for k in range(1, batches + 1):
+        scratch.drop(f"hits-{k}")
     scratch.release()
     return marks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
