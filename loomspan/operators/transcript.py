@@ -229,3 +229,15 @@ def missing_provenance(segments: DataFrame, output: DataFrame) -> DataFrame:
     """Segments with a text whose id is not found in their source's output (source_id, output)."""
     joined = segments.where("text <> ''").join(output, "source_id", "left")
     return joined.where(~F.coalesce(F.contains("output", F.col("segment_id")), F.lit(False))).select("source_id", "segment_id")
+
+
+def rendered(segments: DataFrame) -> DataFrame:
+    """Markdown of each transcript: a line per segment with its times, speaker and warnings, then a table for review."""
+    line = F.concat(F.lit("- ["), timestamp_label(F.col("start_ms")), F.lit(" - "), timestamp_label(F.col("end_ms")), F.lit("] **"), F.col("speaker"), F.lit(":** "), F.when(F.col("text") == "", "_(no speech)_").otherwise(F.col("text")))
+    cell = F.trim(F.replace(F.replace(F.col("text"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
+    audit = F.concat(F.lit("| "), F.col("segment_id"), F.lit(" | "), F.array_join("warnings", ", "), F.lit(" | "), cell, F.lit(" |"))
+    rows = segments.select("source_id", "segment_index", line.alias("line"), F.when(F.size("warnings") > 0, audit).alias("audit"))
+    both = F.array_sort(F.collect_list(F.struct("segment_index", "line", "audit")))
+    of = lambda name: F.array_join(F.transform(F.filter("rows", lambda r: r[name].isNotNull()), lambda r: r[name]), "\n")
+    head = F.concat(F.lit("# Transcript "), F.col("source_id"), F.lit("\n\n"))
+    return rows.groupBy("source_id").agg(both.alias("rows")).select("source_id", F.concat(head, of("line"), F.when(of("audit") != "", F.concat(F.lit("\n\n## Review\n\n| segment | warnings | text |\n| --- | --- | --- |\n"), of("audit"))).otherwise("")).alias("markdown"))

@@ -143,7 +143,23 @@ def payload_html(s, d):
     return table(s, d, "nation").select("n_nationkey", F.concat(F.lit("<table><tr><th>"), esc(F.concat("n_name", F.lit("<&>"))), F.lit("</th></tr></table>")).alias("html"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, chunk_coverage, chunk_neighbours, neighbour_links, semantic_read, line_offsets, heading_paths, page_markers, line_kinds, captions, contextual_text, retrieval, content_types, html_titles, html_links, html_to_markdown, page_chunks, table_cells, stitched_tables, table_union, chart_pivot, local_context, payload_html)}
+def chunk_strategies(s, d):
+    """Names of chunking strategies and what runs for them."""
+    names = F.element_at(F.array(*[F.lit(x) for x in ("", "Markdown", "by_title", "unstructured", "other")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    low = F.lower(F.trim(names))
+    run = F.when(low.isin("", "markdown", "headings"), "markdown_blocks").when(low.isin("by_title", "unstructured"), F.when(F.col("p_size") > 10, "markdown_blocks_fallback").otherwise("refused")).otherwise("unknown")
+    return table(s, d, "part").select("p_partkey", run.alias("strategy"))
+
+
+def normalized_lines(s, d):
+    """First line of a document that equals a wanted one once markup and case are taken away."""
+    plain = lambda c: F.trim(F.lower(F.regexp_replace(F.regexp_replace(c, "^[#>*+-]+ *", ""), "[ \\t]+", " ")))
+    rows = _marked(s, d).select("id", "line_no", plain(F.col("line")).alias("n"))
+    want = rows.where("line_no = 1").select("id", F.col("n").alias("want"))
+    return rows.join(want, "id").where("n = want and line_no > 1").groupBy(F.col("id").alias("doc_id")).agg(F.min("line_no").alias("line_no"))
+
+
+QUERIES = {f.__name__: f for f in (chunk_documents, chunk_coverage, chunk_neighbours, neighbour_links, semantic_read, line_offsets, heading_paths, page_markers, line_kinds, captions, contextual_text, retrieval, content_types, html_titles, html_links, html_to_markdown, page_chunks, table_cells, stitched_tables, table_union, chart_pivot, local_context, payload_html, chunk_strategies, normalized_lines)}
 
 LINES = "ls as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents)"
 MARKED = LINES + """, mk as (select doc_id, line_no, case when line_no % 7 = 1 then '# ' || l when line_no % 7 = 3 then '## ' || l when line_no % 7 = 4 then '### ' || l when line_no % 11 = 5 then '<!-- pages: ' || line_no || '-' || (line_no + 2) || ' -->'
@@ -167,5 +183,7 @@ SQL = {
     "table_union": "with t as (select p_partkey, p_size, p_brand, 'markdown' as source from part where p_partkey % 2 = 0 union all select p_partkey, p_size, p_brand, 'html' from part where p_partkey % 3 = 0) select p_partkey, source, case when p_size > 25 then p_brand else 'table:' || source end as evidence from t",
     "chart_pivot": "with g as (select l_orderkey as chart, l_linenumber as x, coalesce(max(l_quantity) filter (l_returnflag = 'A'), 0.0) as a, coalesce(max(l_quantity) filter (l_returnflag = 'N'), 0.0) as n, coalesce(max(l_quantity) filter (l_returnflag = 'R'), 0.0) as r from lineitem group by 1, 2) select *, row_number() over (partition by chart order by x) as row from g",
     "local_context": "select conv_id, turn, coalesce(string_agg(substr(text, 1, 20), ' ') over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), '') as context_before, coalesce(string_agg(substr(text, 1, 20), ' ') over (partition by conv_id order by turn rows between 1 following and 1 following), '') as context_after from conversations",
+    "chunk_strategies": "select p_partkey, case p_partkey % 5 when 0 then 'markdown_blocks' when 1 then 'markdown_blocks' when 4 then 'unknown' else case when p_size > 10 then 'markdown_blocks_fallback' else 'refused' end end as strategy from part",
+    "normalized_lines": f"with {MARKED}, n as (select doc_id, line_no, trim(lower(regexp_replace(regexp_replace(line, '^[#>*+-]+ *', ''), '[ \\t]+', ' ', 'g'))) as n from mk) select a.doc_id, min(a.line_no) as line_no from n a join n b on a.doc_id = b.doc_id and b.line_no = 1 and a.n = b.n and a.line_no > 1 group by 1",
     "payload_html": "select n_nationkey, '<table><tr><th>' || n_name || '&lt;&amp;&gt;</th></tr></table>' as html from nation",
 }

@@ -186,7 +186,19 @@ def frame_labels(s, d):
     return e.select("event_id", F.when(bright < 64, "dark").when(bright > 192, "bright").otherwise("medium").alias("brightness"), colour.alias("colour"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, multi_source_brief, provenance_gaps, frame_labels)}
+def transcript_markdown(s, d):
+    return T.rendered(_esegs(s, d)).select("source_id", F.sha2("markdown", 256).alias("markdown_sha256"), F.length("markdown").cast("long").alias("n_chars"))
+
+
+def word_rows(s, d):
+    """Words of a segment: empty ones go, times are in milliseconds and never run backwards."""
+    e = table(s, d, "events")
+    words = F.array(*[F.struct(F.trim(w).alias("word"), (F.col("value") + k).alias("start"), (F.col("value") + k - 0.5 * (F.col("event_id") % 3)).alias("end")) for k, w in enumerate((F.col("event_type"), F.lit(" "), F.col("user_id").cast("string")))])
+    own = F.transform(F.filter(words, lambda w: w["word"] != ""), lambda w: F.struct(w["word"].alias("word"), T.to_ms(w["start"]).alias("start_ms"), F.greatest(T.to_ms(w["start"]), T.to_ms(w["end"])).alias("end_ms")))
+    return e.select("event_id", F.explode(own).alias("w")).select("event_id", "w.word", "w.start_ms", "w.end_ms")
+
+
+QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, multi_source_brief, provenance_gaps, frame_labels, transcript_markdown, word_rows)}
 QUERIES["speaker_summary"] = lambda s, d: T.speaker_summary(_segs(s, d))
 QUERIES["contradictions"] = lambda s, d: T.contradictions(table(s, d, "documents").where("length(text) < 1500").select(F.col("source").alias("source_id"), F.col("doc_id").alias("segment_index"), F.col("text")))
 
@@ -230,6 +242,8 @@ SQL = {
     "vocabulary_report": f"with {TURNS}, t as (select source_id, lower(text) as low, unnest({_list(tuple(TERMS))}) as term from segs) select source_id, term, count(*) filter (contains(low, lower(term))) as segments_with_term, count(*) filter (contains(low, lower(term))) > 0 as hit from t group by 1, 2",
     "metadata_compaction": f"with {EVENT_SEGS} select source_id, count(*) filter (segment_index <= 20) as kept, count(*) filter (segment_index > 20) as omitted, sum(length(text)) filter (segment_index <= 20)::bigint as kept_chars from segs group by source_id",
     "multi_source_brief": f"with {TURNS} select source_id, arg_min(text, segment_index) filter (text <> '') as brief, sha256(string_agg(text, chr(10) order by segment_index)) as timeline_sha256, count(*) as segments from segs group by source_id",
+    "transcript_markdown": f"with {EVENT_SEGS}, l as (select source_id, segment_index, '- [' || {LABEL.format(ms='start_ms')} || ' - ' || {LABEL.format(ms='end_ms')} || '] **' || speaker || ':** ' || case when text = '' then '_(no speech)_' else text end as line, case when len(warnings) > 0 then '| ' || segment_id || ' | ' || array_to_string(warnings, ', ') || ' | ' || text || ' |' end as audit from segs), m as (select source_id, '# Transcript ' || source_id || chr(10) || chr(10) || string_agg(line, chr(10) order by segment_index) || coalesce(chr(10) || chr(10) || '## Review' || chr(10) || chr(10) || '| segment | warnings | text |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(audit, chr(10) order by segment_index) filter (audit is not null), '') as markdown from l group by 1) select source_id, sha256(markdown) as markdown_sha256, length(markdown) as n_chars from m",
+    "word_rows": "with w as (select event_id, event_type as word, value as s, value - 0.5::double * (event_id % 3) as e from events union all select event_id, user_id::varchar, value + 2, value + 2 - 0.5::double * (event_id % 3) from events) select event_id, word, round_even(s * 1000, 0)::bigint as start_ms, greatest(round_even(s * 1000, 0), round_even(e * 1000, 0))::bigint as end_ms from w",
     "provenance_gaps": f"with {TURNS} select source_id, segment_id from segs where text <> '' and segment_index % 3 = 0",
     "frame_labels": "with e as (select event_id, floor(value / 2)::bigint as r from events), c as (select event_id, r, (r * 7) % 256 as g, (r * 3) % 256 as b from e), x as (select *, (r * 299 + g * 587 + b * 114) / 1000.0::double as l, greatest(r, g, b) - least(r, g, b) as spread from c) select event_id, case when l < 64 then 'dark' when l > 192 then 'bright' else 'medium' end as brightness, case when spread < 20 then 'neutral' when r >= g and r >= b then 'red' when g >= b then 'green' else 'blue' end as colour from x",
 }
