@@ -190,6 +190,10 @@ def _merge(folder: str):
                 own = [add(n), add(n == 1), add(n == 2), add(n > 2), zero, zero] if of_context else [zero, zero, zero, zero, add(n), add(n > 0)]
                 sums.append([column[order[first]].view(np.int64), *own])
             rows = [np.concatenate(c) for c in zip(*sums, strict=True)]
+            # Most words are contexts too: one row for both.
+            order = np.argsort(rows[0], kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], rows[0][order][1:] != rows[0][order][:-1])))
+            rows = [rows[0][order][first], *(np.add.reduceat(c[order], first) for c in rows[1:])]
             tally = np.zeros((4, len(rows[0])), np.int64)
             tally[:, 0] = [(n == i).sum() for i in (1, 2, 3, 4)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, *tally)], _SUMS)
