@@ -12,9 +12,9 @@ from loomspan.functions import lexicons as L
 
 #: Extension, MIME type, engine, category, confidence, whether neural models are needed (fixed values).
 REGISTRY = (
-    (".pdf", "application/pdf", "marker_pdf", "document", 0.75, True), (".jpg", "image/jpeg", "marker_pdf", "image", 1.0, True), (".jpeg", "image/jpeg", "marker_pdf", "image", 1.0, True),
-    (".png", "image/png", "marker_pdf", "image", 1.0, True), (".webp", "image/webp", "marker_pdf", "image", 1.0, True), (".tiff", "image/tiff", "marker_pdf", "image", 1.0, True),
-    (".bmp", "image/bmp", "marker_pdf", "image", 1.0, True), (".gif", "image/gif", "marker_pdf", "image", 1.0, True), (".epub", "application/epub+zip", "marker_pdf", "ebook", 1.0, True),
+    (".pdf", "application/pdf", "deep_pdf", "document", 0.75, True), (".jpg", "image/jpeg", "deep_pdf", "image", 1.0, True), (".jpeg", "image/jpeg", "deep_pdf", "image", 1.0, True),
+    (".png", "image/png", "deep_pdf", "image", 1.0, True), (".webp", "image/webp", "deep_pdf", "image", 1.0, True), (".tiff", "image/tiff", "deep_pdf", "image", 1.0, True),
+    (".bmp", "image/bmp", "deep_pdf", "image", 1.0, True), (".gif", "image/gif", "deep_pdf", "image", 1.0, True), (".epub", "application/epub+zip", "deep_pdf", "ebook", 1.0, True),
     (".wav", "audio/wav", "audio", "audio", 0.95, False), (".mp3", "audio/mpeg", "audio", "audio", 0.95, False), (".m4a", "audio/mp4", "audio", "audio", 0.95, False),
     (".flac", "audio/flac", "audio", "audio", 0.95, False), (".ogg", "audio/ogg", "audio", "audio", 0.95, False), (".aac", "audio/aac", "audio", "audio", 0.95, False),
     (".mp4", "video/mp4", "video", "video", 0.90, False), (".mov", "video/quicktime", "video", "video", 0.90, False), (".mkv", "video/x-matroska", "video", "video", 0.90, False),
@@ -29,7 +29,7 @@ REGISTRY = (
     (".ipynb", "application/x-ipynb+json", "notebook", "notebook", 0.95, False), (".zip", "application/zip", "archive", "archive", 0.90, False),
 )
 OUTPUT_FORMATS = ("markdown", "html", "json", "chunks")
-FALLBACK = ("marker_pdf", 0.3)
+FALLBACK = ("deep_pdf", 0.3)
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -47,7 +47,7 @@ def plan_engines(df: DataFrame, path_col: str) -> DataFrame:
     out = df.withColumn("extension", extension(F.col(path_col))).join(known, "extension", "left")
     out = out.withColumn("known", F.col("engine").isNotNull())
     out = out.withColumn("engine", F.coalesce("engine", F.lit(FALLBACK[0]))).withColumn("confidence", F.coalesce("confidence", F.lit(FALLBACK[1])))
-    return out.withColumn("needs_models", F.coalesce("needs_models", F.lit(True))).withColumn("backend", F.when(F.col("needs_models"), "marker_worker").otherwise("cpu_thread"))
+    return out.withColumn("needs_models", F.coalesce("needs_models", F.lit(True))).withColumn("backend", F.when(F.col("needs_models"), "model_worker").otherwise("cpu_thread"))
 
 
 def by_mime(df: DataFrame, mime_col: str) -> DataFrame:
@@ -137,7 +137,7 @@ def plan_pdf(safe: Column, probed: Column, profile: Column, forced: Column) -> C
     made = lambda e, c: F.struct(F.lit(e).alias("engine"), F.lit(c).alias("confidence"))
     fast = F.lower(profile).isin("fast", "fast_path", "fast-path")
     hard = forced | F.lower(profile).isin("high_accuracy", "high-accuracy", "accuracy")
-    return F.when(fast & ~hard & probed, made("liteparse_pdf", 0.65)).when(fast & ~hard, made("liteparse_pdf", 0.55)).when(probed & safe & ~hard, made("liteparse_pdf", 0.92)).when(probed | hard, made("marker_pdf", 1.0)).otherwise(made("marker_pdf", 0.75))
+    return F.when(fast & ~hard & probed, made("fast_pdf", 0.65)).when(fast & ~hard, made("fast_pdf", 0.55)).when(probed & safe & ~hard, made("fast_pdf", 0.92)).when(probed | hard, made("deep_pdf", 1.0)).otherwise(made("deep_pdf", 0.75))
 
 
 def sample_pages(page: Column, total: Column, extended: Column) -> Column:

@@ -117,7 +117,7 @@ def output_formats(s, d):
 
 def renderable_formats(s, d):
     out = R.plan_engines(_paths(s, d), "path")
-    multi = F.col("engine") == "marker_pdf"
+    multi = F.col("engine") == "deep_pdf"
     return out.select("p_partkey", F.when(multi, F.lit(",".join(R.OUTPUT_FORMATS))).otherwise(F.lit("markdown,chunks")).alias("renderable"))
 
 
@@ -151,8 +151,8 @@ def ocr_targets(s, d):
 
 def hybrid_engines(s, d):
     k = F.col("doc_id")
-    prefer = F.when(k % 3 == 0, F.array(F.lit("paddle"), F.lit("glm"), F.lit("surya"))).otherwise(F.array(F.lit("glm"), F.lit("surya")))
-    have = F.when(k % 2 == 0, F.array(F.lit("surya"), F.lit("glm"))).otherwise(F.array(F.lit("surya")))
+    prefer = F.when(k % 3 == 0, F.array(F.lit("paddle"), F.lit("glm"), F.lit("layout_ocr"))).otherwise(F.array(F.lit("glm"), F.lit("layout_ocr")))
+    have = F.when(k % 2 == 0, F.array(F.lit("layout_ocr"), F.lit("glm"))).otherwise(F.array(F.lit("layout_ocr")))
     return table(s, d, "documents").select("doc_id", F.get(F.filter(prefer, lambda e: F.array_contains(have, e)), 0).alias("engine"))
 
 
@@ -177,7 +177,7 @@ QUERIES = {f.__name__: f for f in (extension_registry, mime_lookup, engine_overr
 
 _exts = "[" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "]"
 REG = "reg(extension, mime, engine, category, confidence, needs) as (values " + ", ".join(f"('{a}', '{b}', '{c}', '{e}', {f}::double, {str(g).lower()})" for a, b, c, e, f, g in R.REGISTRY) + ")"
-PATHS = f"paths as (select p_partkey, ({_exts})[1 + p_partkey % {len(EXTENSIONS)}] as extension from part), planned as (select p_partkey, p.extension, coalesce(engine, 'marker_pdf') as engine, coalesce(confidence, 0.3) as confidence, engine is not null as known, case when coalesce(needs, true) then 'marker_worker' else 'cpu_thread' end as backend from paths p left join reg using (extension))"
+PATHS = f"paths as (select p_partkey, ({_exts})[1 + p_partkey % {len(EXTENSIONS)}] as extension from part), planned as (select p_partkey, p.extension, coalesce(engine, 'deep_pdf') as engine, coalesce(confidence, 0.3) as confidence, engine is not null as known, case when coalesce(needs, true) then 'model_worker' else 'cpu_thread' end as backend from paths p left join reg using (extension))"
 _mimes = "[" + ", ".join(f"'{r[1]}'" for r in R.REGISTRY) + ", 'x/y']"
 QUALITY = """
 greatest(0.0, least(1.0, (n - len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{a0}\\x{ad}\\x{2028}\\x{2029}]'))) / n::double * 0.65 + least(1.0, len(list_filter(string_split_regex(text, '\\s+'), lambda w: regexp_matches(w, '[\\p{L}\\p{N}]'))) / greatest(1.0, n / 12.0::double)) * 0.35
@@ -194,7 +194,7 @@ SQL = {
     "engine_override": f"with {REG}, {PATHS}, a as (select *, (['auto', 'html', 'text_data', 'nope', 'auto'])[1 + p_partkey % 5] as asked from planned) select p_partkey, asked, case when asked = 'auto' then 'none' when exists (select 1 from reg where reg.engine = asked and reg.extension = a.extension) then 'override' when asked in (select engine from reg) then 'incompatible' else 'unknown' end as action, case when exists (select 1 from reg where reg.engine = asked and reg.extension = a.extension) then asked else engine end as final_engine from a",
     "page_scores": f"with {PROBE} select doc_id, adjustment, round(layer, 6) as layer, round(visual, 6) as visual, round(scan, 6) as scan from p",
     "text_quality": f"with {PROBE} select doc_id, round(quality, 6) as quality from p",
-    "route_plan": f"with {PROBE}, x as (select *, layer >= 0.70 and quality >= 0.80 and scan <= 0.20 and sandwich <= 0.40 and visual <= 0.35 as safe, doc_id % 10 <> 0 as probed, doc_id % 4 = 0 as fast, doc_id % 23 = 0 or doc_id % 4 = 2 as hard from p) select doc_id, case when fast and not hard or probed and safe and not hard then 'liteparse_pdf' else 'marker_pdf' end as engine, case when fast and not hard and probed then 0.65 when fast and not hard then 0.55 when probed and safe and not hard then 0.92 when probed or hard then 1.0 else 0.75 end::double as confidence, concat_ws(',', case when layer < 0.70 then 'text_layer' end, case when quality < 0.80 then 'text_quality' end, case when scan > 0.20 then 'scan' end, case when sandwich > 0.40 then 'sandwich' end, case when visual > 0.35 then 'visual' end) as reasons from x",
+    "route_plan": f"with {PROBE}, x as (select *, layer >= 0.70 and quality >= 0.80 and scan <= 0.20 and sandwich <= 0.40 and visual <= 0.35 as safe, doc_id % 10 <> 0 as probed, doc_id % 4 = 0 as fast, doc_id % 23 = 0 or doc_id % 4 = 2 as hard from p) select doc_id, case when fast and not hard or probed and safe and not hard then 'fast_pdf' else 'deep_pdf' end as engine, case when fast and not hard and probed then 0.65 when fast and not hard then 0.55 when probed and safe and not hard then 0.92 when probed or hard then 1.0 else 0.75 end::double as confidence, concat_ws(',', case when layer < 0.70 then 'text_layer' end, case when quality < 0.80 then 'text_quality' end, case when scan > 0.20 then 'scan' end, case when sandwich > 0.40 then 'sandwich' end, case when visual > 0.35 then 'visual' end) as reasons from x",
     "probe_rollup": f"with {PROBE} select source, count(*) as pages, round(avg(layer), 3) as mean_layer, round(avg(visual), 3) as mean_visual, round(avg(case when layer * 900 >= 80 then 1.0 else 0.0 end), 3) as text_pages, sum(images)::bigint as images from p group by source",
     "routing_segments": f"with {PAGES} select * from sg",
     "page_ranges": "with d as (select distinct l_orderkey as doc, l_linenumber as page from lineitem where l_linenumber > 0), r as (select doc, page, page - row_number() over (partition by doc order by page) as run from d), g as (select doc, min(page) as a, max(page) as b from r group by doc, run) select doc, string_agg(case when a = b then a::varchar else a || '-' || b end, ',' order by a) as page_range from g group by doc",
@@ -203,12 +203,12 @@ SQL = {
     "mixed_plan": f"with {PAGES}, x as (select doc, count(*) as segments, count(*) filter (engine = 'F') as fast from sg group by doc) select doc, segments, segments > 1 as mixed, case when segments > 1 then case when fast * 2 >= segments then 0.86 else 0.80 end else 0.0 end::double as confidence from x",
     "mixed_merge": f"with {PAGES} select doc, sha256(string_agg('<!-- pages: ' || page || ' -->' || chr(10) || engine, chr(10) || chr(10) order by page)) as merged_sha256 from pg group by doc",
     "output_formats": "with a as (select o_orderkey, [(['html', 'pdf', 'markdown'])[1 + o_orderkey % 3], (['chunks', 'html', '', 'json'])[1 + o_orderkey % 4], 'html'] as x from orders), f as (select o_orderkey, list_filter(x, lambda v: v in ('markdown', 'html', 'json', 'chunks')) as y from a) select o_orderkey, array_to_string(list_filter(y, lambda v, i: list_position(y, v) = i), ',') as formats from f",
-    "renderable_formats": f"with {REG}, {PATHS} select p_partkey, case when engine = 'marker_pdf' then 'markdown,html,json,chunks' else 'markdown,chunks' end as renderable from planned",
+    "renderable_formats": f"with {REG}, {PATHS} select p_partkey, case when engine = 'deep_pdf' then 'markdown,html,json,chunks' else 'markdown,chunks' end as renderable from planned",
     "fallbacks": "select doc_id, case when doc_id % 17 = 0 then 'exception_fallback' when length(trim(text)) < greatest(100, 100 * (doc_id % 6)) then 'short_output_fallback' else 'accepted' end as outcome from documents",
     "expected_pages": "select l_orderkey, least(4, max(l_linenumber))::bigint as expected from lineitem group by 1",
     "sampled_pages": f"with {PAGES}, t as (select doc, page - 1 as page, count(*) over (partition by doc) as n from pg) select doc, count(*) as sampled, sum(page)::bigint as page_sum from t where page < 3 or page = n - 1 or (doc % 2 = 0 and (n <= 8 or list_contains(list_transform(range(0, 8), lambda k: floor(k * (n - 1) / 7.0::double)::bigint), page))) group by doc",
     "ocr_targets": "with k as (select doc_id, case when doc_id % 5 = 0 then 'table' when doc_id % 7 = 0 then 'formula' when (doc_id % 100) / 100.0::double < 0.65 then 'degraded_text' end as kind, sha256(text) as fingerprint from documents) select doc_id, kind, fingerprint from k where kind is not null qualify row_number() over (partition by fingerprint order by doc_id) = 1",
-    "hybrid_engines": "select doc_id, case when doc_id % 2 = 0 then 'glm' else 'surya' end as engine from documents",
+    "hybrid_engines": "select doc_id, case when doc_id % 2 = 0 then 'glm' else 'layout_ocr' end as engine from documents",
     "crop_boxes": "with b as (select event_id, event_id % 2 = 0 as nm, (event_id % 7 - 2) / 5.0::double as a, (event_id % 5 - 1) / 4.0::double as b, (event_id % 9) / 6.0::double as c, (event_id % 11) / 8.0::double as d from events) select event_id, greatest(0, least(640, floor(case when nm then a * 640 else a end)))::bigint as x0, greatest(0, least(480, floor(case when nm then b * 480 else b end)))::bigint as y0, greatest(0, least(640, floor(case when nm then c * 640 else c end)))::bigint as x1, greatest(0, least(480, floor(case when nm then d * 480 else d end)))::bigint as y1 from b",
     "text_in_images": "with j as (select o_orderkey as page, l_partkey % 600 between o_custkey % 400 - 5 and o_custkey % 400 + 205 and (l_suppkey * 13) % 800 between (o_custkey * 3) % 500 - 5 and (o_custkey * 3) % 500 + 305 as inside from lineitem join orders on l_orderkey = o_orderkey) select page, count(*) as points, count(*) filter (inside) as inside, round(avg(inside::int), 6) as sandwich_ratio from j group by page",
 }

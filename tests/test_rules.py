@@ -38,7 +38,7 @@ def test_notes_and_labels(spark):
 
 def test_page_rules(spark):
     r = one(spark, empty=R.text_quality(F.lit("")), runs=R.text_quality(F.lit("a" * 40)), good=R.text_quality(F.lit("plain words that look like text. " * 9)), few=R.layout_complexity(F.array(F.lit(1.0)), F.array(F.lit(5))), plan=R.plan_pdf(F.lit(True), F.lit(True), F.lit("auto"), F.lit(False)))
-    assert r.empty == 0.0 and r.runs < 0.7 < r.good and r.few == 0.0 and tuple(r.plan) == ("liteparse_pdf", 0.92)
+    assert r.empty == 0.0 and r.runs < 0.7 < r.good and r.few == 0.0 and tuple(r.plan) == ("fast_pdf", 0.92)
 
 
 def test_segments_and_ranges_of_pages(spark):
