@@ -43,6 +43,12 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def url(self, name: str) -> str:
+        """The path with its file system's scheme, so that workers reach the same files as the driver or fail."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and reads it back."""
         df.write.mode("overwrite").parquet(self.path(name))

@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in memory-mapped sorted hash arrays.
-
-Counting: every task turns its documents into pairs of word hashes, sums equal pairs up in sorted arrays and
-sends them on packed, in buckets of the pair's hash. Each bucket is merged by one task, which writes
-the bucket's sorted hashes and counts as a file of the shared folder. Sums over contexts and words follow from the merged pairs in a
-grouped aggregate and become sorted arrays of their own. Scoring maps the files into memory and searches them for a batch of documents
-at a time, in sorted order.
+"""Interpolated modified Kneser-Ney model of order three, counted in Spark and looked up in memory-mapped sorted hash arrays.
+
+Counting: every task numbers the words it meets, sums up equal word triples in sorted arrays and sends them on packed. Triples are
+dealt by their middle word, so one bucket has all triples (u, v, w) of a word v: the counts of the triples, the sums over the contexts
+(u, v), and the number of different words before each pair (v, w) are all complete in it and need no further shuffle. Triples
+whose middle word is so common that it would fill a bucket alone are dealt by (u, v), and their pairs are merged in a
+second, small step. Each bucket is written as sorted arrays in the shared folder, with a header that tells its rows. Scoring maps the
+files into memory, a bounded number at a time, and searches them for many tokens at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,126 +23,171 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, arrow_batches, partitions
+from loomspan.llm.common import Scratch, arrow_batches, ascii_lower, partitions, word_array
 from loomspan.llm.hashing import mix64
 
 #: Neither can be a word, as words hold no spaces.
-BEGIN, END = (xxhash.xxh64_intdigest(w) for w in (b" begin", b" end"))
-#: Pairs that a task holds before it sums them up and sends them on.
-HELD = 1 << 22
-#: Pairs that a bucket has about.
+_BEGIN, _END = b" begin", b" end"
+BEGIN, END = (xxhash.xxh64_intdigest(w) for w in (_BEGIN, _END))
+#: Tokens that a task holds before it sums their triples up and sends them on.
+HELD = 1 << 21
+#: Tokens that a bucket has about.
 BUCKET = 1 << 20
-#: Word hashes that a task remembers.
-REMEMBERED = 1 << 20
+#: Buckets that one task merges at most, so the number of tasks grows with the input.
+BUCKETS_PER_TASK = 16
+#: Occurrences of a word from which its triples are dealt to all buckets.
+CROWD = 1 << 21
+#: Words that a task remembers, and tokens of one text that are numbered at once; the sum stays below 2 ** 21.
+REMEMBERED, PIECE = 1 << 20, 1 << 19
+#: Tokens that are scored at once, and bytes of files that a worker keeps mapped.
+SCORED, MAPPED = 1 << 19, 1 << 30
+_BITS = np.uint64(21)
+_MASK = np.uint64((1 << 21) - 1)
+
 
+class _Words(dict):
+    """Numbers of words in the order in which they are met; hashes has the hash of each."""
 
-class _Words:
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def ids(self, text: str | None) -> list[int]:
-        """Hashes of the text's words and of the end."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out.append(h)
-        out.append(END)
+        super().__init__({_BEGIN: 0, _END: 1})
+        self.hashes = [BEGIN, END]
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = i = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(w))
+        return i
+
+    def numbers(self, piece: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, piece), np.uint64, len(piece))
+
+
+def _pieces(text: bytes | None) -> Iterator[list[bytes]]:
+    """The text's tokens between two beginnings and its end, in pieces that overlap by two."""
+    tokens = [_BEGIN, _BEGIN, *(text or b"").lower().split(), _END]
+    if len(tokens) <= PIECE + 2:
+        yield tokens
+    else:
+        for s in range(0, len(tokens) - 2, PIECE):
+            yield tokens[s : s + PIECE + 2]
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a) + b)
+
+
+def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(pair_key(u, v) + w)
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Which bucket a triple and a pair belong to."""
+
+    buckets: int
+    crowd: np.ndarray
+
+    def crowded(self, v: np.ndarray) -> np.ndarray:
+        return np.isin(v, self.crowd) if len(self.crowd) else np.zeros(len(v), bool)
+
+    def _prefix(self, h: np.ndarray) -> np.ndarray:
+        bits = _bits(self.buckets)
+        return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+    def triple(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = self._prefix(mix64(v))
+        if len(self.crowd) and (hot := self.crowded(v)).any():
+            out[hot] = self._prefix(pair_key(u[hot], v[hot]))
         return out
 
+    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.triple(w, v)
 
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(context) + word)
 
+def _bits(buckets: int) -> int:
+    return (buckets - 1).bit_length() if buckets > 1 else 0
 
-def _tokens(texts: pa.Array, words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the word before each, and the number of words of each text."""
-    ids = [words.ids(t.as_py()) for t in texts]
-    sizes = np.array([len(i) for i in ids], np.int64)
-    flat = np.array([h for i in ids for h in i], np.uint64)
-    before = np.empty_like(flat)
-    before[1:] = flat[:-1]
-    before[np.cumsum(sizes) - sizes] = BEGIN
-    return flat, before, sizes
 
+def _starts(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Sorted columns, differences in the first, compressed byte by byte of the numbers."""
-    first = arrays[0].copy()
-    first[1:] -= arrays[0][:-1]
-    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in (first, *arrays[1:]))
-    return len(arrays[0]).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
+def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the numbers of its rows, in order."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    dealt = bucket[order]
+    first = _starts(dealt)
+    for lo, hi in zip(first, np.append(first[1:], len(dealt)), strict=True):
+        yield int(dealt[lo]), order[lo:hi]
 
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], decompressed_size=20 * n, codec="zstd", asbytes=True), np.uint8)
-    parts = [planes[: 8 * n].reshape(8, n), planes[8 * n : 16 * n].reshape(8, n), planes[16 * n :].reshape(4, n)]
-    a, b, c = (np.ascontiguousarray(p.T).view(k).reshape(n) for p, k in zip(parts, (np.uint64, np.uint64, np.uint32), strict=True))
-    return [np.cumsum(a, dtype=np.uint64), b, c]
 
+def _pack(hashes: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Columns of word numbers as a list of the block's words and places in it, the first column as differences."""
+    used = np.unique(np.concatenate(columns))
+    own = [np.searchsorted(used, c).astype(np.uint32) for c in columns]
+    own[0][1:] -= own[0][:-1].copy()
+    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in (*own, n.astype(np.uint32)))
+    return len(n).to_bytes(8, "little") + len(used).to_bytes(8, "little") + hashes[used].tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
-def _summed(context: np.ndarray, word: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, context, word and count of the distinct pairs, in order of key."""
-    key = pair_key(context, word)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    counts = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order].astype(np.int64), first)
-    return key[first], context[order[first]], word[order[first]], counts
 
+def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    n, d = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
+    words = np.frombuffer(blob, np.uint64, d, 16)
+    size = 4 * n * (columns + 1)
+    planes = np.frombuffer(pa.decompress(blob[16 + 8 * d :], decompressed_size=size, codec="zstd", asbytes=True), np.uint8).reshape(columns + 1, 4, n)
+    out = [np.ascontiguousarray(p.T).view(np.uint32).reshape(n) for p in planes]
+    out[0] = np.cumsum(out[0], dtype=np.uint32)
+    return [words[c] for c in out[:columns]] + [out[columns].astype(np.int64)]
 
-def _count(buckets: int):
-    shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
 
+def _count(deal: Deal):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = _Words(), [], 0
 
         def send() -> pa.RecordBatch:
-            key, context, word, n = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), None)
-            bucket = (key >> shift).astype(np.int64) if shift is not None else np.zeros(len(key), np.int64)
-            at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            blobs = []
-            for lo, hi in zip(at, np.append(at[1:], len(key)), strict=True):
-                order = np.lexsort((word[lo:hi], context[lo:hi]))
-                blobs.append(_pack([context[lo:hi][order], word[lo:hi][order], n[lo:hi][order].astype(np.uint32)]))
+            key = np.sort(np.concatenate(held))
+            first = _starts(key)
+            n, key = np.diff(np.append(first, len(key))), key[first]
+            v, u, w = key >> (_BITS + _BITS), (key >> _BITS) & _MASK, key & _MASK
+            hashes = np.array(words.hashes, np.uint64)
+            out: tuple[list, list] = ([], [])
+            for bucket, rows in _by_bucket(deal.triple(hashes[u], hashes[v]), deal.buckets):
+                out[0].append(bucket)
+                out[1].append(_pack(hashes, [v[rows], u[rows], w[rows]], n[rows]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "triples"])
 
         for b in batches:
-            flat, before, _ = _tokens(b.column(0), words)
-            held.append((before, flat))
-            size += len(flat)
-            if size >= HELD:
-                yield send()
-                size = 0
-        if size:
+            for text in b.column(0).cast(pa.binary()):
+                for piece in _pieces(text.as_py()):
+                    at = words.numbers(piece)
+                    held.append(at[1:-1] << (_BITS + _BITS) | at[:-2] << _BITS | at[2:])
+                    size += len(piece) - 2
+                    if size >= HELD or len(words.hashes) >= REMEMBERED:
+                        yield send()
+                        size = 0
+                        if len(words.hashes) >= REMEMBERED:
+                            words = _Words()
+        if held:
             yield send()
 
     return run
 
 
-def _local(folder: str) -> str | None:
-    """The folder's path where it is mounted; None where only a file system library reaches it."""
-    if folder.startswith("file:"):
-        return "/" + folder[5:].lstrip("/")
-    return folder if folder.startswith("/") else None
+def _mounted(folder: str) -> str | None:
+    """The path of a folder of the file: scheme; other file systems are reached through a library. Folders have a scheme, see Scratch.url."""
+    return "/" + folder[5:].lstrip("/") if folder.startswith("file:") else None
 
 
-def _put(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+def _put(folder: str, name: str, parts: list[np.ndarray]) -> None:
     """Writes arrays one after the other; the file appears whole, so a task that is run again does no harm."""
-    local = _local(folder)
-    if local is not None:
-        os.makedirs(local, exist_ok=True)
-        part = f"{local}/.{name}-{uuid.uuid4().hex}"
+    path = _mounted(folder)
+    if path is not None:
+        os.makedirs(path, exist_ok=True)
+        part = f"{path}/.{name}-{uuid.uuid4().hex}"
         with open(part, "wb") as f:
-            for a in arrays:
+            for a in parts:
                 f.write(memoryview(np.ascontiguousarray(a)).cast("B"))
-        os.replace(part, f"{local}/{name}")
+        os.replace(part, f"{path}/{name}")
         return
     from pyarrow import fs
 
@@ -148,16 +195,16 @@ def _put(folder: str, name: str, arrays: list[np.ndarray]) -> None:
     files.create_dir(path, recursive=True)
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with files.open_output_stream(part) as f:
-        for a in arrays:
+        for a in parts:
             f.write(np.ascontiguousarray(a).tobytes())
     files.move(part, f"{path}/{name}")
 
 
 def _map(folder: str, name: str) -> np.ndarray:
-    """The file's bytes, mapped. From a store that can't be mapped the file is copied; the copy has no name and goes with the task."""
-    local = _local(folder)
-    if local is not None:
-        return np.memmap(f"{local}/{name}", np.uint8, "r")
+    """The file's bytes, mapped. From a store that can't be mapped the file is copied; the copy has no name and goes with its mapping."""
+    path = _mounted(folder)
+    if path is not None:
+        return np.memmap(f"{path}/{name}", np.uint8, "r")
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(folder)
@@ -168,55 +215,228 @@ def _map(folder: str, name: str) -> np.ndarray:
         return np.memmap(copy.name, np.uint8, "r")
 
 
-#: Counts over this are listed apart, so that a count takes one byte.
-SMALL = 255
+class HashArray:
+    """Keys (the upper 56 bits of a hash) in order, with columns of counts.
 
+    A list of starts by the keys' first bits stands for those bits, so that a key takes five bytes. A count takes one; rows with a count of 255 or more are listed apart.
+    """
 
-def _merge(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+    MAGIC, SMALL = 0x4C4F4F4D, 255
+
+    @staticmethod
+    def parts(hashes: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+        """What a file holds; hashes are distinct but in any order."""
+        order = np.argsort(hashes)
+        key = hashes[order] >> np.uint64(8)
+        bits = max(16, _bits(len(key)) - 2)
+        slots = np.searchsorted(key >> np.uint64(56 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
+        values = [np.asarray(c)[order] for c in columns]
+        large = np.flatnonzero(np.logical_or.reduce([v >= HashArray.SMALL for v in values]))
+        head = np.array([HashArray.MAGIC, len(key), len(columns), bits, len(large)], np.uint64)
+        return [head, *(v[large].astype(np.uint64) for v in values), large.astype(np.uint64), slots, key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8), *(np.minimum(v, HashArray.SMALL).astype(np.uint8) for v in values)]
+
+    def __init__(self, raw: np.ndarray, name: str):
+        head = raw[:40].view(np.uint64) if len(raw) >= 40 else np.zeros(5, np.uint64)
+        magic, self.n, m, self.bits, k = (int(v) for v in head)
+        sizes = [40, *[8 * k] * (m + 1), 4 * ((1 << self.bits) + 1), 4 * self.n, self.n, *[self.n] * m]
+        if magic != self.MAGIC or sum(sizes) != len(raw):
+            raise OSError(f"{name} is not a whole array of the model")
+        kinds = [np.uint64, *[np.uint64] * (m + 1), np.uint32, np.uint32, np.uint8, *[np.uint8] * m]
+        at, cuts = 0, []
+        for size, kind in zip(sizes, kinds, strict=True):
+            cuts.append(raw[at : at + size].view(kind))
+            at += size
+        self.large, self.where, self.slots, self.low, self.high, self.small = cuts[1 : m + 1], cuts[m + 1], cuts[m + 2], cuts[m + 3], cuts[m + 4], cuts[m + 5 :]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash, -1 where there is none."""
+        key = hashes >> np.uint64(8)
+        slot = (key >> np.uint64(56 - self.bits)).astype(np.int64)
+        at, stop = self.slots[slot].astype(np.int64), self.slots[slot + 1].astype(np.int64)
+        low, high = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
+        out = np.full(len(key), -1, np.int64)
+        live = np.flatnonzero(at < stop)
+        at = at[live]
+        while len(live):
+            hit = (self.low[at] == low[live]) & (self.high[at] == high[live])
+            out[live[hit]] = at[hit]
+            at = at + 1
+            on = ~hit & (at < stop[live])
+            live, at = live[on], at[on]
+        return out
 
-        def finish() -> pa.RecordBatch:
-            parts = [_unpack(h) for h in held]
-            key, context, word, n = _summed(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-            many = np.flatnonzero(n >= SMALL)
-            _put(folder, f"pairs-{now}", [np.array([len(key), len(many)], np.uint64), key, many.astype(np.uint64), n[many].astype(np.uint64), np.minimum(n, SMALL).astype(np.uint8)])
-            sums = []
-            for column, of_context in ((context, True), (word, False)):
-                order = np.argsort(column, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], column[order][1:] != column[order][:-1])))
-                add = lambda v: np.add.reduceat(v[order].astype(np.int64), first)  # noqa: B023, E731
-                zero = np.zeros(len(first), np.int64)
-                own = [add(n), add(n == 1), add(n == 2), add(n > 2), zero, zero] if of_context else [zero, zero, zero, zero, add(n), add(n > 0)]
-                sums.append([column[order[first]].view(np.int64), *own])
-            rows = [np.concatenate(c) for c in zip(*sums, strict=True)]
-            # Most words are contexts too: one row for both.
-            order = np.argsort(rows[0], kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], rows[0][order][1:] != rows[0][order][:-1])))
-            rows = [rows[0][order][first], *(np.add.reduceat(c[order], first) for c in rows[1:])]
-            tally = np.zeros((4, len(rows[0])), np.int64)
-            tally[:, 0] = [(n == i).sum() for i in (1, 2, 3, 4)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, *tally)], _SUMS)
+    def counts(self, rows: np.ndarray) -> list[np.ndarray]:
+        out = [c[rows].astype(float) for c in self.small]
+        if len(self.where):
+            over = np.flatnonzero(np.logical_or.reduce([c == self.SMALL for c in out]))
+            if len(over):
+                place = np.searchsorted(self.where, rows[over].astype(np.uint64))
+                for c, v in zip(out, self.large, strict=True):
+                    c[over] = v[place]
+        return out
 
+
+def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where each distinct key begins in it."""
+    order = np.argsort(key)
+    return order, _starts(key[order])
+
+
+def _sums(first: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    return [np.add.reduceat(c.astype(np.int64), first) for c in columns]
+
+
+_WORD = ["word", "total", "n1", "n2", "n3", "count", "before"]
+_ROWS = ", ".join(f"{c} bigint" for c in _WORD) + ", tally array<bigint>, bucket bigint, pairs binary"
+
+
+def _tally(n: np.ndarray) -> list[int]:
+    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _word_rows(contexts: tuple[np.ndarray, list[np.ndarray]], words: tuple[np.ndarray, list[np.ndarray]], tally: list[int], blobs: tuple[list, list] = ([], [])) -> pa.RecordBatch:
+    """One row per word; one for the bucket (the first number of the tally) that tells that its files are written; and the pairs that are sent on."""
+    all_words = np.concatenate((contexts[0], words[0]))
+    order, first = _grouped(all_words)
+    zero = [np.zeros(len(contexts[0]), np.int64), np.zeros(len(words[0]), np.int64)]
+    columns = [np.concatenate((c, zero[1])) for c in contexts[1]] + [np.concatenate((zero[0], c)) for c in words[1]]
+    summed = _sums(first, *(c[order] for c in columns))
+    n, m = len(first), len(blobs[0])
+    more = [None] * (m + 1)
+    ends = [pa.array([*c.tolist(), *more], pa.int64()) for c in (all_words[order][first].view(np.int64), *summed)]
+    tallies = pa.array([*[None] * n, tally[1:], *[None] * m], pa.list_(pa.int64()))
+    buckets = pa.array([*[None] * n, tally[0], *blobs[0]], pa.int64())
+    return pa.RecordBatch.from_arrays([*ends, tallies, buckets, pa.array([*[None] * (n + 1), *blobs[1]], pa.binary())], [*_WORD, "tally", "bucket", "pairs"])
+
+
+def _pair_sums(folder: str, name: str, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple, list[int]]:
+    """Writes distinct pairs and the words before them; sums over contexts v, and the number of contexts of each w."""
+    _put(folder, name, HashArray.parts(pair_key(v, w), [n]))
+    if not len(v):
+        none = np.zeros(0, np.uint64)
+        return (none, [np.zeros(0, np.int64)] * 4), (none, [np.zeros(0, np.int64)]), [0] * 4
+    order, first = _grouped(v)
+    by = n[order]
+    contexts = (v[order][first], _sums(first, by, by == 1, by == 2, by > 2))
+    order, first = _grouped(w)
+    return contexts, (w[order][first], [np.diff(np.append(first, len(w)))]), _tally(n)
+
+
+def _collected(finish, columns: int):
+    """Calls finish(bucket, columns of its blobs put together) for each bucket of rows in order of bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if now is not None and bucket != now:
-                    yield finish()
+                    yield finish(now, [np.concatenate(c) for c in zip(*(_unpack(h, columns) for h in held), strict=True)])
                     held = []
                 now = bucket
                 held.append(blob)
         if held:
-            yield finish()
+            yield finish(now, [np.concatenate(c) for c in zip(*(_unpack(h, columns) for h in held), strict=True)])
+
+    return run
+
+
+def _merge(folder: str, deal: Deal):
+    def finish(bucket: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        v, u, w, n = columns
+        key = triple_key(u, v, w)
+        order, first = _grouped(key)
+        (n,) = _sums(first, n[order])
+        order = order[first]
+        key, u, v, w = key[order], u[order], v[order], w[order]
+        _put(folder, f"triples-{bucket}", HashArray.parts(key, [n]))
+        context = pair_key(u, v)
+        order, first = _grouped(context)
+        by = n[order]
+        total, *ns = _sums(first, by, by == 1, by == 2, by > 2)
+        # A context with one occurrence needs no row: it is known as a pair. The beginning of a text is none.
+        keep = (total > 1) | (v[order][first] == BEGIN)
+        _put(folder, f"contexts-{bucket}", HashArray.parts(context[order][first][keep], [c[keep] for c in (total, *ns)]))
+        order, first = _grouped(pair_key(v, w))
+        # Words before a pair; where nothing but the beginning can be before it, its occurrences.
+        (before,) = _sums(first, np.where(v == BEGIN, n, 1)[order])
+        pv, pw = v[order][first], w[order][first]
+        hot = deal.crowded(pv)
+        contexts, words, tally = _pair_sums(folder, f"pairs-{bucket}", pv[~hot], pw[~hot], before[~hot])
+        order, first = _grouped(w)
+        distinct = w[order][first]
+        places = np.searchsorted(distinct, words[0])
+        left = np.zeros(len(distinct), np.int64)
+        left[places] = words[1][0]
+        blobs: tuple[list, list] = ([], [])
+        if hot.any():
+            known, at = np.unique(np.concatenate((pv[hot], pw[hot])), return_inverse=True)
+            a, b = np.split(at.astype(np.uint64), 2)
+            for to, rows in _by_bucket(deal.pair(pv[hot], pw[hot]), deal.buckets):
+                by = rows[np.argsort(a[rows], kind="stable")]
+                blobs[0].append(to)
+                blobs[1].append(_pack(known, [a[by], b[by]], before[hot][by]))
+        return _word_rows(contexts, (distinct, [*_sums(first, n[order]), left]), [bucket, *_tally(n), *tally], blobs)
+
+    return _collected(finish, 3)
+
+
+def _merge_crowded(folder: str):
+    def finish(bucket: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        v, w, n = columns
+        order, first = _grouped(pair_key(v, w))
+        (n,) = _sums(first, n[order])
+        v, w = v[order][first], w[order][first]
+        contexts, words, tally = _pair_sums(folder, f"crowded-{bucket}", v, w, n)
+        return _word_rows(contexts, (words[0], [np.zeros(len(words[0]), np.int64), words[1][0]]), [bucket, 0, 0, 0, 0, *tally])
+
+    return _collected(finish, 2)
+
+
+def _empty_files(folder: str, kinds: list[str]):
+    """Files without rows, so that a file that is not there is always an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket in b.column(0).to_pylist():
+                for kind in kinds:
+                    _put(folder, f"{kind}-{bucket}", HashArray.parts(np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * _COLUMNS[kind]))
+            yield b
 
     return run
 
 
-_SUMS = ["word", "total", "n1", "n2", "n3", "count", "before", "y1", "y2", "y3", "y4"]
+_COLUMNS = {"triples": 1, "contexts": 4, "pairs": 1, "crowded": 1, "words": 6}
+
+
+def _words_to_files(folder: str):
+    """Rows of a bucket: sums of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            columns = [np.concatenate([h[i] for h in held]) for i in range(7)]
+            _put(folder, f"words-{now}", HashArray.parts(columns[0].view(np.uint64), columns[1:]))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["bucket"])
+
+        for b in batches:
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            first = _starts(columns[0])
+            for lo, hi in zip(first, np.append(first[1:], len(columns[0])), strict=True):
+                if now is not None and columns[0][lo] != now:
+                    yield finish()
+                    held = []
+                now = int(columns[0][lo])
+                held.append([c[lo:hi] for c in columns[1:]])
+        if held:
+            yield finish()
+
+    return run
 
 
 def discounts(y: list[int]) -> tuple[float, float, float]:
-    """Discounts of counts 1, 2 and more from the numbers of counts 1 to 4; with too few of them, smoothed by one."""
-    y1, y2, y3, y4 = (v + 1 for v in y)
+    """Discounts of counts 1, 2 and more from the numbers of counts 1 to 4; where one of these is zero, one is added to each."""
+    y1, y2, y3, y4 = y if min(y) else (v + 1 for v in y)
     base = y1 / (y1 + 2 * y2)
     clip = lambda d, most: min(max(d, 0.05), most)
     return clip(1 - 2 * base * y2 / y1, 0.95), clip(2 - 3 * base * y3 / y2, 1.95), clip(3 - 4 * base * y4 / y3, 2.95)
@@ -224,13 +444,14 @@ def discounts(y: list[int]) -> tuple[float, float, float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, and the few numbers that hold for all words."""
+    """Where the arrays are, how they are dealt, and the few numbers that hold for all words."""
 
     folder: str
-    pair_buckets: int
+    deal: Deal
     word_buckets: int
     tokens: int
     distinct: int
+    triple_discounts: tuple[float, float, float]
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     pairs: int
@@ -241,40 +462,7 @@ class Model:
         """Probability of any word that the model doesn't know."""
         if not self.pairs:
             return 1.0
-        d = self.word_discounts
-        return sum(a * b for a, b in zip(d, self.word_counts, strict=True)) / self.pairs / (self.distinct + 1)
-
-
-def _bits(buckets: int) -> int:
-    return (buckets - 1).bit_length() if buckets > 1 else 0
-
-
-def _words_to_files(folder: str):
-    """Rows of a bucket in order of word: hash, count, number of words before, total as context and its discounted share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def finish() -> pa.RecordBatch:
-            cols = [np.concatenate([h[i] for h in held]) for i in range(7)]
-            order = np.argsort(cols[0].view(np.uint64))
-            _put(folder, f"words-{now}", [np.array([len(order)], np.uint64), cols[0][order], *(c[order].astype(np.uint64) for c in cols[1:])])
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([len(order)], pa.int64())], ["bucket", "n"])
-
-        for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            bucket = cols[0]
-            at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-            for lo, hi in zip(at, np.append(at[1:], len(bucket)), strict=True):
-                if now is not None and bucket[lo] != now:
-                    yield finish()
-                    held = []
-                now = int(bucket[lo])
-                held.append([c[lo:hi] for c in cols[1:]])
-        if held:
-            yield finish()
-
-    return run
+        return sum(a * b for a, b in zip(self.word_discounts, self.word_counts, strict=True)) / self.pairs / (self.distinct + 1)
 
 
 def is_training(id_col: Column, folds: int = 7, left_out: int = 2) -> Column:
@@ -282,126 +470,200 @@ def is_training(id_col: Column, folds: int = 7, left_out: int = 2) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds != left_out, F.lit(True))
 
 
-def train(df: DataFrame, text_col: str = "text", bucket: int = BUCKET) -> Model:
-    """Counts all rows of df. Null texts are empty and count one end. An empty table gives a model that knows nothing."""
+def _crowd(df: DataFrame, text_col: str, size: int, tokens: int, least: int) -> np.ndarray:
+    """Hashes of words that seem to occur least times or more, by a bounded sample. They decide where counts are kept, never what they are."""
+    if tokens < least:
+        return np.zeros(0, np.uint64)
+    sampled = max(1 << 24, size >> 20)
+    part = df.sample(fraction=min(1.0, sampled / size), seed=5) if sampled < size else df
+    words = part.select(F.explode(word_array(ascii_lower(F.col(text_col)))).alias("w")).groupBy("w").count()
+    share = max(least / tokens, 8 * 6 / sampled)
+    found = words.where(F.col("count") >= share * min(sampled, size) / 6).select(F.col("w").cast("binary")).collect()
+    return np.sort(np.array([xxhash.xxh64_intdigest(bytes(r[0])) for r in found], np.uint64))
+
+
+def train(df: DataFrame, text_col: str = "text", bucket: int = BUCKET, crowd: int | None = None) -> Model:
+    """Counts all rows of df. Null texts are empty and count one end; repeated rows count again. An empty table gives a model that knows nothing.
+
+    The arrays stay in the shared folder, where lazily computed scores read them.
+    """
     spark = df.sparkSession
     scratch = Scratch(spark, "kneserney")
-    arrow_batches(spark, 500)
+    arrow_batches(spark, 1000)
     size = df.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("n")).first()["n"] or 0
     buckets = 1 << _bits(max(1, -(-size // (6 * bucket))))
-    packed = df.select(text_col).mapInArrow(_count(buckets), "bucket bigint, pairs binary")
-    arrow_batches(spark, 64)
-    merged = packed.repartition(min(buckets, 4 * partitions(spark)), "bucket").sortWithinPartitions("bucket")
-    folder = scratch.path("arrays")
-    rows = merged.mapInArrow(_merge(folder), ", ".join(f"{c} bigint" for c in _SUMS))
-    words = scratch.write(rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in _SUMS[1:]]), "words")
-    k = lambda c, v: F.count_if(F.col(c) == v).alias(f"{c}{v}")
-    s = words.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v"), F.sum("before").alias("pairs"), *[F.sum(f"y{i}").alias(f"y{i}") for i in (1, 2, 3, 4)], *[k("before", i) for i in (1, 2, 3, 4)], F.count_if(F.col("before") > 2).alias("more")).first()
+    deal = Deal(buckets, _crowd(df, text_col, size, size // 6, CROWD if crowd is None else crowd))
+    folder = scratch.url("arrays")
+    tasks = max(min(buckets, partitions(spark)), -(-buckets // BUCKETS_PER_TASK))
+    packed = df.select(text_col).mapInArrow(_count(deal), "bucket bigint, triples binary")
+    rows = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(folder, deal), _ROWS)
+    crowded = lambda v: F.when(F.col("word").isNull(), v)
+    if len(deal.crowd):
+        rows = scratch.write(rows, "rows")
+        scratch.release()
+        again = rows.where("pairs is not null").select("bucket", "pairs").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+        rows = rows.withColumn("crowded", crowded(False)).union(again.mapInArrow(_merge_crowded(folder), _ROWS).withColumn("crowded", crowded(True)))
+    else:
+        rows = rows.withColumn("crowded", crowded(False))
+    sums = [F.sum(c).alias(c) for c in _WORD[1:]] + [F.sum(F.get("tally", F.lit(i))).alias(f"y{i}") for i in range(8)]
+    words = scratch.write(rows.where("pairs is null").groupBy("word", "bucket", "crowded").agg(*sums), "words")
+    k = lambda v: F.count_if(F.col("before") == v).alias(f"before{v}")
+    s = words.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v"), F.sum("before").alias("pairs"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(8)], *[k(i) for i in (1, 2, 3, 4)], F.count_if(F.col("before") > 2).alias("more")).first()
+    scratch.drop("rows")
     scratch.release()
+    for crowd, kinds in ((False, ["triples", "contexts", "pairs"]), (True, ["crowded"] if len(deal.crowd) else [])):
+        if kinds:
+            _fill(spark.range(buckets).toDF("bucket").join(words.where(F.col("crowded") == crowd).select("bucket"), "bucket", "left_anti"), folder, kinds)
     distinct = s["v"] or 0
     word_buckets = 1 << _bits(max(1, -(-distinct // bucket)))
     dealt = F.shiftrightunsigned("word", 64 - _bits(word_buckets)) if word_buckets > 1 else F.lit(0).cast("long")
-    arrow_batches(spark, 10_000)
-    keyed = words.select(dealt.alias("bucket"), *_SUMS[:7]).repartition(min(word_buckets, partitions(spark)), "bucket").sortWithinPartitions("bucket")
-    keyed.mapInArrow(_words_to_files(folder), "bucket bigint, n bigint").agg(F.sum("n")).collect()
+    keyed = words.where("word is not null").select(dealt.alias("bucket"), "word", *_WORD[1:]).repartition(max(min(word_buckets, partitions(spark)), -(-word_buckets // BUCKETS_PER_TASK)), "bucket").sortWithinPartitions("bucket")
+    filled = scratch.write(keyed.mapInArrow(_words_to_files(folder), "bucket bigint"), "filled")
+    _fill(spark.range(word_buckets).toDF("bucket").join(filled, "bucket", "left_anti"), folder, ["words"])
+    scratch.drop("filled")
     scratch.drop("words")
-    return Model(folder, buckets, word_buckets, s["n"] or 0, distinct, discounts([s[f"y{i}"] or 0 for i in (1, 2, 3, 4)]), discounts([s[f"before{i}"] for i in (1, 2, 3, 4)]), s["pairs"] or 0, (s["before1"], s["before2"], s["more"]))
+    y = [s[f"y{i}"] or 0 for i in range(8)]
+    return Model(folder, deal, word_buckets, s["n"] or 0, distinct, discounts(y[:4]), discounts(y[4:]), discounts([s[f"before{i}"] for i in (1, 2, 3, 4)]), s["pairs"] or 0, (s["before1"], s["before2"], s["more"]))
+
+
+def _fill(missing: DataFrame, folder: str, kinds: list[str]) -> None:
+    missing.mapInArrow(_empty_files(folder, kinds), "bucket bigint").write.format("noop").mode("overwrite").save()
 
 
 class Reader:
-    """Looks words and pairs up in the mapped arrays."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.files: dict[str, list[np.ndarray] | None] = {}
-
-    def _open(self, name: str) -> list[np.ndarray] | None:
-        if name not in self.files:
-            try:
-                raw = _map(self.model.folder, name)
-            except FileNotFoundError:  # no hash falls into this bucket
-                self.files[name] = None
-                return None
-            if name.startswith("pairs"):
-                n, m = (int(v) for v in raw[:16].view(np.uint64))
-                cuts = np.cumsum([16, 8 * n, 8 * m, 8 * m, n])
-                kinds = (np.uint64, np.uint64, np.uint64, np.uint8)
-            else:
-                n = int(raw[:8].view(np.uint64)[0])
-                cuts = np.cumsum([8, *[8 * n] * 7])
-                kinds = (np.uint64,) * 7
-            self.files[name] = [raw[a:b].view(k) for a, b, k in zip(cuts[:-1], cuts[1:], kinds, strict=True)]
-        return self.files[name]
-
-    def _search(self, kind: str, buckets: int, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """For each bucket: numbers of the wanted (sorted) that it has, their places, and its columns."""
-        bits = _bits(buckets)
-        bucket = (wanted >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        for lo, hi in zip(at, np.append(at[1:], len(wanted)), strict=True):
-            columns = self._open(f"{kind}-{bucket[lo]}")
-            if columns is None or not len(columns[0]):
-                continue
-            place = np.searchsorted(columns[0], wanted[lo:hi])
-            place = np.minimum(place, len(columns[0]) - 1)
-            found = columns[0][place] == wanted[lo:hi]
-            yield np.arange(lo, hi)[found], place[found], columns
-
-    def words(self, wanted: np.ndarray) -> np.ndarray:
-        """Columns total, n1, n2, n3, count, before (zero where unknown), a row per wanted hash."""
-        distinct, back = np.unique(wanted, return_inverse=True)
-        out = np.zeros((6, len(distinct)))
-        for rows, place, columns in self._search("words", self.model.word_buckets, distinct):
-            for i in range(6):
-                out[i, rows] = columns[i + 1][place]
-        return out[:, back]
-
-    def pairs(self, wanted: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(wanted, return_inverse=True)
-        out = np.zeros(len(distinct))
-        for rows, place, (_, many, large, small) in self._search("pairs", self.model.pair_buckets, distinct):
-            n = small[place].astype(float)
-            over = n == SMALL
-            if over.any():
-                n[over] = large[np.searchsorted(many, place[over].astype(np.uint64))]
-            out[rows] = n
-        return out[back]
-
-    def probabilities(self, flat: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The model's probability of each word after the one before, and the word's training count."""
+    """Looks words, pairs and triples up in the mapped arrays; the files used least lately are let go."""
+
+    def __init__(self, model: Model, mapped: int = MAPPED):
+        self.model, self.mapped, self.size = model, mapped, 0
+        self.files: OrderedDict[str, tuple[int, HashArray]] = OrderedDict()
+
+    def _open(self, name: str) -> HashArray:
+        if name in self.files:
+            self.files.move_to_end(name)
+            return self.files[name][1]
+        raw = _map(self.model.folder, name)
+        found = HashArray(raw, name)
+        self.files[name] = (len(raw), found)
+        self.size += len(raw)
+        while self.size > self.mapped and len(self.files) > 1:
+            self.size -= self.files.popitem(last=False)[1][0]
+        return found
+
+    def find(self, kind: str, bucket: np.ndarray, buckets: int, hashes: np.ndarray) -> np.ndarray:
+        """Counts of each hash, zero where it is not known."""
+        out = np.zeros((_COLUMNS[kind], len(hashes)))
+        for b, rows in _by_bucket(bucket, buckets):
+            array = self._open(f"{kind}-{b}")
+            place = array.find(hashes[rows])
+            known = np.flatnonzero(place >= 0)
+            if len(known):
+                for to, c in zip(out, array.counts(place[known]), strict=True):
+                    to[rows[known]] = c
+        return out
+
+    def words(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows total, n1, n2, n3 (as context), count and before (contexts it follows)."""
+        bits = _bits(self.model.word_buckets)
+        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        return self.find("words", bucket, self.model.word_buckets, hashes)
+
+    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        deal = self.model.deal
+        key, bucket, hot = pair_key(v, w), deal.pair(v, w), deal.crowded(v)
+        out = np.zeros(len(key))
+        for kind, part in (("pairs", np.flatnonzero(~hot)), ("crowded", np.flatnonzero(hot))):
+            if len(part):
+                out[part] = self.find(kind, bucket[part], deal.buckets, key[part])[0]
+        return out
+
+    def probabilities(self, numbers: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a row of words (numbers into hashes): the model's probability of each but the first two, and its training count."""
         m = self.model
-        own, context = self.words(flat), self.words(before)
-        count, left = own[4], own[5]
-        low = np.full(len(flat), m.unknown)
+        used, at = np.unique(numbers, return_inverse=True)
+        table = self.words(hashes[used])
+        flat = hashes[numbers]
+        # Equal pairs and triples are looked up once.
+        code, back = np.unique(at[:-1] * np.int64(len(used)) + at[1:], return_inverse=True)
+        own = hashes[used]
+        before = self.pairs(own[code // len(used)], own[code % len(used)])
+        triple, again = np.unique(back[:-1] * np.int64(len(used)) + at[2:], return_inverse=True)
+        pair = code[triple // len(used)]
+        u, v, w = own[pair // len(used)], own[pair % len(used)], own[triple % len(used)]
+        bucket = m.deal.triple(u, v)
+        n = self.find("triples", bucket, m.deal.buckets, triple_key(u, v, w))[0][again]
+        seen, pair_of = np.unique(triple // len(used), return_inverse=True)
+        pair = code[seen]
+        u, v = own[pair // len(used)], own[pair % len(used)]
+        context = self.find("contexts", m.deal.triple(u, v), m.deal.buckets, pair_key(u, v))
+        once = (context[0] == 0) & (before[seen] > 0)
+        context[:2, once] = 1.0
+        context = context[:, pair_of[again]]
+        share = lambda d, c: sum(a * b for a, b in zip(d, c[1:4], strict=True)) / np.maximum(c[0], 1)
+        off = lambda d, c: np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3).astype(int)], 0)
+        left = table[5][at[2:]]
+        p = np.full(len(flat) - 2, m.unknown)
         if m.pairs:
-            d = np.array([0.0, *m.word_discounts])[np.minimum(left, 3).astype(int)]
-            low += np.maximum(left - d, 0) / m.pairs
-        n = self.pairs(pair_key(before, flat))
-        d = np.array([0.0, *m.pair_discounts])[np.minimum(n, 3).astype(int)]
-        total = np.maximum(context[0], 1)
-        share = sum(a * b for a, b in zip(m.pair_discounts, context[1:4], strict=True)) / total
-        return np.where(context[0] > 0, np.maximum(n - d, 0) / total + share * low, low), count
+            p += off(m.word_discounts, left) / m.pairs
+        middle = table[:, at[1:-1]]
+        p = np.where(middle[0] > 0, off(m.pair_discounts, before[back[1:]]) / np.maximum(middle[0], 1) + share(m.pair_discounts, middle) * p, p)
+        p = np.where(context[0] > 0, off(m.triple_discounts, n) / np.maximum(context[0], 1) + share(m.triple_discounts, context) * p, p)
+        return p, table[4][at[2:]]
+
+
+_READER: list[Reader] = []
+
+
+def _reader(model: Model) -> Reader:
+    """The worker process's reader of this model; a worker serves many tasks."""
+    if not _READER or _READER[0].model.folder != model.folder:
+        _READER[:] = [Reader(model)]
+    return _READER[0]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score (add-one unigram), score (log10 of the model's probability), perplexity.
 
-    One row per row of df; null and empty texts are one end token. Every worker process maps the arrays and reads the pages it needs.
+    One row per row of df, repeated rows and null ids included; null and empty texts are one end token. A file of the model
+    that is missing or cut short is an error. Every worker process maps the arrays and reads the pages it needs.
     """
-    arrow_batches(df.sparkSession, 200)
+    arrow_batches(df.sparkSession, 1000)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, reader = _Words(), Reader(model)
+        words, reader = _Words(), _reader(model)
         for b in batches:
             if not b.num_rows:
                 continue
-            flat, before, sizes = _tokens(b.column(1), words)
-            p, count = reader.probabilities(flat, before)
-            first = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(np.log10((count + 1) / (model.tokens + 1 * (model.distinct + 1))), first)
-            total = np.add.reduceat(np.log10(p), first)
-            known = np.add.reduceat((count > 0).astype(np.int64), first)
+            sizes, known = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            base, total = np.zeros(b.num_rows), np.zeros(b.num_rows)
+            held, rows, size = [], [], 0
+
+            def judge() -> None:
+                p, count = reader.probabilities(np.concatenate(held).astype(np.int64), np.array(words.hashes, np.uint64))  # noqa: B023
+                own = np.repeat(np.array(rows), [len(h) for h in held])[2:]  # noqa: B023
+                # The two words before a piece are not scored, nor what lies over the border of two pieces.
+                ends = np.cumsum([len(h) for h in held])[:-1]  # noqa: B023
+                ok = np.ones(len(own), bool)
+                ok[ends - 2] = ok[ends - 1] = False
+                own, p, count = own[ok], p[ok], count[ok]
+                add = lambda to, v: np.add(to, np.bincount(own, v, len(to)), out=to, casting="unsafe")
+                add(sizes, None)  # noqa: B023
+                add(known, count > 0)  # noqa: B023
+                add(base, np.log10((count + 1) / (model.tokens + 1 * (model.distinct + 1))))  # noqa: B023
+                add(total, np.log10(p))  # noqa: B023
+
+            for row, text in enumerate(b.column(1).cast(pa.binary())):
+                for piece in _pieces(text.as_py()):
+                    held.append(words.numbers(piece))
+                    rows.append(row)
+                    size += len(piece)
+                    if size >= SCORED or len(words.hashes) >= REMEMBERED:
+                        judge()
+                        held, rows, size = [], [], 0
+                        if len(words.hashes) >= REMEMBERED:
+                            words = _Words()
+            if held:
+                judge()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(known), pa.array(base), pa.array(total), pa.array(10 ** (-total / sizes))], ["id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, perplexity double")

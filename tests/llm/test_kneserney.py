@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,42 +14,53 @@ def tokens(text):
 
 def plain(train, texts):
     """The same model from dictionaries."""
-    uni, bi = Counter(), Counter()
+    uni, tri = Counter(), Counter()
+    begin = b" begin"
+    rows = lambda t: (lambda w: (w, list(zip([begin, begin] + w, [begin] + w, w))))(tokens(t))
     for t in train:
-        w = tokens(t)
+        w, found = rows(t)
         uni.update(w)
-        bi.update(zip([b" begin"] + w, w))
+        tri.update(found)
     n, v = sum(uni.values()), len(uni)
-    before, after = Counter(w for _, w in bi), defaultdict(Counter)
+    bi = Counter()
+    for (_, b, c), k in tri.items():
+        bi[b, c] += k if b == begin else 1
+    before, after, follow = Counter(w for _, w in bi), defaultdict(Counter), defaultdict(Counter)
     for (a, b), c in bi.items():
         after[a][b] = c
+    for (a, b, w), c in tri.items():
+        follow[a, b][w] = c
     tally = lambda c: [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
-    dp, dw = K.discounts(tally(bi)), K.discounts(tally(before))
+    dt, dp, dw = K.discounts(tally(tri)), K.discounts(tally(bi)), K.discounts(tally(before))
     off = lambda d, c: 0.0 if not c else d[min(c, 3) - 1]
 
-    def p(a, b):
-        low = sum(off(dw, c) for c in before.values()) / len(bi) / (v + 1) if bi else 1.0
-        if before[b]:
-            low += (before[b] - off(dw, before[b])) / len(bi)
-        if a not in after:
+    def level(counts, d, w, low):
+        if not counts:
             return low
-        total = sum(after[a].values())
-        return max(bi[a, b] - off(dp, bi[a, b]), 0) / total + sum(off(dp, c) for c in after[a].values()) / total * low
+        total = sum(counts.values())
+        return max(counts[w] - off(d, counts[w]), 0) / total + sum(off(d, c) for c in counts.values()) / total * low
+
+    def p(a, b, w):
+        low = sum(off(dw, c) for c in before.values()) / len(bi) / (v + 1) if bi else 1.0
+        if before[w]:
+            low += (before[w] - off(dw, before[w])) / len(bi)
+        return level(follow.get((a, b)), dt, w, level(after.get(b), dp, w, low))
 
     out = []
     for t in texts:
-        w = tokens(t)
-        out.append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([b" begin"] + w, w))))
+        w, found = rows(t)
+        out.append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p(*f)) for f in found)))
     return n, v, p, uni, out
 
 
-@pytest.mark.parametrize("bucket", [K.BUCKET, 300])
-def test_against_plain_model(spark, sf_dir, bucket, monkeypatch):
-    monkeypatch.setattr(K, "HELD", 5000)
-    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(80).collect()] + [(None, None), (None, "A b a"), (900, ""), (901, "never seen words " * 3), (902, "the " * 700)]
+@pytest.mark.parametrize(("bucket", "crowd"), [(K.BUCKET, None), (4000, None), (4000, 400)])
+def test_against_plain_model(spark, sf_dir, bucket, crowd):
+    """With small buckets and with words that count as crowded, too."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()] + [(None, None), (None, "A b a"), (900, ""), (901, "never seen words " * 3), (902, "the " * 700)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     train = [t for i, t in docs if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    model = K.train(df.where(K.is_training(df.doc_id)), bucket=bucket)
+    model = K.train(df.where(K.is_training(df.doc_id)), bucket=bucket, crowd=crowd)
+    assert (crowd is not None) == (len(model.deal.crowd) > 0)
     n, v, _, _, want = plain(train, [t for _, t in docs])
     assert (model.tokens, model.distinct) == (n, v)
     got = sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in K.score(df, model).collect())
@@ -57,8 +69,8 @@ def test_against_plain_model(spark, sf_dir, bucket, monkeypatch):
 
 def test_probabilities_sum_to_one():
     _, _, p, uni, _ = plain(["a b a b c", "b c", "", "d"], [])
-    for context in [b" begin", b"a", b"b", b"zzz"]:
-        assert sum(p(context, w) for w in uni) + p(context, b"unknown") == pytest.approx(1.0)
+    for context in [(b" begin", b" begin"), (b" begin", b"a"), (b"a", b"b"), (b"c", b"b"), (b"b", b"zzz")]:
+        assert sum(p(*context, w) for w in uni) + p(*context, b"unknown") == pytest.approx(1.0)
 
 
 def test_better_than_unigrams_on_held_out_rows(spark):
@@ -73,3 +85,31 @@ def test_empty_tables(spark):
     model = K.train(df)
     assert model.tokens == 0 and K.score(df, model).count() == 0
     assert K.score(spark.createDataFrame([(1, "x")], df.schema), model).first().score == 0.0
+
+
+def test_missing_and_cut_files_are_errors(spark):
+    """A worker that can't see a file of the model must fail, not take its words for unknown."""
+    df = spark.createDataFrame([(i, f"some words of text {i % 7} and more {i % 5}") for i in range(50)], "doc_id long, text string")
+    for damage in (os.remove, lambda f: os.truncate(f, os.path.getsize(f) - 1)):
+        for kind in ("triples", "words"):
+            model = K.train(df, bucket=100)
+            assert model.folder.startswith("file:")
+            folder = K._mounted(model.folder)
+            for name in os.listdir(folder):
+                if name.startswith(kind):
+                    damage(f"{folder}/{name}")
+            with pytest.raises(Exception, match="No such file|not a whole array"):
+                K.score(df, model).select("score").collect()
+
+
+def test_words_of_very_long_texts_and_hash_arrays():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    counts = [rng.integers(0, 600, len(keys)), rng.integers(0, 3, len(keys))]
+    parts = K.HashArray.parts(keys, counts)
+    array = K.HashArray(np.frombuffer(b"".join(np.ascontiguousarray(p).tobytes() for p in parts), np.uint8), "x")
+    place = array.find(keys)
+    assert (place >= 0).all() and [c.astype(int).tolist() for c in array.counts(place)] == [c.tolist() for c in counts]
+    assert (array.find(keys ^ np.uint64(1 << 40)) < 0).mean() > 0.99
