@@ -146,53 +146,96 @@ def pipe_tables(text: str) -> list[dict]:
     return out
 
 
+#: Columns that one cell may span, and rows (fixed values of the HTML standard).
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+class _Table:
+    """Rows of (text, rows spanned, columns spanned) as they are read."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.cell: str | None = None
+        self.caption: str | None = None
+        self.said, self.span = "", (1, 1)
+
+    def close_cell(self) -> None:
+        if self.cell is not None:
+            if not self.rows:
+                self.rows.append([])
+            self.rows[-1].append((clean_cell(self.cell), *self.span))
+            self.cell = None
+
+    def grid(self) -> list[list[str]]:
+        """Cells in their places; a spanned place is empty, and no cell goes on below the last row."""
+        out: list[dict[int, str]] = []
+        taken: dict[int, int] = {}
+        for cells in self.rows:
+            row, col, below = dict.fromkeys(taken, ""), 0, {}
+            for text, high, wide in cells:
+                while col in taken:
+                    col += 1
+                for c in range(col, col + wide):
+                    row[c] = text if c == col else ""
+                    if high > 1:
+                        below[c] = high - 1
+                col += wide
+            taken = {c: n - 1 for c, n in taken.items() if n > 1} | below
+            out.append(row)
+        wide = max((c + 1 for row in out for c in row), default=0)
+        return [[row.get(c, "") for c in range(wide)] for row in out] if wide else []
+
+
+def _span(value: str | None, most: int) -> int:
+    return min(most, max(1, int(value.strip()[:9]))) if value and re.fullmatch("[0-9]+", value.strip()) else 1
+
+
 class _Tables(HTMLParser):
+    """Tables of a page, in order of their ends; a table inside a cell is one of its own."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
-        self.grid: dict[tuple[int, int], str] | None = None
-        self.row, self.cell, self.caption, self.span = -1, None, None, (1, 1)
+        self.open: list[_Table] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = dict(attrs)
         if tag == "table":
-            self.grid, self.row, self.caption_text = {}, -1, ""
-        elif self.grid is None:
+            self.open.append(_Table())
+        if not self.open:
             return
-        elif tag == "tr":
-            self.row += 1
+        t = self.open[-1]
+        if tag == "tr":
+            t.close_cell()
+            t.rows.append([])
         elif tag in ("td", "th"):
-            self.cell = ""
-            self.span = tuple(max(1, int(v)) if (v := a.get(k) or "1").isdigit() else 1 for k in ("rowspan", "colspan"))
+            t.close_cell()
+            a = dict(attrs)
+            t.cell, t.span = "", (_span(a.get("rowspan"), MOST_ROWS), _span(a.get("colspan"), MOST_COLUMNS))
         elif tag == "caption":
-            self.caption = ""
-        elif tag == "br" and self.cell is not None:
-            self.cell += " "
+            t.caption = ""
+        elif tag == "br" and t.cell is not None:
+            t.cell += " "
 
     def handle_endtag(self, tag: str) -> None:
-        if self.grid is None:
+        if not self.open:
             return
-        if tag in ("td", "th") and self.cell is not None:
-            row = max(self.row, 0)
-            col = next(c for c in range(len(self.grid) + 1) if (row, c) not in self.grid)
-            for r in range(self.span[0]):
-                for c in range(self.span[1]):
-                    self.grid[row + r, col + c] = clean_cell(self.cell) if not r and not c else ""
-            self.cell = None
-        elif tag == "caption" and self.caption is not None:
-            self.caption_text, self.caption = clean_cell(self.caption), None
+        t = self.open[-1]
+        if tag in ("td", "th", "tr", "table"):
+            t.close_cell()
+        if tag == "caption" and t.caption is not None:
+            t.said, t.caption = clean_cell(t.caption), None
         elif tag == "table":
-            if self.grid:
-                high, wide = (max(k[i] for k in self.grid) + 1 for i in (0, 1))
-                rows = [[self.grid.get((r, c), "") for c in range(wide)] for r in range(high)]
-                self.found.append({"source": "html", "caption": self.caption_text, "headers": rows[0], "rows": rows[1:]})
-            self.grid = None
+            self.open.pop()
+            if rows := t.grid():
+                self.found.append({"source": "html", "caption": t.said, "headers": rows[0], "rows": rows[1:]})
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell += data
-        elif self.caption is not None:
-            self.caption += data
+        if self.open:
+            t = self.open[-1]
+            if t.cell is not None:
+                t.cell += data
+            elif t.caption is not None:
+                t.caption += data
 
 
 def html_tables(source: str) -> list[dict]:

@@ -28,6 +28,25 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(good, sum((F.bit_count(half(a, at).bitwiseXOR(half(b, at))) for at in (9,)), F.bit_count(half(a, 1).bitwiseXOR(half(b, 1))))).otherwise(SENTINEL)
 
 
+def near_hashes(df: DataFrame, group_col: str, id_col: str, hash_col: str, most: int) -> DataFrame:
+    """Pairs of different 16-digit hashes of a group that differ in at most `most` bits, with their first ids: group, left_id, right_id, distance.
+
+    Equal hashes are one row (dedup_groups has their members). The 64 bits are cut into most + 1 parts, of which two such hashes have one in
+    common, so no pair is lost; a pair is taken from the first part that its hashes share. Malformed hashes have no pair.
+    """
+    first = df.where(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$")).groupBy(F.col(group_col).alias("grp"), F.lower(hash_col).alias("hash")).agg(F.min(id_col).alias("id"))
+    bits = F.concat(*[F.lpad(F.conv(F.substring("hash", at, 8), 16, 2), 32, "0") for at in (1, 9)])
+    cuts = [64 * k // (most + 1) for k in range(most + 2)]
+    parts = F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
+    each = first.withColumn("parts", parts).select("*", F.posexplode("parts").alias("part", "key"))
+    l, r = each.alias("l"), each.alias("r")  # noqa: E741
+    met = l.join(r, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("grp", "part", "key")] + [F.col("l.id") < F.col("r.id")])
+    same = F.zip_with("l.parts", "r.parts", lambda a, b: a == b)
+    distance = hamming(F.col("l.hash"), F.col("r.hash"))
+    met = met.where((F.array_position(same, True) - 1 == F.col("l.part")) & (distance <= most))
+    return met.select(F.col("l.grp").alias(group_col), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), distance.alias("distance"))
+
+
 def dedup_groups(df: DataFrame, id_col: str, hash_col: str, cost_col: str) -> DataFrame:
     """Rows of one hash form a group (a null hash is its own); the first is the representative and alone carries the cost."""
     key = F.coalesce(F.col(hash_col), F.concat(F.lit("#"), F.col(id_col).cast("string")))

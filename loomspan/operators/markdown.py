@@ -22,7 +22,7 @@ from loomspan.functions import scalars as S
 
 MAX_CHARS, OVERLAP, LEAST_CHARS, LEAST_TOKENS = 1800, 160, 200, 16
 #: HTML elements that begin a block (fixed values).
-BLOCK_TAGS = "address article aside blockquote details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split()
+BLOCK_TAGS = "address article aside blockquote canvas details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul video".split()
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
@@ -32,6 +32,7 @@ LIST = re.compile(r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)")
 QUOTE = re.compile(r" {0,3}>")
 INDENTED = re.compile(r"(?: {4}|\t)\s*\S")
 HTML = re.compile(r" {0,3}<(?:!--|!\[CDATA\[|\?|/?(" + "|".join(BLOCK_TAGS) + r")(?=[\s/>]|$))", re.I)
+LINE_ENDS = "\r\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 ASSET = re.compile(r"(!?)\[([^\]\n]*)\]\(\s*<?([^)\s>]+)>?(?:\s+\"[^\"]*\")?\s*\)")
 
@@ -65,7 +66,7 @@ class _Scanner:
         self.lines: list[tuple[int, int]] = []
         at = 0
         for line in text.splitlines(keepends=True):
-            self.lines.append((at, at + len(line.rstrip("\r\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"))))
+            self.lines.append((at, at + len(line.rstrip(LINE_ENDS))))
             at += len(line)
         self.path: list[tuple[int, str]] = []
         self.pages: tuple[int, ...] = ()
@@ -126,8 +127,10 @@ class _Scanner:
                 i = end + 1
             elif m := HTML.match(line):
                 flush(i)
-                close = "-->" if "<!--" in m[0] else "]]>" if "CDATA" in m[0] else "?>" if "<?" in m[0] else f"</{m[1]}>"
-                end = next((k for k in range(i, n) if close.lower() in self.line(k).lower()), n - 1)
+                close = "-->" if "<!--" in m[0] else "]]>" if "CDATA" in m[0] else re.escape("?>") if "<?" in m[0] else rf"</{m[1]}\s*>"
+                # An empty element is a block by itself.
+                empty = bool(m[1]) and (m[1].lower() == "hr" or line.rstrip().endswith("/>"))
+                end = i if empty else next((k for k in range(i, n) if re.search(close, self.line(k), re.I)), n - 1)
                 self.put("html", i, end)
                 i = end + 1
             elif "|" in line and i + 1 < n and "|" in self.line(i + 1) and SEPARATOR.match(self.line(i + 1)):
@@ -177,7 +180,7 @@ class Budget:
         return len(text) > self.chars or self.tokens is not None and self.count(text) > self.tokens
 
     def less(self, text: str) -> Budget:
-        return Budget(self.chars - len(text) - 2, None if self.tokens is None else self.tokens - self.count(text), self.count)
+        return Budget(self.chars - len(text) - 2, None if self.tokens is None else self.tokens - self.count(text + "\n\n"), self.count)
 
     def cut(self, text: str) -> tuple[str, str]:
         """The longest beginning that fits, up to a space in its second half where there is one, and the rest."""
@@ -230,11 +233,17 @@ def _prose(block: Block, budget: Budget, overlap: int) -> list[Block]:
 
 
 def _by_lines(block: Block, budget: Budget, head: str = "", foot: str = "", skip: int = 0, drop: int = 0) -> list[Block]:
-    """Whole lines, as many as fit between head and foot; a line that alone is too long is cut in characters."""
+    """Whole lines, as many as fit between head and foot; a line that alone is too long is cut in characters.
+
+    Where head and foot leave no room, all lines are cut without them.
+    """
     lines = block.text.split("\n")
+    if (head or foot) and budget.over(f"{head}x{foot}"):
+        head, foot, skip, drop = "", "", 0, 0
     at = block.start + sum(len(x) + 1 for x in lines[:skip])
     lines = lines[skip : len(lines) - drop]
     room = max(1, budget.chars - len(head) - len(foot))
+    fits = lambda body: not budget.over(f"{head}{body}{foot}")
     out: list[Block] = []
     held, start = "", at
 
@@ -245,14 +254,20 @@ def _by_lines(block: Block, budget: Budget, head: str = "", foot: str = "", skip
         held = ""
 
     for line in lines:
-        if held and len(held) + 1 + len(line) > room:
+        if held and not fits(f"{held}\n{line}"):
             send()
         if not held:
             start = at
-        if len(line) > room:
-            for k in range(0, len(line), room):
-                start, held = at + k, line[k : k + room].strip()
+        if not fits(line):
+            k = 0
+            while k < len(line):
+                lo, size = 1, min(room, len(line) - k)
+                while lo < size and not fits(line[k : k + size]):
+                    mid = (lo + size) // 2
+                    lo, size = (mid + 1, size) if fits(line[k : k + mid + 1]) else (lo, mid)
+                start, held = at + k, line[k : k + size].strip()
                 send()
+                k += size
         else:
             held = f"{held}\n{line}" if held else line
         at += len(line) + 1
@@ -293,11 +308,17 @@ def pack(pieces: list[Block], budget: Budget) -> list[tuple[Block, tuple[str, ..
     blocks, after a table or fence, and where the budget is full; a heading takes the beginning of its text with it."""
     out: list[tuple[Block, tuple[str, ...]]] = []
     held: list[Block] = []
+    size = 0
+
+    def over(text: str) -> bool:
+        return size + len(text) > budget.chars or budget.tokens is not None and budget.over("\n\n".join([*(x.text for x in held), text]))
 
     def flush() -> None:
+        nonlocal size
         if held and (made := _merged(held)).text:
             out.append((made, tuple(dict.fromkeys(b.kind for b in held))))
         held.clear()
+        size = 0
 
     waiting = list(reversed(pieces))
     while waiting:
@@ -306,20 +327,19 @@ def pack(pieces: list[Block], budget: Budget) -> list[tuple[Block, tuple[str, ..
         if held and (b.kind == "heading" or b.pages != held[-1].pages or b.alone and not title):
             flush()
             title = False
-        if held and budget.over("\n\n".join([*(x.text for x in held), b.text])):
-            if title and b.kind == "text":
-                room = budget.less(held[0].text)
-                if room.chars > 0 and (room.tokens is None or room.tokens > 0) and room.over(b.text):
-                    head, tail = room.cut(b.text)
+        if held and over(b.text):
+            room = budget.less(held[0].text)
+            if title and b.kind == "text" and room.chars > 0 and (room.tokens is None or room.tokens > 0):
+                head, tail = room.cut(b.text)
+                if not over(head):
                     held.append(_piece(b, head, b.start))
                     if tail.strip() and not (b.alone and waiting and tail in waiting[-1].text):
                         waiting.append(_piece(b, tail, b.start + max(0, b.text.find(tail, len(head)))))
-                else:
-                    held.append(b)
-                flush()
-                continue
+                    flush()
+                    continue
             flush()
         held.append(b)
+        size += len(b.text) + 2
         if b.kind in ("fence", "table") or b.alone:
             flush()
     flush()
@@ -333,7 +353,11 @@ def chunk(text: str | None, max_chars: int = MAX_CHARS, overlap: int = OVERLAP,
     overlap = max(0, min(overlap, max_chars // 3))
     budget = Budget(max_chars, None if max_tokens is None else max(LEAST_TOKENS, max_tokens), count)
     pieces = [p for b in blocks(text) for p in split(b, budget, overlap)]
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    starts = [0]
+    for line in text.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    if len(starts) > 1 and text[-1] not in LINE_ENDS:
+        starts.pop()
     out = []
     for i, (b, kinds) in enumerate(pack(pieces, budget)):
         assets = [f"{'image' if m[1] else 'link'}:{m[3]}" for m in ASSET.finditer(b.text)]
@@ -378,6 +402,15 @@ def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.withColumn("char_end", end).withColumn("char_start", F.col("char_end") - F.length("line")).select("id", F.col("line_no").cast("long").alias("line_no"), "line", "char_start", "char_end")
 
 
+def line_kinds(rows: DataFrame) -> DataFrame:
+    """Adds kind to lines (id, line_no, line), by the patterns of the scanner: heading, table_start, quote, list, indented or text."""
+    line = F.col("line")
+    follows = F.lead("line").over(W.partitionBy("id").orderBy("line_no"))
+    begins = lambda p: line.rlike("^" + p.pattern)
+    table = line.contains("|") & F.coalesce(follows.contains("|") & follows.rlike("^" + SEPARATOR.pattern), F.lit(False))
+    return rows.withColumn("kind", F.when(line.rlike("^#{1,6} "), "heading").when(table, "table_start").when(begins(QUOTE), "quote").when(begins(LIST), "list").when(begins(INDENTED), "indented").otherwise("text"))
+
+
 def heading_paths(rows: DataFrame) -> DataFrame:
     """Adds heading_path to lines: the last heading of each level that no later heading of a lower level ended."""
     w = W.partitionBy("id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomspan.functions.scalars import facts
 
@@ -17,24 +15,22 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     return F.when((n == 0) & (F.length(hypothesis) == 0), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.levenshtein(reference, hypothesis) / n))
 
 
-def _distance(a: list[str], b: list[str]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+def _as_text(words: Column, known: Column) -> Column:
+    """A character per word: the word's place among the known ones, the first for all others."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-@F.pandas_udf(T.DoubleType())
-def wer(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word error rate on words between Unicode white space."""
+def wer(reference: Column, hypothesis: Column) -> Column:
+    """Word error rate on words between Unicode white space.
 
-    def one(r: str | None, h: str | None) -> float:
-        a, b = (r or "").split(), (h or "").split()
-        return (0.0 if not b else 1.0) if not a else min(1.0, _distance(a, b) / len(a))
-
-    return pd.Series([one(r, h) for r, h in zip(reference, hypothesis, strict=True)], dtype=float)
+    Words are mapped to characters, so the distance is Spark's own; words that the reference lacks never match and share one.
+    """
+    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    a, b = words(reference), words(hypothesis)
+    known = F.array_distinct(a)
+    n = F.size(a)
+    return F.when((n == 0) & (F.size(b) == 0), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.levenshtein(_as_text(a, known), _as_text(b, known)) / n))
 
 
 def fact_recall(reference: Column, hypothesis: Column) -> Column:
@@ -56,22 +52,16 @@ def cell_recall(reference: DataFrame, hypothesis: DataFrame, key: str) -> DataFr
 
 
 def best_assignment(scores: DataFrame, key: str) -> DataFrame:
-    """Greedy pairing of a sample's tables: best score first, of equal scores the higher hypothesis; rows key, ref, hyp, score.
+    """Greedy pairing of a sample's tables, reference by reference: of the free hypotheses that with the best score, of equal scores the highest; rows key, ref, hyp, score.
 
-    Each choice hangs on those before, so a sample is folded in one task; it has few tables.
+    Each choice hangs on those before, so the pairs of a sample, which has few tables, are folded in one row.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        free_hyp, out = set(rows["hyp"]), []
-        for ref in sorted(set(rows["ref"])):
-            own = sorted(((s, h) for r, h, s in zip(rows["ref"], rows["hyp"], rows["score"], strict=True) if r == ref and h in free_hyp), reverse=True)
-            if own:
-                free_hyp.discard(own[0][1])
-                out.append((ref, own[0][1], own[0][0]))
-        return pd.DataFrame({key: rows[key].iloc[0], "ref": [o[0] for o in out], "hyp": [o[1] for o in out], "score": [float(o[2]) for o in out]})
-
-    kind = scores.schema[key].dataType.simpleString()
-    return scores.groupBy(key).applyInPandas(fold, f"{key} {kind}, ref long, hyp long, score double")
+    pairs = F.array_sort(F.collect_list(F.struct("ref", (-F.col("score").cast("double")).alias("s"), (-F.col("hyp").cast("bigint")).alias("h"))))
+    taken = F.array().cast("array<struct<ref:bigint,s:double,h:bigint>>")
+    free = lambda out, p: ~F.exists(out, lambda o: (o["ref"] == p["ref"]) | (o["h"] == p["h"]))
+    kept = F.aggregate(F.col("pairs").cast("array<struct<ref:bigint,s:double,h:bigint>>"), taken, lambda out, p: F.when(free(out, p), F.array_append(out, p)).otherwise(out))
+    each = scores.groupBy(key).agg(pairs.alias("pairs")).select(key, F.explode(kept).alias("p"))
+    return each.select(key, "p.ref", (-F.col("p.h")).alias("hyp"), (-F.col("p.s")).alias("score"))
 
 
 def report(scores: DataFrame) -> DataFrame:

@@ -113,25 +113,36 @@ def meaningful_tokens(text: Column) -> Column:
     return F.sort_array(F.array_except(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) > 2)), left_out))
 
 
-def contradictions(segments: DataFrame) -> DataFrame:
-    """Pairs of segments of one source, in order, of opposite polarity and with two or more meaningful tokens in common.
-
-    Joined over tokens, so segments that share nothing never meet.
+def _met(each: DataFrame, group: str, own: str, asked: Column | None) -> DataFrame:
+    """Rows of one group and token, as l and r: each pair once, or with asked, those whose left row is asked for."""
+    left = (each if asked is None else each.where(asked)).alias("l")
+    ahead = F.col(f"l.{own}") < F.col(f"r.{own}")
+    if asked is not None:
+        right = each.withColumn("asked", asked)
+        ahead = ahead | (F.col(f"l.{own}") != F.col(f"r.{own}")) & ~F.coalesce("r.asked", F.lit(False))
+    else:
+        right = each
+    return left.join(right.alias("r"), (F.col(f"l.{group}") == F.col(f"r.{group}")) & (F.col("l.token") == F.col("r.token")) & ahead)
+
+
+def contradictions(segments: DataFrame, asked: Column | None = None) -> DataFrame:
+    """Pairs of segments of one source, of opposite polarity and with two or more meaningful tokens in common.
+
+    Joined over tokens, so segments that share nothing never meet. Of a large source only the segments for which asked (over source_id and segment_index) holds should be
+    looked up among all others; a pair of two that are asked for comes once, in order.
     """
     base = segments.where("text <> ''").select("source_id", "segment_index", polarity(F.col("text")).alias("polarity"), meaningful_tokens(F.col("text")).alias("own")).where("polarity <> 'neutral'")
     each = base.select("source_id", "segment_index", "polarity", F.explode("own").alias("token"))
-    left, right = each.alias("l"), each.alias("r")
-    pairs = left.join(right, (F.col("l.source_id") == F.col("r.source_id")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.polarity") != F.col("r.polarity")) & (F.col("l.segment_index") < F.col("r.segment_index")))
+    pairs = _met(each, "source_id", "segment_index", asked).where(F.col("l.polarity") != F.col("r.polarity"))
     found = pairs.groupBy(F.col("l.source_id").alias("source_id"), F.col("l.segment_index").alias("left_index"), F.col("r.segment_index").alias("right_index")).agg(F.sort_array(F.collect_set("l.token")).alias("shared")).where(F.size("shared") >= 2)
     return found.select("source_id", "left_index", "right_index", F.array_join(F.slice("shared", 1, 8), ",").alias("shared_terms"))
 
 
-def pairwise_overlap(texts: DataFrame) -> DataFrame:
-    """Jaccard overlap of the word sets of texts of one group: rows group, id, text. Pairs without a common word are left out."""
+def pairwise_overlap(texts: DataFrame, asked: Column | None = None) -> DataFrame:
+    """Jaccard overlap of the word sets of texts of one group: rows group, id, text. Pairs without a common word are left out; asked (over grp and id) as in contradictions."""
     sets = texts.select("grp", "id", F.array_distinct(tokens(F.col("text"))).alias("own")).where(F.size("own") > 0)
     each = sets.select("grp", "id", F.size("own").alias("n"), F.explode("own").alias("token"))
-    l, r = each.alias("l"), each.alias("r")  # noqa: E741
-    both = l.join(r, (F.col("l.grp") == F.col("r.grp")) & (F.col("l.token") == F.col("r.token")) & (F.col("l.id") < F.col("r.id")))
+    both = _met(each, "grp", "id", asked)
     both = both.groupBy(F.col("l.grp").alias("grp"), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.n").alias("a"), F.col("r.n").alias("b")).agg(F.count("*").alias("common"))
     share = F.col("common") / (F.col("a") + F.col("b") - F.col("common"))
     label = F.when(share >= L.DUPLICATE_OVERLAP, "duplicate_or_retake").when(share >= L.RELATED_OVERLAP, "related_or_follow_up").otherwise("unrelated_or_low_overlap")

@@ -19,9 +19,9 @@ def chunk_documents(s, d):
 
 
 def chunk_coverage(s, d):
-    """Per document whether its chunks' spans hold its beginning and end, and how long the longest is."""
+    """Per document whether every chunk keeps to the budget and has a span that runs forward."""
     c = M.chunks(_docs(s, d), "doc_id", "text", "source", overlap=0)
-    return c.groupBy(F.col("id").alias("doc_id")).agg(F.max(F.col("char_count") <= 1800).alias("within_budget"), (F.min("char_start") == 0).alias("from_start"))
+    return c.groupBy(F.col("id").alias("doc_id")).agg(F.bool_and(F.col("char_count") <= M.MAX_CHARS).alias("within_budget"), F.bool_and(F.col("char_end") >= F.col("char_start")).alias("forward"))
 
 
 def chunk_neighbours(s, d):
@@ -37,7 +37,7 @@ def neighbour_links(s, d):
 def semantic_read(s, d):
     rows = table(s, d, "conversations")
     nxt = F.lead("turn").over(W.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("next_index", F.coalesce(nxt, F.lit(-1))).where("turn = 2").select("conv_id", F.sha2("text", 256).alias("text_sha256"), "next_index")
+    return rows.withColumn("next_index", F.coalesce(nxt, F.lit(-1))).select("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"), "next_index")
 
 
 def line_offsets(s, d):
@@ -46,7 +46,7 @@ def line_offsets(s, d):
 
 def _marked(s, d):
     """Lines of documents, some of them made headings, page markers, list items, quotes, captions or table rows."""
-    rows = M.lines(_docs(s, d), "doc_id", "text").select("id", "line_no", F.substring("line", 1, 30).alias("line"))
+    rows = M.lines(_docs(s, d), "doc_id", "text").select("id", "line_no", "line")
     n = F.col("line_no")
     mark = F.when(n % 7 == 1, F.concat(F.lit("# "), "line")).when(n % 7 == 3, F.concat(F.lit("## "), "line")).when(n % 7 == 4, F.concat(F.lit("### "), "line"))
     mark = mark.when(n % 11 == 5, F.concat(F.lit("<!-- pages: "), n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit(" -->"))).when(n % 13 == 6, F.lit("| a | b |")).when(n % 13 == 7, F.lit("| --- | :---: |"))
@@ -63,10 +63,7 @@ def page_markers(s, d):
 
 
 def line_kinds(s, d):
-    line = F.col("line")
-    follows = F.lead("line").over(W.partitionBy("id").orderBy("line_no"))
-    kind = F.when(line.rlike("^#{1,6} "), "heading").when(line.contains("|") & F.coalesce(follows.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"), F.lit(False)), "table_start").when(line.rlike("^ {0,3}>"), "quote").when(line.rlike(r"^ {0,3}([-*+]|\d{1,9}[.)])([ \t]|$)"), "list").when(line.rlike(r"^( {4}|\t)\s*\S"), "indented").otherwise("text")
-    return _marked(s, d).withColumn("kind", kind).groupBy(F.col("id").alias("doc_id"), "kind").agg(F.count("*").alias("lines"))
+    return M.line_kinds(_marked(s, d)).groupBy(F.col("id").alias("doc_id"), "kind").agg(F.count("*").alias("lines"))
 
 
 def captions(s, d):
@@ -76,7 +73,7 @@ def captions(s, d):
 def contextual_text(s, d):
     p = table(s, d, "pages")
     path = F.concat_ws(" > ", X.html_title(F.col("html")), F.element_at(F.split(F.split_part("url", F.lit("?"), F.lit(1)), "/"), -1))
-    return p.select("page_id", F.concat(path, F.lit("\n\n"), F.substring("html", 1, 50)).alias("contextual_text"))
+    return p.select("page_id", F.concat(path, F.lit("\n\n"), "html").alias("contextual_text"))
 
 
 def retrieval(s, d):
@@ -134,7 +131,7 @@ def chart_pivot(s, d):
 
 
 def local_context(s, d):
-    rows = table(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.substring("text", 1, 20).alias("text"))
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "text")
     return X.local_context(rows, 2, 1).select(F.col("id").alias("conv_id"), F.col("pos").alias("turn"), "context_before", "context_after")
 
 
@@ -163,17 +160,18 @@ QUERIES = {f.__name__: f for f in (chunk_documents, chunk_coverage, chunk_neighb
 
 LINES = "ls as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents)"
 MARKED = LINES + """, mk as (select doc_id, line_no, case when line_no % 7 = 1 then '# ' || l when line_no % 7 = 3 then '## ' || l when line_no % 7 = 4 then '### ' || l when line_no % 11 = 5 then '<!-- pages: ' || line_no || '-' || (line_no + 2) || ' -->'
- when line_no % 13 = 6 then '| a | b |' when line_no % 13 = 7 then '| --- | :---: |' when line_no % 5 = 0 then '- ' || l when line_no % 5 = 2 then '> ' || l when line_no % 17 = 8 then 'Table ' || line_no || ': x' else l end as line from (select doc_id, line_no, substr(line, 1, 30) as l from ls))"""
+ when line_no % 13 = 6 then '| a | b |' when line_no % 13 = 7 then '| --- | :---: |' when line_no % 5 = 0 then '- ' || l when line_no % 5 = 2 then '> ' || l when line_no % 17 = 8 then 'Table ' || line_no || ': x' else l end as line from (select doc_id, line_no, line as l from ls))"""
 
 SQL = {
+    "chunk_coverage": "select doc_id, true as within_budget, true as forward from documents where trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''",
     "neighbour_links": "select conv_id || '-' || turn as chunk_id, lag(conv_id || '-' || turn) over w as previous_id, lead(conv_id || '-' || turn) over w as next_id from conversations window w as (partition by conv_id order by turn)",
-    "semantic_read": "select conv_id, sha256(text) as text_sha256, next_index from (select *, coalesce(lead(turn) over (partition by conv_id order by turn), -1) as next_index from conversations) where turn = 2",
+    "semantic_read": "select conv_id, turn, sha256(text) as text_sha256, next_index from (select *, coalesce(lead(turn) over (partition by conv_id order by turn), -1) as next_index from conversations)",
     "line_offsets": f"with {LINES}, e as (select *, sum(length(line) + 1) over (partition by doc_id order by line_no)::bigint - 1 as char_end from ls) select doc_id, line_no, char_end - length(line) as char_start, char_end from e",
     "heading_paths": f"with {MARKED}, h as (select *, case when starts_with(line, '# ') then 1 when starts_with(line, '## ') then 2 when starts_with(line, '### ') then 3 end as lv, regexp_replace(line, '^#+ +', '') as t from mk), w as (select *, max(case when lv = 1 then line_no end) over o as a, max(case when lv = 2 then line_no end) over o as b, max(case when lv = 3 then line_no end) over o as c, arg_max(case when lv = 1 then t end, case when lv = 1 then line_no end) over o as x, arg_max(case when lv = 2 then t end, case when lv = 2 then line_no end) over o as y, arg_max(case when lv = 3 then t end, case when lv = 3 then line_no end) over o as z from h window o as (partition by doc_id order by line_no rows unbounded preceding)) select doc_id, line_no, sha256(concat_ws(' > ', x, case when b > coalesce(a, 0) then y end, case when c > greatest(coalesce(a, 0), coalesce(b, 0)) then z end)) as path_sha256 from w",
     "page_markers": f"with {MARKED}, p as (select *, nullif(regexp_extract(line, '^<!-- pages: ([0-9,-]+) -->$', 1), '') as m from mk) select doc_id, line_no, coalesce(last_value(m ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), '') as pages from p",
     "line_kinds": f"with {MARKED}, f as (select *, lead(line) over (partition by doc_id order by line_no) as nx from mk) select doc_id, case when regexp_matches(line, '^#+ ') then 'heading' when contains(line, '|') and coalesce(nx = '| --- | :---: |', false) then 'table_start' when starts_with(line, '>') then 'quote' when regexp_matches(line, '^ {{0,3}}([-*+]|[0-9]{{1,9}}[.)])([ \\t]|$)') then 'list' when regexp_matches(line, '^( {{4}}|\\t)\\s*\\S') then 'indented' else 'text' end as kind, count(*) as lines from f group by 1, 2",
     "captions": f"with {MARKED}, c as (select doc_id, line_no, last_value(case when trim(line) <> '' then trim(line) end ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as caption from mk) select * from c where regexp_matches(caption, '^(?i)(table|figure) +[0-9]+ *[:.]')",
-    "contextual_text": "select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) || ' > ' || list_last(string_split(split_part(url, '?', 1), '/')) || chr(10) || chr(10) || substr(html, 1, 50) as contextual_text from pages",
+    "contextual_text": "select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) || ' > ' || list_last(string_split(split_part(url, '?', 1), '/')) || chr(10) || chr(10) || html as contextual_text from pages",
     "retrieval": "with q as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) as w from benchmark), c as (select doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) as w from documents), h as (select item_id, doc_id, count(*) as score from q join c using (w) group by 1, 2) select item_id as query_id, doc_id as chunk_id, score, row_number() over (partition by item_id order by score desc, doc_id) as place from h qualify place <= 3",
     "content_types": "with t as (select source, unnest(list_filter(['text', case when doc_id % 3 = 0 then 'table' end, case when doc_id % 4 = 0 then 'image' end, case when regexp_matches(text, '\\[ \\]|\\[x\\]') then 'task_list' end], lambda x: x is not null)) as t from documents) select source, string_agg(distinct t, ',' order by t) as content_types from t group by 1",
     "html_titles": "select page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title from pages",
@@ -182,7 +180,7 @@ SQL = {
     "stitched_tables": "with p as (select l_orderkey as doc, l_linestatus as header, l_linenumber as rows, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) as pos from lineitem), n as (select *, case when lag(header) over (partition by doc order by pos) = header then 0 else 1 end as nw from p), r as (select *, sum(nw) over (partition by doc order by pos)::bigint as table_no from n) select doc, table_no, arg_min(header, pos) as header, count(*) as segment_count, sum(rows)::bigint as rows, count(*) > 1 as multi_page from r group by 1, 2",
     "table_union": "with t as (select p_partkey, p_size, p_brand, 'markdown' as source from part where p_partkey % 2 = 0 union all select p_partkey, p_size, p_brand, 'html' from part where p_partkey % 3 = 0) select p_partkey, source, case when p_size > 25 then p_brand else 'table:' || source end as evidence from t",
     "chart_pivot": "with g as (select l_orderkey as chart, l_linenumber as x, coalesce(max(l_quantity) filter (l_returnflag = 'A'), 0.0) as a, coalesce(max(l_quantity) filter (l_returnflag = 'N'), 0.0) as n, coalesce(max(l_quantity) filter (l_returnflag = 'R'), 0.0) as r from lineitem group by 1, 2) select *, row_number() over (partition by chart order by x) as row from g",
-    "local_context": "select conv_id, turn, coalesce(string_agg(substr(text, 1, 20), ' ') over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), '') as context_before, coalesce(string_agg(substr(text, 1, 20), ' ') over (partition by conv_id order by turn rows between 1 following and 1 following), '') as context_after from conversations",
+    "local_context": "select conv_id, turn, coalesce(string_agg(text, ' ') over (partition by conv_id order by turn rows between 2 preceding and 1 preceding), '') as context_before, coalesce(string_agg(text, ' ') over (partition by conv_id order by turn rows between 1 following and 1 following), '') as context_after from conversations",
     "chunk_strategies": "select p_partkey, case p_partkey % 5 when 0 then 'markdown_blocks' when 1 then 'markdown_blocks' when 4 then 'unknown' else case when p_size > 10 then 'markdown_blocks_fallback' else 'refused' end end as strategy from part",
     "normalized_lines": f"with {MARKED}, n as (select doc_id, line_no, trim(lower(regexp_replace(regexp_replace(line, '^[#>*+-]+ *', ''), '[ \\t]+', ' ', 'g'))) as n from mk) select a.doc_id, min(a.line_no) as line_no from n a join n b on a.doc_id = b.doc_id and b.line_no = 1 and a.n = b.n and a.line_no > 1 group by 1",
     "payload_html": "select n_nationkey, '<table><tr><th>' || n_name || '&lt;&amp;&gt;</th></tr></table>' as html from nation",

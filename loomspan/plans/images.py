@@ -19,15 +19,15 @@ def average_hash(s, d):
 
 
 def hamming_pairs(s, d):
-    """Distances of images of one label whose hashes agree in one of four bytes that are compared first."""
-    h = _hashes(s, d).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("key", F.substring("hash", F.col("part") * 4 + 1, F.lit(2)))
-    a, b = h.alias("a"), h.alias("b")
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), I.hamming(F.col("a.hash"), F.col("b.hash")).alias("distance")).distinct()
+    """Pairs of a label's different hashes that differ in at most seven bits, each hash by the first image that has it; beside every image stands one whose hash begins with up to three zeros."""
+    h = _hashes(s, d)
+    zeros = (F.col("vec_id") % 4).cast("int")
+    altered = h.select((-F.col("vec_id") - 1).alias("vec_id"), "label", F.concat(F.repeat(F.lit("0"), zeros), F.substring("hash", zeros + 1, F.lit(16))).alias("hash"))
+    return I.near_hashes(h.union(altered), "label", "vec_id", "hash", 7)
 
 
 def image_dedup_groups(s, d):
-    h = _hashes(s, d).select("vec_id", F.when(F.col("vec_id") % 10 != 0, F.substring("hash", 1, 1)).alias("hash"), F.lit(0.25).alias("price"))
+    h = _hashes(s, d).select("vec_id", F.when(F.col("vec_id") % 10 != 0, F.col("hash")).alias("hash"), F.lit(0.25).alias("price"))
     return I.dedup_groups(h, "vec_id", "hash", "price").select("vec_id", "representative", "is_representative", "cost")
 
 
@@ -103,7 +103,7 @@ def batch_answers(s, d):
 
 def mermaid_check(s, d):
     k = F.col("doc_id")
-    made = F.when(k % 3 == 0, F.concat(F.lit("graph TD; A[start] --> B(end) "), F.substring("lang", 1, 2))).when(k % 3 == 1, F.concat(F.lit("flowchart LR; A[x --> "), F.col("lang"))).otherwise(F.substring("text", 1, 60))
+    made = F.when(k % 3 == 0, F.concat(F.lit("graph TD; A[start] --> B(end) "), F.substring("lang", 1, 2))).when(k % 3 == 1, F.concat(F.lit("flowchart LR; A[x --> "), F.col("lang"))).otherwise(F.col("text"))
     return table(s, d, "documents").select("doc_id", I.is_mermaid(made).alias("valid"))
 
 
@@ -133,7 +133,7 @@ HASH = """h as (select vec_id, label, printf('%08x%08x', list_sum(list_transform
  from (select vec_id, label, embedding::double[] as e, list_reduce(list_prepend(0.0::double, embedding::double[]), lambda a, b: a + b) / len(embedding) as m from embeddings))"""
 BIT = " + ".join(f"bit_count(xor(('0x' || substr(a.hash, {at}, 8))::bigint, ('0x' || substr(b.hash, {at}, 8))::bigint))" for at in (1, 9))
 BATCH = "b as (select vec_id, label, ((row_number() over (partition by label order by vec_id) - 1) // 8) as batch from embeddings)"
-GROUPS = "g as (select vec_id, coalesce(case when vec_id % 10 <> 0 then substr(hash, 1, 1) end, '#' || vec_id) as k from h), r as (select vec_id, min(vec_id) over (partition by k) as representative from g)"
+GROUPS = "g as (select vec_id, coalesce(case when vec_id % 10 <> 0 then hash end, '#' || vec_id) as k from h), r as (select vec_id, min(vec_id) over (partition by k) as representative from g)"
 _labels = "[" + ", ".join(f"'{x}'" for x in [*L.TEXT_LABELS, *L.VLM_LABELS, "Picture", "Figure", "Other"]) + "]"
 _n = len(L.TEXT_LABELS) + len(L.VLM_LABELS) + 3
 SIGNALS = f"s as (select event_id, (event_id % 60) / 100.0::double as density, event_id % 5 as lines, case when event_id % 3 <> 0 then 'vlm' else 'ocr' end as visual, event_id % 2 = 0 as strict, ({_labels})[1 + event_id % {_n}] as label from events)"
@@ -144,7 +144,7 @@ _pp = "(values " + ", ".join(f"('{p}', {a}::double, {b}::double)" for p, (a, b)
 
 SQL = {
     "average_hash": f"with {HASH} select vec_id, hash from h",
-    "hamming_pairs": f"with {HASH} select a.vec_id as left_id, b.vec_id as right_id, ({BIT})::int as distance from h a join h b on a.label = b.label and a.vec_id < b.vec_id and (substr(a.hash, 1, 2) = substr(b.hash, 1, 2) or substr(a.hash, 5, 2) = substr(b.hash, 5, 2) or substr(a.hash, 9, 2) = substr(b.hash, 9, 2) or substr(a.hash, 13, 2) = substr(b.hash, 13, 2))",
+    "hamming_pairs": f"with {HASH}, f as (select label, hash, min(vec_id) as vec_id from (select vec_id, label, hash from h union all select -vec_id - 1, label, repeat('0', (vec_id % 4)::int) || substr(hash, (vec_id % 4)::int + 1) from h) group by 1, 2) select a.label, a.vec_id as left_id, b.vec_id as right_id, ({BIT})::int as distance from f a join f b on a.label = b.label and a.vec_id < b.vec_id where {BIT} <= 7",
     "image_dedup_groups": f"with {HASH}, {GROUPS} select vec_id, representative, vec_id = representative as is_representative, case when vec_id = representative then 0.25 else 0.0 end::double as cost from r",
     "image_caps": "with r as (select label, row_number() over (partition by label order by vec_id) as p from embeddings) select label, count(*) filter (p <= 50) as processed, count(*) filter (p > 50) as skipped from r group by label",
     "image_batches": f"with {BATCH} select vec_id, label, batch from b",
@@ -157,7 +157,7 @@ SQL = {
     "usage_extract": "select event_id, event_id as prompt_tokens, (props->>'$.k')::bigint as completion_tokens from events",
     "downscale": "with d as (select p_partkey, p_partkey % 2000 + 1 as w, (p_size * 31)::bigint as h from part) select p_partkey, case when greatest(w, h) > 768 then greatest(1, round_even(w * 768 / greatest(w, h)::double, 0)::bigint) else w end as width, case when greatest(w, h) > 768 then greatest(1, round_even(h * 768 / greatest(w, h)::double, 0)::bigint) else h end as height from d",
     "batch_answers": "select o_orderkey, 0 as index, 'a' || o_orderkey as label from orders union all select o_orderkey, (o_orderkey % 4)::int, 'b' from orders where o_orderkey % 4 in (1, 2)",
-    "mermaid_check": "with m as (select doc_id, case doc_id % 3 when 0 then 'graph TD; A[start] --> B(end) ' || lang when 1 then 'flowchart LR; A[x --> ' || lang else substr(text, 1, 60) end as t from documents) select doc_id, length(t) between 20 and 5000 and regexp_matches(t, '^(graph |flowchart|sequenceDiagram|stateDiagram|classDiagram|erDiagram|gitGraph|pie|journey)') and length(replace(t, '[', '')) = length(replace(t, ']', '')) and length(replace(t, '(', '')) = length(replace(t, ')', '')) and regexp_matches(t, '(->|---|-\\.-|==>)') as valid from m",
+    "mermaid_check": "with m as (select doc_id, case doc_id % 3 when 0 then 'graph TD; A[start] --> B(end) ' || lang when 1 then 'flowchart LR; A[x --> ' || lang else text end as t from documents) select doc_id, length(t) between 20 and 5000 and regexp_matches(t, '^(graph |flowchart|sequenceDiagram|stateDiagram|classDiagram|erDiagram|gitGraph|pie|journey)') and length(replace(t, '[', '')) = length(replace(t, ']', '')) and length(replace(t, '(', '')) = length(replace(t, ')', '')) and regexp_matches(t, '(->|---|-\\.-|==>)') as valid from m",
     "ocr_merge": "select doc_id, case when doc_id % 8 = 0 then 'replaced' when doc_id % 4 = 0 then 'rejected' else 'kept' end as state from documents",
     "image_outcomes": f"with {HASH}, {GROUPS} select vec_id, case representative % 3 when 0 then 'router-local' when 1 then 'local-ocr' else 'vision-model' end as origin, representative % 3 = 0 as omitted, vec_id <> representative as replayed, case when vec_id = representative then 0.25 else 0.0 end::double as cost from r",
     "missing_retries": f"with {BATCH} select vec_id, label, batch from b where vec_id % 5 = 0",

@@ -22,7 +22,7 @@ def secret_scan(s, d):
 
 
 def path_redaction(s, d):
-    made = F.concat(F.substring("text", 1, 40), F.lit(" see C:\\data\\a.txt in/home/user/"), F.col("lang"), F.lit(".txt and /tmp/x"))
+    made = F.concat("text", F.lit(" see C:\\data\\a.txt in/home/user/"), F.col("lang"), F.lit(".txt and /tmp/x"))
     return _docs(s, d).select("doc_id", S.redact_paths(made).alias("redacted"))
 
 
@@ -136,22 +136,18 @@ def _whole_pairs(s, d):
     return b.join(_docs(s, d).select(F.col("doc_id").alias("item_id"), F.col("text").alias("hypothesis")), "item_id")
 
 
-def _pairs(s, d):
-    return _whole_pairs(s, d).withColumn("hypothesis", F.substring("hypothesis", 1, 300))
-
-
 def cer_report(s, d):
-    return _pairs(s, d).where("octet_length(hypothesis) = length(hypothesis) and octet_length(reference) = length(reference)").select("item_id", F.round(M.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
+    return _whole_pairs(s, d).select("item_id", F.round(M.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
 
 
 def wer_report(s, d):
-    return _whole_pairs(s, d).select("item_id", F.round(M.wer("reference", "hypothesis"), 6).alias("wer"))
+    return _whole_pairs(s, d).select("item_id", F.round(M.wer(F.col("reference"), F.col("hypothesis")), 6).alias("wer"))
 
 
 def facts_recall(s, d):
     made = F.concat("reference", F.lit(" 12% and 3.5, "), F.col("item_id").cast("string"))
     other = F.concat("hypothesis", F.lit(" 12 "), (F.col("item_id") % 4).cast("string"))
-    return _pairs(s, d).select("item_id", F.round(M.fact_recall(made, other), 6).alias("recall"))
+    return _whole_pairs(s, d).select("item_id", F.round(M.fact_recall(made, other), 6).alias("recall"))
 
 
 def combined_scores(s, d):
@@ -242,7 +238,7 @@ def ocr_text(s, d):
 
 
 def ocr_tables(s, d):
-    made = F.when(F.col("doc_id") % 3 == 0, F.lit("| a | b |\n| c | d |")).when(F.col("doc_id") % 3 == 1, F.lit("| a\nb")).otherwise(F.substring("text", 1, 50))
+    made = F.when(F.col("doc_id") % 3 == 0, F.lit("| a | b |\n| c | d |")).when(F.col("doc_id") % 3 == 1, F.lit("| a\nb")).otherwise(F.col("text"))
     rows = F.filter(F.split(made, "\n"), lambda r: r.contains("|"))
     cells = F.exists(rows, lambda r: F.size(F.filter(F.split(r, r"\|"), lambda c: F.trim(c) != "")) >= 2)
     return _docs(s, d).select("doc_id", ((F.size(rows) >= 2) & cells).alias("accepted"))
@@ -258,13 +254,13 @@ QUERIES = {f.__name__: f for f in (secret_scan, path_redaction, redact_flat, mas
 
 FACTS = "list_sort(list_distinct(list_transform(regexp_extract_all({t}, '[0-9]+(?:[.,][0-9]+)*%?'), lambda x: rtrim(x, '%'))))"
 URLS = "list_sort(list_distinct(list_transform(regexp_extract_all({t}, 'https?://[^\\s)>\\]\"'']+'), lambda x: rtrim(x, '.,'))))"
-PAIRS = "pr as (select b.item_id, b.text as r, substr(d.text, 1, 300) as h from benchmark b join documents d on d.doc_id = b.item_id)"
+PAIRS = "pr as (select b.item_id, b.text as r, d.text as h from benchmark b join documents d on d.doc_id = b.item_id)"
 NAME = "n as (select p_partkey, (case when p_partkey % 5 = 0 then '..\\' when p_partkey % 3 = 0 then 'a/b/../' else '' end) || 'Re port: ' || p_partkey || (case when p_partkey % 7 = 0 then '*?.docx' else '.pdf' end) as name from part), lf as (select *, list_last(string_split(replace(name, '\\', '/'), '/')) as leaf from n)"
 SCORES = "b as (select l.doc_id, l.quality, d.lang from labels l join documents d using (doc_id)), sc as (select 'base' as config, lang || ':' || doc_id as sample_id, quality * 0.7::double + (doc_id % 30) / 100.0::double as combined from b union all select 'new', lang || ':' || doc_id, quality * 0.75::double + (doc_id % 25) / 100.0::double from b), rp as (select config, count(*) as samples, round(avg(combined), 6) as mean_combined, avg(combined) >= 0.8 as passing, count(*) filter (combined < 0.8) as regressions, sha256(coalesce(string_agg(sample_id, ',' order by sample_id) filter (combined < 0.8), '')) as regression_ids from sc group by config)"
 
 SQL = {
     "secret_scan": r"""with m as (select doc_id, text || case when doc_id % 5 = 0 then chr(10) || 'api_key=abcdef12345' when doc_id % 7 = 0 then chr(10) || '/home/me/x.txt' else '' end as t from documents), f as (select doc_id, regexp_matches(t, '(?i)([A-Za-z]:\\Users\\|/Users/|/home/|\\\\[^\\\s]+\\[^\\\s]+)') as private_path, regexp_matches(t, '(?i)(api[_-]?key|secret|token|password)\s*[:=]\s*[A-Za-z0-9_\-]{8,}') as secret from m) select doc_id, private_path, secret, case when private_path or secret then 0.0 else 1.0 end::double as privacy_score from f""",
-    "path_redaction": r"""select doc_id, regexp_replace(substr(text, 1, 40) || ' see C:\data\a.txt in/home/user/' || lang || '.txt and /tmp/x', '(?i)\b(?:[a-z]:\\|\\\\[^\\\s]+\\|/users/|/home/|/var/|/tmp/)[^\s<>"]+', '[redacted-path]', 'g') as redacted from documents""",
+    "path_redaction": r"""select doc_id, regexp_replace(text || ' see C:\data\a.txt in/home/user/' || lang || '.txt and /tmp/x', '(?i)\b(?:[a-z]:\\|\\\\[^\\\s]+\\|/users/|/home/|/var/|/tmp/)[^\s<>"]+', '[redacted-path]', 'g') as redacted from documents""",
     "redact_flat": "select event_id, '[REDACTED]' as token, '[REDACTED]' as header, case when event_id % 600 > 512 then 515 else event_id % 600 end as note_chars, 'https://example.com:8080/a/b' as page_url from events",
     "mask_config": "select event_id, '****' as openai_key, event_type as mode from events",
     "redact_urls": "select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://)[^/@]*@', '\\1') as url from pages",
@@ -283,9 +279,11 @@ SQL = {
     "markdown_table": "select n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || '\\|x<br>y |', chr(10) order by n_nationkey) as markdown from nation group by 1",
     "output_manifest": "select doc_id, '{\"schema_version\":\"output_manifest.v1\",\"job_id\":' || doc_id || ',\"output\":{\"sha256\":\"' || sha256(text) || '\",\"bytes\":' || strlen(text) || '}}' as manifest from documents",
     "format_merge": "select doc_id, case when doc_id % 2 = 0 then 'markdown=' || doc_id else 'html=' || doc_id || ',markdown=a' end as formats from documents",
-    "cer_report": f"with {PAIRS} select item_id, round(least(1.0, levenshtein(r, h) / length(r)::double), 6) as cer from pr where strlen(r) = length(r) and strlen(h) = length(h)",
+    "cer_report": f"with {PAIRS}, k as (select *, list_distinct(string_split(r, '')) as u from pr), m as (select item_id, r, array_to_string(list_transform(string_split(r, ''), lambda c: chr(33 + list_position(u, c)::int)), '') as a, array_to_string(list_transform(string_split(h, ''), lambda c: chr(33 + coalesce(list_position(u, c), 0)::int)), '') as b from k) select item_id, round(least(1.0, levenshtein(a, b) / length(r)::double), 6) as cer from m",
+    "wer_report": f"with {PAIRS}, w as (select item_id, list_filter(string_split_regex(r, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1680}}]+'), lambda x: x <> '') as a, list_filter(string_split_regex(h, '[\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{1680}}]+'), lambda x: x <> '') as b from pr), k as (select *, list_distinct(a) as u from w), m as (select item_id, len(a) as n, array_to_string(list_transform(a, lambda c: chr(33 + list_position(u, c)::int)), '') as x, array_to_string(list_transform(b, lambda c: chr(33 + coalesce(list_position(u, c), 0)::int)), '') as y from k) select item_id, round(least(1.0, levenshtein(x, y) / n::double), 6) as wer from m",
     "facts_recall": f"with {PAIRS}, m as (select item_id, {FACTS.format(t='''(r || ' 12% and 3.5, ' || item_id)''')} as a, {FACTS.format(t='''(h || ' 12 ' || (item_id % 4))''')} as b from pr) select item_id, round(len(list_intersect(a, b)) / len(a)::double, 6) as recall from m",
     "combined_scores": "select doc_id, round(case when doc_id % 3 = 0 then ((doc_id % 11) / 10.0::double + (doc_id % 5) / 4.0::double) / 2 else (1 - (doc_id % 100) / 100.0::double + 1 - (doc_id % 70) / 100.0::double + (doc_id % 5) / 4.0::double) / 3 end, 6) as combined from documents",
+    "table_assignment": "with recursive o as (select l_orderkey as k, l_linenumber::bigint as t, max(l_partkey) % 4 as v from lineitem group by 1, 2), sc as (select a.k, a.t as ref, b.t as hyp, ((a.v + b.v) % 4) / 4.0::double as score, dense_rank() over (partition by a.k order by a.t) as step from o a join o b on a.k = b.k), f as (select k, 0::bigint as step, null::bigint as ref, null::bigint as hyp, null::double as score, []::bigint[] as used from (select distinct k from o) union all select f.k, f.step + 1, sc.ref, arg_max(sc.hyp, {'s': sc.score, 'h': sc.hyp}), max(sc.score), list_append(any_value(f.used), arg_max(sc.hyp, {'s': sc.score, 'h': sc.hyp})) from f join sc on sc.k = f.k and sc.step = f.step + 1 and not list_contains(f.used, sc.hyp) group by f.k, f.step, sc.ref) select k as l_orderkey, ref, hyp, score from f where step > 0",
     "table_cell_recall": "with g as (select l_orderkey, l_linenumber as r, max(l_returnflag) as a, max(l_linestatus) as b from lineitem group by 1, 2), c as (select l_orderkey, r, 0 as c, a as v from g union all select l_orderkey, r, 1, b from g) select l_orderkey, count(*) as cells, round(avg(case when r = 2 and c = 1 then 0.0 when v = 'A' then 1.0 when r = 3 then 0.0 else 1.0 end), 6) as recall from c group by 1",
     "benchmark_report": f"with {SCORES} select * from rp",
     "config_compare": f"with {SCORES} select b.mean_combined as baseline, n.mean_combined as candidate, round(n.mean_combined - b.mean_combined, 6) as delta, n.passing and round(n.mean_combined - b.mean_combined, 6) > 0 as should_swap from rp b, rp n where b.config = 'base' and n.config = 'new'",
@@ -296,7 +294,7 @@ SQL = {
     "native_comparison": "select doc_id, case when doc_id % 9 = 0 then 'missing' when doc_id % 3 > 0 then 'native_longer' else 'equal' end as verdict from documents",
     "router_eval": "with x as (select case when quality = 1 then 'fast' else 'deep' end as expected, case when n_chars % 5 <> 0 then 'fast' else 'deep' end as actual from labels join documents using (doc_id)) select expected, actual, count(*) as samples, expected = actual as ok from x group by 1, 2",
     "report_markdown": f"with {SCORES} select string_agg('| ' || config || ' | ' || samples || ' | ' || case when passing then 'pass' else 'fail' end || ' |', chr(10) order by config) as report from rp",
-    "ocr_tables": "select doc_id, case doc_id % 3 when 0 then true when 1 then false else len(list_filter(string_split(substr(text, 1, 50), chr(10)), lambda r: contains(r, '|'))) >= 2 and len(list_filter(string_split(substr(text, 1, 50), chr(10)), lambda r: len(list_filter(string_split(r, '|'), lambda c: trim(c) <> '')) >= 2 and contains(r, '|'))) > 0 end as accepted from documents",
+    "ocr_tables": "select doc_id, case doc_id % 3 when 0 then true when 1 then false else len(list_filter(string_split(text, chr(10)), lambda r: contains(r, '|'))) >= 2 and len(list_filter(string_split(text, chr(10)), lambda r: len(list_filter(string_split(r, '|'), lambda c: trim(c) <> '')) >= 2 and contains(r, '|'))) > 0 end as accepted from documents",
     "ocr_formulas": "select doc_id, case doc_id % 3 when 0 then true when 1 then false else length(replace(text, '{', '')) = length(replace(text, '}', '')) and len(regexp_extract_all(text, '[A-Za-z]{4,}')) <= 6 end as accepted from documents",
     "ocr_text": "with m as (select doc_id, case when doc_id % 10 = 0 then repeat('same ', 9) when doc_id % 10 = 1 then '  ' else text end as t from documents), w as (select doc_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') as c, regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+') as k from m), r as (select doc_id, c, case when len(k) < 6 then 0.0 else len(list_filter(range(1, len(k)), lambda i: k[i] = k[i + 1])) / (len(k) - 1)::double end as rr from w) select doc_id, c <> '' and rr < 0.25 as accepted, ((c <> '')::int + (rr < 0.25)::int + (c <> '')::int + 1) / 4.0::double as score, round(rr, 6) as repeat_ratio from r",
 }

@@ -121,8 +121,9 @@ def meaningful_tokens(s, d):
 
 
 def pairwise_overlap(s, d):
-    docs = table(s, d, "documents").where("length(text) < 800").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")
-    return T.pairwise_overlap(docs)
+    """Documents whose id is divisible by 100, against all of their source."""
+    docs = table(s, d, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")
+    return T.pairwise_overlap(docs, F.col("id") % 100 == 0)
 
 
 def frame_segments(s, d):
@@ -137,7 +138,7 @@ def extractive_notes(s, d):
 
 
 def text_cleanup(s, d):
-    return _segs(s, d).where("speaker = 'user'").select("segment_id", F.sha2(F.substring(T.cleaned(F.col("text")), 2, 100000), 256).alias("rest_sha256"), F.length(T.cleaned(F.col("text"))).cast("long").alias("n"))
+    return _segs(s, d).select("segment_id", F.sha2(T.cleaned(F.col("text")), 256).alias("sha256"), F.length(T.cleaned(F.col("text"))).cast("long").alias("n"))
 
 
 def timestamps(s, d):
@@ -149,14 +150,12 @@ def source_slugs(s, d):
 
 
 def vocabulary_terms(s, d):
-    docs = table(s, d, "documents").where("lang = 'en'")
-    terms = T.parse_terms(docs, "doc_id", "text", 20)
+    terms = T.parse_terms(table(s, d, "documents"), "doc_id", "text")
     return terms.groupBy("id").agg(F.count("*").alias("terms"), F.max("place").cast("long").alias("last"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda t: t["term"]), "|"), 256).alias("sha256"))
 
 
 def vocabulary_prompt(s, d):
-    docs = table(s, d, "documents").where("lang = 'en'")
-    return T.vocabulary_prompt(T.parse_terms(docs, "doc_id", "text", 20), 200)
+    return T.vocabulary_prompt(T.parse_terms(table(s, d, "documents"), "doc_id", "text"))
 
 
 def vocabulary_report(s, d):
@@ -200,7 +199,16 @@ def word_rows(s, d):
 
 QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, multi_source_brief, provenance_gaps, frame_labels, transcript_markdown, word_rows)}
 QUERIES["speaker_summary"] = lambda s, d: T.speaker_summary(_segs(s, d))
-QUERIES["contradictions"] = lambda s, d: T.contradictions(table(s, d, "documents").where("length(text) < 1500").select(F.col("source").alias("source_id"), F.col("doc_id").alias("segment_index"), F.col("text")))
+
+
+def contradictions(s, d):
+    """Documents whose id is divisible by 100, against all of their source; every document is made to agree or to deny."""
+    said = F.concat(F.when(F.col("doc_id") % 3 == 0, "No, never. ").otherwise("Yes, agreed. "), "text")
+    docs = table(s, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("segment_index"), said.alias("text"))
+    return T.contradictions(docs, F.col("segment_index") % 100 == 0)
+
+
+QUERIES["contradictions"] = contradictions
 
 
 def _list(words: tuple[str, ...]) -> str:
@@ -212,10 +220,10 @@ POL = f"case when list_has_any({TOK}, {_list(L.NEGATION)}) then 'negative' when
 MEAN = f"list_sort(list_filter(list_distinct({TOK}), lambda t: length(t) > 2 and not list_contains({_list(tuple(sorted({*L.NEGATION, *L.AFFIRMATION, *L.STOP})))}, t)))"
 LABEL = "case when {ms} >= 3600000 then printf('%02d:', {ms} // 3600000) else '' end || printf('%02d:%02d.%03d', ({ms} // 60000) % 60, ({ms} // 1000) % 60, {ms} % 1000)"
 PARSED = """
-each as (select doc_id as id, generate_subscripts(string_split_regex(text, '[,;\n]'), 1) as pos, unnest(string_split_regex(text, '[,;\n]')) as term from documents where lang = 'en'),
+each as (select doc_id as id, generate_subscripts(string_split_regex(text, '[,;\n]'), 1) as pos, unnest(string_split_regex(text, '[,;\n]')) as term from documents),
 trimmed as (select id, pos, trim(term) as term from each where trim(term) <> ''),
 firsts as (select id, lower(term) as low, min(pos) as pos, arg_min(term, pos) as term from trimmed group by id, lower(term)),
-terms as (select * from (select id, row_number() over (partition by id order by pos) as place, term from firsts) where place <= 20)
+terms as (select * from (select id, row_number() over (partition by id order by pos) as place, term from firsts) where place <= 100)
 """
 FLAT = "trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))"
 
@@ -230,15 +238,15 @@ SQL = {
     "speaker_aliases": f"with {TURNS} select case when speaker = 'user' then 'Customer' else speaker end as speaker, speaker = 'user' as user_confirmed, count(*) as segments from segs group by 1, 2",
     "polarity_counts": f"with {TURNS} select source_id, {POL} as polarity, count(*) as segments from segs group by 1, 2",
     "meaningful_tokens": f"with {TURNS} select segment_id, len({MEAN})::bigint as n_tokens, array_to_string({MEAN}, ' ') as tokens from segs",
-    "contradictions": f"with p as (select source as source_id, doc_id as segment_index, {POL} as pol, {MEAN} as own from documents where length(text) < 1500) select a.source_id, a.segment_index as left_index, b.segment_index as right_index, array_to_string(list_sort(list_intersect(a.own, b.own))[1:8], ',') as shared_terms from p a join p b on a.source_id = b.source_id and a.segment_index < b.segment_index and a.pol <> b.pol and a.pol <> 'neutral' and b.pol <> 'neutral' where len(list_intersect(a.own, b.own)) >= 2",
-    "pairwise_overlap": f"with s as (select source as grp, doc_id as id, list_distinct({TOK}) as own from documents where length(text) < 800), p as (select a.grp, a.id as left_id, b.id as right_id, len(list_intersect(a.own, b.own)) as c, len(a.own) as x, len(b.own) as y from s a join s b on a.grp = b.grp and a.id < b.id) select grp, left_id, right_id, round(c / (x + y - c)::double, 6) as overlap, case when c / (x + y - c)::double >= 0.8 then 'duplicate_or_retake' when c / (x + y - c)::double >= 0.25 then 'related_or_follow_up' else 'unrelated_or_low_overlap' end as label from p where c > 0",
+    "contradictions": f"with d as (select source as source_id, doc_id as segment_index, case when doc_id % 3 = 0 then 'No, never. ' else 'Yes, agreed. ' end || text as text from documents), p as (select source_id, segment_index, {POL} as pol, {MEAN} as own from d) select a.source_id, a.segment_index as left_index, b.segment_index as right_index, array_to_string(list_sort(list_intersect(a.own, b.own))[1:8], ',') as shared_terms from p a join p b on a.source_id = b.source_id and a.segment_index % 100 = 0 and (a.segment_index < b.segment_index or a.segment_index > b.segment_index and b.segment_index % 100 <> 0) and a.pol <> b.pol and a.pol <> 'neutral' and b.pol <> 'neutral' where len(list_intersect(a.own, b.own)) >= 2",
+    "pairwise_overlap": f"with s as (select source as grp, doc_id as id, list_distinct({TOK}) as own from documents), p as (select a.grp, a.id as left_id, b.id as right_id, len(list_intersect(a.own, b.own)) as c, len(a.own) as x, len(b.own) as y from s a join s b on a.grp = b.grp and a.id % 100 = 0 and (a.id < b.id or a.id > b.id and b.id % 100 <> 0)) select grp, left_id, right_id, round(c / (x + y - c)::double, 6) as overlap, case when c / (x + y - c)::double >= 0.8 then 'duplicate_or_retake' when c / (x + y - c)::double >= 0.25 then 'related_or_follow_up' else 'unrelated_or_low_overlap' end as label from p where c > 0",
     "frame_segments": "with e as (select *, epoch_ms(ts) as ms from events) select f.user_id as source_id, f.event_id as frame_id, s.event_id as segment_id from e f join e s on f.user_id = s.user_id and f.event_type = 'click' and s.event_type = 'purchase' and f.ms between s.ms - 600000 and s.ms + floor(s.value * 1000)::bigint + 600000",
     "extractive_notes": f"with {TURNS}, t as (select *, row_number() over (partition by source_id order by segment_index) as place, lower(text) as low from segs where text <> '') select source_id, string_agg(text, ' / ' order by place) filter (place <= 3) as summary, count(*) as key_points, count(*) filter ({' or '.join(f'''contains(low, '{m}')''' for m in L.ACTION_MARKERS)}) as actions, count(*) filter (ends_with(trim(low), '?') or {' or '.join(f'''starts_with(trim(low), '{m}')''' for m in L.QUESTION_STARTS)}) as questions from t group by source_id",
-    "text_cleanup": f"with {TURNS}, c as (select segment_id, {FLAT} as flat from segs where speaker = 'user'), d as (select segment_id, flat || case when flat = '' or regexp_matches(flat, '[.!?:;]$') then '' else '.' end as done from c) select segment_id, sha256(substr(done, 2)) as rest_sha256, length(done) as n from d",
+    "text_cleanup": f"with {TURNS}, c as (select segment_id, {FLAT} as flat from segs), d as (select segment_id, flat || case when flat = '' or regexp_matches(flat, '[.!?:;]$') then '' else '.' end as done from c) select segment_id, sha256(upper(substr(done, 1, 1)) || substr(done, 2)) as sha256, length(done) as n from d",
     "timestamps": f"with {EVENT_SEGS} select segment_id, {LABEL.format(ms='start_ms')} as start_label, {LABEL.format(ms='end_ms')} as end_label from segs",
     "source_slugs": "select page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_') as slug from pages",
     "vocabulary_terms": f"with {PARSED} select id, count(*) as terms, max(place) as last, sha256(string_agg(term, '|' order by place)) as sha256 from terms group by id",
-    "vocabulary_prompt": f"with {PARSED} select id, substr(string_agg(term, ', ' order by place), 1, 200) as prompt from terms group by id",
+    "vocabulary_prompt": f"with {PARSED} select id, substr(string_agg(term, ', ' order by place), 1, 1000) as prompt from terms group by id",
     "vocabulary_report": f"with {TURNS}, t as (select source_id, lower(text) as low, unnest({_list(tuple(TERMS))}) as term from segs) select source_id, term, count(*) filter (contains(low, lower(term))) as segments_with_term, count(*) filter (contains(low, lower(term))) > 0 as hit from t group by 1, 2",
     "metadata_compaction": f"with {EVENT_SEGS} select source_id, count(*) filter (segment_index <= 20) as kept, count(*) filter (segment_index > 20) as omitted, sum(length(text)) filter (segment_index <= 20)::bigint as kept_chars from segs group by source_id",
     "multi_source_brief": f"with {TURNS} select source_id, arg_min(text, segment_index) filter (text <> '') as brief, sha256(string_agg(text, chr(10) order by segment_index)) as timeline_sha256, count(*) as segments from segs group by source_id",

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -44,6 +45,21 @@ def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
 
+def drained_windows(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """All windows of a stream that is read to its end: those the watermark has not passed come from a last update of each."""
+    folder = _folder(stream.sparkSession)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+
+    counts = windowed_counts(stream, width, late)
+    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.read.schema(T.StructType([*counts.schema.fields, T.StructField("number", T.IntegerType())])).parquet(f"{folder}/out")
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "number").alias("n"), F.max_by("value", "number").alias("value"))
+
+
 def change_feed(stream: DataFrame) -> DataFrame:
     """Events whose type is another than the user's event before, by one value of state per user."""
 

@@ -122,3 +122,47 @@ def test_html_to_markdown():
     title, text = X.html_to_markdown("<title>T &amp; u</title><body><script>x()</script><h2>Head</h2><p>One <b>two</b> <a href='/l'>link</a><br>next</p><ul><li>a<li>b</ul></body>")
     assert title == "T & u" and text.startswith("## Head\n\nOne **two** [link](/l)") and "- a\n- b" in text and "x()" not in text
     assert X.html_to_markdown("<p>just text", "stem") == ("stem", "# stem\n\njust text")
+
+
+def test_html_elements_end_where_they_should():
+    kinds = lambda t: [(b.kind, b.text) for b in M.blocks(t)]
+    assert kinds("intro\n\n<hr>\n\n# Title\n\nmore") == [("text", "intro"), ("html", "<hr>"), ("heading", "# Title"), ("text", "more")]
+    assert kinds("<video src='a' />\ntext after\n")[0] == ("html", "<video src='a' />")
+    assert kinds("<div>\na\n</DIV >\nafter") == [("html", "<div>\na\n</DIV >"), ("text", "after")]
+    assert kinds("<dd>x\n\n# T")[0] == ("text", "<dd>x")
+
+
+def _messy(rng, n):
+    word = lambda: "".join(rng.choice("abc de.|") for _ in range(rng.randrange(1, 30)))
+    line = lambda: " ".join(word() for _ in range(rng.randrange(0, 60)))
+    made = [lambda: "# " + line(), lambda: "| a | b |\n| --- | --- |\n" + "\n".join(f"| {line()} | x |" for _ in range(rng.randrange(5))), lambda: "```py\n" + line() + "\n" + line() + "\n```", lambda: "- " + line() + "\n- " + line(), lambda: "> " + line(), line, lambda: "<div>" + line() + "</div>", lambda: "x" * rng.randrange(3000)]
+    return "\n\n".join(rng.choice(made)() for _ in range(n))
+
+
+def test_no_chunk_is_over_the_budget():
+    import random
+
+    rng = random.Random(5)
+    for i in range(150):
+        text, tokens = _messy(rng, rng.randrange(1, 12)), [None, 16, 50, 120][i % 4]
+        count = [None, lambda t: len(t.split()) + len(t) // 7 + 1][i % 2] if tokens else None
+        budget = M.Budget(300, tokens, count)
+        got = M.chunk(text, max_chars=300, overlap=40 * (i % 3), max_tokens=tokens, count=count)
+        assert all(not budget.over(c["text"]) for c in got), (i, tokens)
+        kept = set("".join("".join(c["text"] for c in got).split()))
+        assert set("".join(text.split())) - set("`|-") <= kept | set("`|-")
+
+
+def test_start_lines_count_every_line_end():
+    got = M.chunk("a b\r\n\r\n# T\n\nend")
+    assert [(c["text"][:3], c["start_line"]) for c in got] == [("a b", 1), ("# T", 4)]
+
+
+def test_spans_and_nested_html_tables():
+    t = X.html_tables('<table><tr><td colspan="²">a<td rowspan=9>b</tr><tr><td>c</table>')
+    assert [t[0]["headers"], *t[0]["rows"]] == [["a", "b"], ["c", ""]]
+    t = X.html_tables("<table><tr><td>out<table><tr><td>in</td></tr></table>er</td><td>x</td></tr></table>")
+    assert [(x["headers"], x["rows"]) for x in t] == [(["in"], []), (["outer", "x"], [])]
+    wide = X.html_tables('<table><tr><td colspan="1000000000">a</td></tr><tr><td>b</td></tr></table>')[0]
+    assert len(wide["headers"]) == X.MOST_COLUMNS and wide["rows"][0][0] == "b"
+    assert X.html_tables("<table><td>alone</table>")[0]["headers"] == ["alone"] and X.html_tables("<table></table>") == [] == X.html_tables("<table><tr><td>open")
