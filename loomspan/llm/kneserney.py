@@ -2,8 +2,8 @@
 
 Counting: every task numbers the words it meets, sums up equal word triples in sorted arrays and sends them on packed. Triples are
 dealt by their middle word, so one bucket has all triples (u, v, w) of a word v: the counts of the triples, the sums over the contexts
-(u, v), and the number of different words before each pair (v, w) are all complete in it and need no further shuffle. Triples
-whose middle word is so common that it would fill a bucket alone are dealt by (u, v), and their pairs are merged in a
+(u, v), the number of different words before each pair (v, w), and the counts of v itself are all complete in it and need no further
+shuffle. Triples whose middle word is so common that it would fill a bucket alone are dealt by (u, v), and their pairs are merged in a
 second, small step. Each bucket is written as sorted arrays in the shared folder, with a header that tells its rows. Scoring maps the
 files into memory, a bounded number at a time, and searches them for many tokens at once.
 """
@@ -31,14 +31,12 @@ _BEGIN, _END = b" begin", b" end"
 BEGIN, END = (xxhash.xxh64_intdigest(w) for w in (_BEGIN, _END))
 #: Tokens that a task holds before it sums their triples up and sends them on.
 HELD = 1 << 21
-#: Tokens that a bucket has about.
-BUCKET = 1 << 20
-#: Buckets that one task merges at most, so the number of tasks grows with the input.
-BUCKETS_PER_TASK = 16
+#: Tokens that a bucket has about; a task merges one bucket, so the number of tasks grows with the input.
+BUCKET = 3 << 19
 #: Occurrences of a word from which its triples are dealt to all buckets.
-CROWD = 1 << 21
+CROWD = 1 << 19
 #: Words that a task remembers, and tokens of one text that are numbered at once; the sum stays below 2 ** 21.
-REMEMBERED, PIECE = 1 << 20, 1 << 19
+REMEMBERED, PIECE = 1 << 19, 1 << 19
 #: Tokens that are scored at once, and bytes of files that a worker keeps mapped.
 SCORED, MAPPED = 1 << 19, 1 << 30
 _BITS = np.uint64(21)
@@ -71,12 +69,24 @@ def _pieces(text: bytes | None) -> Iterator[list[bytes]]:
             yield tokens[s : s + PIECE + 2]
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix64(mix64(a) + b)
+def short(h: np.ndarray) -> np.ndarray:
+    """The 40 bits of a word's hash that stand for it beside another word, which has all of its own."""
+    return h >> np.uint64(24)
 
 
-def triple_key(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix64(pair_key(u, v) + w)
+def context_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """u: short."""
+    return mix64(mix64(v) + u)
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """w: short."""
+    return mix64(mix64(v ^ np.uint64(0x5851F42D4C957F2D)) + w)
+
+
+def triple_key(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """w: short."""
+    return mix64(context + w)
 
 
 @dataclass(frozen=True)
@@ -90,16 +100,20 @@ class Deal:
         return np.isin(v, self.crowd) if len(self.crowd) else np.zeros(len(v), bool)
 
     def _prefix(self, h: np.ndarray) -> np.ndarray:
-        bits = _bits(self.buckets)
-        return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+        return ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+
+    def word(self, v: np.ndarray) -> np.ndarray:
+        return self._prefix(mix64(v))
 
     def triple(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        out = self._prefix(mix64(v))
+        """u: short."""
+        out = self.word(v)
         if len(self.crowd) and (hot := self.crowded(v)).any():
-            out[hot] = self._prefix(pair_key(u[hot], v[hot]))
+            out[hot] = self._prefix(context_key(u[hot], v[hot]))
         return out
 
     def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Pairs of a crowded word are dealt by both words, others by the first; w: short."""
         return self.triple(w, v)
 
 
@@ -120,23 +134,44 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarr
         yield int(dealt[lo]), order[lo:hi]
 
 
-def _pack(hashes: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> bytes:
-    """Columns of word numbers as a list of the block's words and places in it, the first column as differences."""
-    used = np.unique(np.concatenate(columns))
-    own = [np.searchsorted(used, c).astype(np.uint32) for c in columns]
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The lower bytes of the numbers, all first ones, then all second ones, ..."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :size].T).tobytes()
+
+
+def _from_planes(raw: np.ndarray, n: int, size: int, kind: type) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :size] = raw.reshape(size, n).T
+    return out.view(kind).reshape(n)
+
+
+def _pack(hashes: np.ndarray, first: np.ndarray, others: list[np.ndarray], n: np.ndarray, place: np.ndarray) -> bytes:
+    """Columns of word numbers, sorted by the first, as a list of the block's words and places in it; place: room for a number per word.
+
+    All words are listed by their short hashes, those of the first column by the rest of theirs, too.
+    """
+    used = np.unique(np.concatenate((first, *others)))
+    place[used] = np.arange(len(used), dtype=np.uint32)
+    own = [place[c] for c in (first, *others)]
     own[0][1:] -= own[0][:-1].copy()
-    planes = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in (*own, n.astype(np.uint32)))
-    return len(n).to_bytes(8, "little") + len(used).to_bytes(8, "little") + hashes[used].tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+    rest = hashes[first[_starts(first)]]
+    planes = b"".join(_planes(c, 4) for c in (*own, n.astype(np.uint32)))
+    sizes = np.array([len(n), len(used), len(rest)], np.uint64)
+    return sizes.tobytes() + _planes(short(hashes[used]), 5) + _planes(rest, 3) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
-    n, d = (int.from_bytes(blob[i : i + 8], "little") for i in (0, 8))
-    words = np.frombuffer(blob, np.uint64, d, 16)
-    size = 4 * n * (columns + 1)
-    planes = np.frombuffer(pa.decompress(blob[16 + 8 * d :], decompressed_size=size, codec="zstd", asbytes=True), np.uint8).reshape(columns + 1, 4, n)
-    out = [np.ascontiguousarray(p.T).view(np.uint32).reshape(n) for p in planes]
-    out[0] = np.cumsum(out[0], dtype=np.uint32)
-    return [words[c] for c in out[:columns]] + [out[columns].astype(np.int64)]
+    """The first column's hashes, the others' short ones, and the counts."""
+    n, d, m = (int(v) for v in np.frombuffer(blob, np.uint64, 3))
+    raw = np.frombuffer(blob, np.uint8)
+    words = _from_planes(raw[24 : 24 + 5 * d], d, 5, np.uint64)
+    rest = _from_planes(raw[24 + 5 * d : 24 + 5 * d + 3 * m], m, 3, np.uint64)
+    planes = np.frombuffer(pa.decompress(blob[24 + 5 * d + 3 * m :], decompressed_size=4 * n * (columns + 1), codec="zstd", asbytes=True), np.uint8).reshape(columns + 1, 4 * n)
+    out = [_from_planes(p, n, 4, np.uint32) for p in planes]
+    at = np.cumsum(out[0], dtype=np.uint32)
+    first = _starts(at)
+    whole = words[at[first]] << np.uint64(24) | rest
+    return [np.repeat(whole, np.diff(np.append(first, n))), *(words[c] for c in out[1:columns]), out[columns].astype(np.int64)]
 
 
 def _count(deal: Deal):
@@ -149,10 +184,11 @@ def _count(deal: Deal):
             n, key = np.diff(np.append(first, len(key))), key[first]
             v, u, w = key >> (_BITS + _BITS), (key >> _BITS) & _MASK, key & _MASK
             hashes = np.array(words.hashes, np.uint64)
+            place = np.zeros(len(hashes), np.uint32)
             out: tuple[list, list] = ([], [])
-            for bucket, rows in _by_bucket(deal.triple(hashes[u], hashes[v]), deal.buckets):
+            for bucket, rows in _by_bucket(deal.triple(short(hashes[u]), hashes[v]), deal.buckets):
                 out[0].append(bucket)
-                out[1].append(_pack(hashes, [v[rows], u[rows], w[rows]], n[rows]))
+                out[1].append(_pack(hashes, v[rows], [u[rows], w[rows]], n[rows], place))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "triples"])
 
@@ -216,9 +252,9 @@ def _map(folder: str, name: str) -> np.ndarray:
 
 
 class HashArray:
-    """Keys (the upper 56 bits of a hash) in order, with columns of counts.
+    """Keys (the upper 48 bits of a hash) in order, with columns of counts.
 
-    A list of starts by the keys' first bits stands for those bits, so that a key takes five bytes. A count takes one; rows with a count of 255 or more are listed apart.
+    A list of starts by the keys' first bits stands for those bits, so that a key takes four bytes. A count takes one; rows with a count of 255 or more are listed apart.
     """
 
     MAGIC, SMALL = 0x4C4F4F4D, 255
@@ -226,44 +262,49 @@ class HashArray:
     @staticmethod
     def parts(hashes: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
         """What a file holds; hashes are distinct but in any order."""
-        order = np.argsort(hashes)
-        key = hashes[order] >> np.uint64(8)
+        values = [np.asarray(c) for c in columns]
+        if not (hashes[1:] > hashes[:-1]).all():
+            order = np.argsort(hashes)
+            hashes, values = hashes[order], [v[order] for v in values]
+        key = hashes >> np.uint64(16)
         bits = max(16, _bits(len(key)) - 2)
-        slots = np.searchsorted(key >> np.uint64(56 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
-        values = [np.asarray(c)[order] for c in columns]
+        slots = np.searchsorted(key >> np.uint64(48 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32)
         large = np.flatnonzero(np.logical_or.reduce([v >= HashArray.SMALL for v in values]))
         head = np.array([HashArray.MAGIC, len(key), len(columns), bits, len(large)], np.uint64)
-        return [head, *(v[large].astype(np.uint64) for v in values), large.astype(np.uint64), slots, key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8), *(np.minimum(v, HashArray.SMALL).astype(np.uint8) for v in values)]
+        return [head, *(v[large].astype(np.uint64) for v in values), large.astype(np.uint64), slots, key.astype(np.uint32), *(np.minimum(v, HashArray.SMALL).astype(np.uint8) for v in values)]
 
     def __init__(self, raw: np.ndarray, name: str):
         head = raw[:40].view(np.uint64) if len(raw) >= 40 else np.zeros(5, np.uint64)
         magic, self.n, m, self.bits, k = (int(v) for v in head)
-        sizes = [40, *[8 * k] * (m + 1), 4 * ((1 << self.bits) + 1), 4 * self.n, self.n, *[self.n] * m]
+        sizes = [40, *[8 * k] * (m + 1), 4 * ((1 << self.bits) + 1), 4 * self.n, *[self.n] * m]
         if magic != self.MAGIC or sum(sizes) != len(raw):
             raise OSError(f"{name} is not a whole array of the model")
-        kinds = [np.uint64, *[np.uint64] * (m + 1), np.uint32, np.uint32, np.uint8, *[np.uint8] * m]
+        kinds = [np.uint64, *[np.uint64] * (m + 1), np.uint32, np.uint32, *[np.uint8] * m]
         at, cuts = 0, []
         for size, kind in zip(sizes, kinds, strict=True):
             cuts.append(raw[at : at + size].view(kind))
             at += size
-        self.large, self.where, self.slots, self.low, self.high, self.small = cuts[1 : m + 1], cuts[m + 1], cuts[m + 2], cuts[m + 3], cuts[m + 4], cuts[m + 5 :]
+        self.large, self.where, self.slots, self.low, self.small = cuts[1 : m + 1], cuts[m + 1], cuts[m + 2], cuts[m + 3], cuts[m + 4 :]
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash, -1 where there is none."""
-        key = hashes >> np.uint64(8)
-        slot = (key >> np.uint64(56 - self.bits)).astype(np.int64)
-        at, stop = self.slots[slot].astype(np.int64), self.slots[slot + 1].astype(np.int64)
-        low, high = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
-        out = np.full(len(key), -1, np.int64)
-        live = np.flatnonzero(at < stop)
-        at = at[live]
-        while len(live):
-            hit = (self.low[at] == low[live]) & (self.high[at] == high[live])
-            out[live[hit]] = at[hit]
-            at = at + 1
-            on = ~hit & (at < stop[live])
-            live, at = live[on], at[on]
-        return out
+        """Row of each hash, -1 where there is none: from where it should be in its slot, if keys are spread evenly, step by step to where it must be."""
+        if not self.n:
+            return np.full(len(hashes), -1, np.int64)
+        key = hashes >> np.uint64(16)
+        bits = np.uint64(48 - self.bits)
+        slot = (key >> bits).astype(np.int64)
+        start, stop = self.slots[slot].astype(np.int64), self.slots[slot + 1].astype(np.int64)
+        share = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(float) / float(1 << int(bits))
+        low = key.astype(np.uint32)
+        at = np.minimum(start + ((stop - start) * share).astype(np.int64), self.n - 1)
+        for ahead in (False, True):
+            live = np.flatnonzero((self.low[at] < low) & (at + 1 < stop) if ahead else (self.low[at] > low) & (at > start))
+            while len(live):
+                here = at[live] + (1 if ahead else -1)
+                at[live] = here
+                seen = self.low[here]
+                live = live[(seen < low[live]) & (here + 1 < stop[live]) if ahead else (seen > low[live]) & (here > start[live])]
+        return np.where((start < stop) & (self.low[at] == low), at, -1)
 
     def counts(self, rows: np.ndarray) -> list[np.ndarray]:
         out = [c[rows].astype(float) for c in self.small]
@@ -287,39 +328,37 @@ def _sums(first: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
 
 
 _WORD = ["word", "total", "n1", "n2", "n3", "count", "before"]
-_ROWS = ", ".join(f"{c} bigint" for c in _WORD) + ", tally array<bigint>, bucket bigint, pairs binary"
+#: Sums over all buckets: tokens, words, pairs, words with one, two, ... words before, triples and pairs of count one to four, pairs with the end, texts.
+_TALLY = ["tokens", "distinct", "pairs", "b1", "b2", "b3", "b4", "more", "t1", "t2", "t3", "t4", "y1", "y2", "y3", "y4", "ends", "texts"]
+_ROWS = ", ".join(f"{c} bigint" for c in (*_WORD, "bucket", *_TALLY)) + ", packed binary"
 
 
-def _tally(n: np.ndarray) -> list[int]:
+def _ones(n: np.ndarray) -> list[int]:
     return [int((n == i).sum()) for i in (1, 2, 3, 4)]
 
 
-def _word_rows(contexts: tuple[np.ndarray, list[np.ndarray]], words: tuple[np.ndarray, list[np.ndarray]], tally: list[int], blobs: tuple[list, list] = ([], [])) -> pa.RecordBatch:
-    """One row per word; one for the bucket (the first number of the tally) that tells that its files are written; and the pairs that are sent on."""
-    all_words = np.concatenate((contexts[0], words[0]))
-    order, first = _grouped(all_words)
-    zero = [np.zeros(len(contexts[0]), np.int64), np.zeros(len(words[0]), np.int64)]
-    columns = [np.concatenate((c, zero[1])) for c in contexts[1]] + [np.concatenate((zero[0], c)) for c in words[1]]
-    summed = _sums(first, *(c[order] for c in columns))
-    n, m = len(first), len(blobs[0])
-    more = [None] * (m + 1)
-    ends = [pa.array([*c.tolist(), *more], pa.int64()) for c in (all_words[order][first].view(np.int64), *summed)]
-    tallies = pa.array([*[None] * n, tally[1:], *[None] * m], pa.list_(pa.int64()))
-    buckets = pa.array([*[None] * n, tally[0], *blobs[0]], pa.int64())
-    return pa.RecordBatch.from_arrays([*ends, tallies, buckets, pa.array([*[None] * (n + 1), *blobs[1]], pa.binary())], [*_WORD, "tally", "bucket", "pairs"])
+def _made(words: list[np.ndarray], bucket: int, tally: dict[str, int], blobs: tuple[list, list] = ([], [])) -> pa.RecordBatch:
+    """A row for the bucket, which tells that its files are written; one for each crowded word in it; and the crowded words' pairs, to be merged."""
+    n, m = len(words[0]), len(blobs[0])
+    columns = [pa.array([None, *c.tolist(), *[None] * m], pa.int64()) for c in (words[0].view(np.int64), *words[1:])]
+    columns.append(pa.array([bucket, *[None] * n, *blobs[0]], pa.int64()))
+    columns += [pa.array([tally.get(k, 0), *[None] * (n + m)], pa.int64()) for k in _TALLY]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([*[None] * (n + 1), *blobs[1]], pa.binary())], [*_WORD, "bucket", *_TALLY, "packed"])
+
 
+def _by(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, and the sums of the columns."""
+    order, first = _grouped(key)
+    return key[order][first], _sums(first, *(c[order] for c in columns))
 
-def _pair_sums(folder: str, name: str, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[tuple, tuple, list[int]]:
-    """Writes distinct pairs and the words before them; sums over contexts v, and the number of contexts of each w."""
+
+def _pair_sums(folder: str, name: str, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], dict[str, int]]:
+    """Writes distinct pairs and the words before them; contexts v, sums over each, and sums over all."""
     _put(folder, name, HashArray.parts(pair_key(v, w), [n]))
+    tally = {"pairs": len(n), "ends": int((w == short(np.uint64(END))).sum())} | dict(zip(_TALLY[12:16], _ones(n), strict=True))
     if not len(v):
-        none = np.zeros(0, np.uint64)
-        return (none, [np.zeros(0, np.int64)] * 4), (none, [np.zeros(0, np.int64)]), [0] * 4
-    order, first = _grouped(v)
-    by = n[order]
-    contexts = (v[order][first], _sums(first, by, by == 1, by == 2, by > 2))
-    order, first = _grouped(w)
-    return contexts, (w[order][first], [np.diff(np.append(first, len(w)))]), _tally(n)
+        return v, [n] * 4, tally
+    return *_by(v, n, n == 1, n == 2, n > 2), tally
 
 
 def _collected(finish, columns: int):
@@ -343,39 +382,48 @@ def _collected(finish, columns: int):
 def _merge(folder: str, deal: Deal):
     def finish(bucket: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         v, u, w, n = columns
-        key = triple_key(u, v, w)
+        columns.clear()
+        key = triple_key(context_key(u, v), w)
         order, first = _grouped(key)
         (n,) = _sums(first, n[order])
         order = order[first]
-        key, u, v, w = key[order], u[order], v[order], w[order]
-        _put(folder, f"triples-{bucket}", HashArray.parts(key, [n]))
-        context = pair_key(u, v)
+        u, v, w = u[order], v[order], w[order]
+        _put(folder, f"triples-{bucket}", HashArray.parts(key[order], [n]))
+        del key
+        context = context_key(u, v)
+        del u
         order, first = _grouped(context)
         by = n[order]
         total, *ns = _sums(first, by, by == 1, by == 2, by > 2)
+        context, cv = context[order][first], v[order][first]
         # A context with one occurrence needs no row: it is known as a pair. The beginning of a text is none.
-        keep = (total > 1) | (v[order][first] == BEGIN)
-        _put(folder, f"contexts-{bucket}", HashArray.parts(context[order][first][keep], [c[keep] for c in (total, *ns)]))
+        keep = (total > 1) | (cv == BEGIN)
+        _put(folder, f"contexts-{bucket}", HashArray.parts(context[keep], [c[keep] for c in (total, *ns)]))
+        del context, by, total, ns, keep
         order, first = _grouped(pair_key(v, w))
         # Words before a pair; where nothing but the beginning can be before it, its occurrences.
         (before,) = _sums(first, np.where(v == BEGIN, n, 1)[order])
         pv, pw = v[order][first], w[order][first]
         hot = deal.crowded(pv)
-        contexts, words, tally = _pair_sums(folder, f"pairs-{bucket}", pv[~hot], pw[~hot], before[~hot])
-        order, first = _grouped(w)
-        distinct = w[order][first]
-        places = np.searchsorted(distinct, words[0])
-        left = np.zeros(len(distinct), np.int64)
-        left[places] = words[1][0]
+        _, sums, tally = _pair_sums(folder, f"pairs-{bucket}", pv[~hot], pw[~hot], before[~hot])
+        # The words of the bucket: as contexts, and as words, each of which but the end is followed by another.
+        word, (count,) = _by(v, n)
+        _, (left,) = _by(cv, np.ones(len(cv), np.int64))
+        count[word == BEGIN] = left[word == BEGIN] = 0
+        usual = ~deal.crowded(word)
+        _put(folder, f"words-{bucket}", HashArray.parts(word[usual], [*sums, count[usual], left[usual]]))
+        tally |= {"tokens": int(n.sum()), "distinct": int((count[usual] > 0).sum()), "more": int((left[usual] > 2).sum()), "texts": int(n[v == BEGIN].sum())}
+        tally |= dict(zip(_TALLY[3:7], _ones(left[usual]), strict=True)) | dict(zip(_TALLY[8:12], _ones(n), strict=True))
         blobs: tuple[list, list] = ([], [])
         if hot.any():
-            known, at = np.unique(np.concatenate((pv[hot], pw[hot])), return_inverse=True)
+            known, at = np.unique(np.concatenate((pv[hot], pw[hot] << np.uint64(24))), return_inverse=True)
             a, b = np.split(at.astype(np.uint64), 2)
             for to, rows in _by_bucket(deal.pair(pv[hot], pw[hot]), deal.buckets):
                 by = rows[np.argsort(a[rows], kind="stable")]
                 blobs[0].append(to)
-                blobs[1].append(_pack(known, [a[by], b[by]], before[hot][by]))
-        return _word_rows(contexts, (distinct, [*_sums(first, n[order]), left]), [bucket, *_tally(n), *tally], blobs)
+                blobs[1].append(_pack(known, a[by], [b[by]], before[hot][by], np.zeros(len(known), np.uint32)))
+        none = np.zeros(int((~usual).sum()), np.int64)
+        return _made([word[~usual], none, none, none, none, count[~usual], left[~usual]], bucket, tally, blobs)
 
     return _collected(finish, 3)
 
@@ -385,9 +433,9 @@ def _merge_crowded(folder: str):
         v, w, n = columns
         order, first = _grouped(pair_key(v, w))
         (n,) = _sums(first, n[order])
-        v, w = v[order][first], w[order][first]
-        contexts, words, tally = _pair_sums(folder, f"crowded-{bucket}", v, w, n)
-        return _word_rows(contexts, (words[0], [np.zeros(len(words[0]), np.int64), words[1][0]]), [bucket, 0, 0, 0, 0, *tally])
+        word, sums, tally = _pair_sums(folder, f"crowded-{bucket}", v[order][first], w[order][first], n)
+        none = np.zeros(len(word), np.int64)
+        return _made([word, *sums, none, none], bucket, tally)
 
     return _collected(finish, 2)
 
@@ -408,32 +456,6 @@ def _empty_files(folder: str, kinds: list[str]):
 _COLUMNS = {"triples": 1, "contexts": 4, "pairs": 1, "crowded": 1, "words": 6}
 
 
-def _words_to_files(folder: str):
-    """Rows of a bucket: sums of each word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def finish() -> pa.RecordBatch:
-            columns = [np.concatenate([h[i] for h in held]) for i in range(7)]
-            _put(folder, f"words-{now}", HashArray.parts(columns[0].view(np.uint64), columns[1:]))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], ["bucket"])
-
-        for b in batches:
-            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            first = _starts(columns[0])
-            for lo, hi in zip(first, np.append(first[1:], len(columns[0])), strict=True):
-                if now is not None and columns[0][lo] != now:
-                    yield finish()
-                    held = []
-                now = int(columns[0][lo])
-                held.append([c[lo:hi] for c in columns[1:]])
-        if held:
-            yield finish()
-
-    return run
-
-
 def discounts(y: list[int]) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and more from the numbers of counts 1 to 4; where one of these is zero, one is added to each."""
     y1, y2, y3, y4 = y if min(y) else (v + 1 for v in y)
@@ -448,7 +470,8 @@ class Model:
 
     folder: str
     deal: Deal
-    word_buckets: int
+    #: Hashes, in order, and counts (as in the files of words) of the end and of the crowded words.
+    apart: tuple[np.ndarray, np.ndarray]
     tokens: int
     distinct: int
     triple_discounts: tuple[float, float, float]
@@ -489,41 +512,44 @@ def train(df: DataFrame, text_col: str = "text", bucket: int = BUCKET, crowd: in
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "kneserney")
-    arrow_batches(spark, 1000)
     size = df.agg(F.sum(F.octet_length(F.coalesce(text_col, F.lit("")))).alias("n")).first()["n"] or 0
-    buckets = 1 << _bits(max(1, -(-size // (6 * bucket))))
+    buckets = max(1, -(-size // (6 * bucket)))
+    arrow_batches(spark, 1000)
     deal = Deal(buckets, _crowd(df, text_col, size, size // 6, CROWD if crowd is None else crowd))
     folder = scratch.url("arrays")
-    tasks = max(min(buckets, partitions(spark)), -(-buckets // BUCKETS_PER_TASK))
     packed = df.select(text_col).mapInArrow(_count(deal), "bucket bigint, triples binary")
-    rows = packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(folder, deal), _ROWS)
-    crowded = lambda v: F.when(F.col("word").isNull(), v)
+    arrow_batches(spark, 64)
+    rows = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(folder, deal), _ROWS)
+    rows = scratch.write(rows, "rows")
+    del packed
+    scratch.release()
+    usual = ["triples", "contexts", "pairs", "words"]
+    _fill(_missing(rows, buckets), folder, usual)
     if len(deal.crowd):
-        rows = scratch.write(rows, "rows")
-        scratch.release()
-        again = rows.where("pairs is not null").select("bucket", "pairs").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-        rows = rows.withColumn("crowded", crowded(False)).union(again.mapInArrow(_merge_crowded(folder), _ROWS).withColumn("crowded", crowded(True)))
-    else:
-        rows = rows.withColumn("crowded", crowded(False))
-    sums = [F.sum(c).alias(c) for c in _WORD[1:]] + [F.sum(F.get("tally", F.lit(i))).alias(f"y{i}") for i in range(8)]
-    words = scratch.write(rows.where("pairs is null").groupBy("word", "bucket", "crowded").agg(*sums), "words")
-    k = lambda v: F.count_if(F.col("before") == v).alias(f"before{v}")
-    s = words.agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v"), F.sum("before").alias("pairs"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(8)], *[k(i) for i in (1, 2, 3, 4)], F.count_if(F.col("before") > 2).alias("more")).first()
+        again = rows.where("packed is not null").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        again = scratch.write(again.mapInArrow(_merge_crowded(folder), _ROWS), "crowded")
+        _fill(_missing(again, buckets), folder, ["crowded"])
+        rows = rows.union(again)
+    s = {k: v or 0 for k, v in rows.agg(*[F.sum(c).alias(c) for c in _TALLY]).first().asDict().items()}
+    # As many rows as there are crowded words, whose number the sample bounds.
+    found = rows.where("word is not null").groupBy("word").agg(*[F.sum(c).alias(c) for c in _WORD[1:]]).collect() if len(deal.crowd) else []
+    apart = {int(np.int64(r[0]).view(np.uint64)): list(r[1:]) for r in found} | ({END: [0, 0, 0, 0, s["texts"], s["ends"]]} if s["texts"] else {})
+    for *_, count, left in apart.values():
+        s["distinct"] += count > 0
+        s["more"] += left > 2
+        if 1 <= left <= 4:
+            s[f"b{left}"] += 1
+    hashes = np.array(sorted(apart), np.uint64)
+    table = np.array([apart[int(h)] for h in hashes], float).reshape(len(hashes), 6).T
     scratch.drop("rows")
-    scratch.release()
-    for crowd, kinds in ((False, ["triples", "contexts", "pairs"]), (True, ["crowded"] if len(deal.crowd) else [])):
-        if kinds:
-            _fill(spark.range(buckets).toDF("bucket").join(words.where(F.col("crowded") == crowd).select("bucket"), "bucket", "left_anti"), folder, kinds)
-    distinct = s["v"] or 0
-    word_buckets = 1 << _bits(max(1, -(-distinct // bucket)))
-    dealt = F.shiftrightunsigned("word", 64 - _bits(word_buckets)) if word_buckets > 1 else F.lit(0).cast("long")
-    keyed = words.where("word is not null").select(dealt.alias("bucket"), "word", *_WORD[1:]).repartition(max(min(word_buckets, partitions(spark)), -(-word_buckets // BUCKETS_PER_TASK)), "bucket").sortWithinPartitions("bucket")
-    filled = scratch.write(keyed.mapInArrow(_words_to_files(folder), "bucket bigint"), "filled")
-    _fill(spark.range(word_buckets).toDF("bucket").join(filled, "bucket", "left_anti"), folder, ["words"])
-    scratch.drop("filled")
-    scratch.drop("words")
-    y = [s[f"y{i}"] or 0 for i in range(8)]
-    return Model(folder, deal, word_buckets, s["n"] or 0, distinct, discounts(y[:4]), discounts(y[4:]), discounts([s[f"before{i}"] for i in (1, 2, 3, 4)]), s["pairs"] or 0, (s["before1"], s["before2"], s["more"]))
+    scratch.drop("crowded")
+    four = lambda k: discounts([s[f"{k}{i}"] for i in (1, 2, 3, 4)])
+    return Model(folder, deal, (hashes, table), s["tokens"], s["distinct"], four("t"), four("y"), four("b"), s["pairs"], (s["b1"], s["b2"], s["more"]))
+
+
+def _missing(rows: DataFrame, buckets: int) -> DataFrame:
+    made = rows.where("tokens is not null").select("bucket")
+    return rows.sparkSession.range(buckets).toDF("bucket").join(made, "bucket", "left_anti")
 
 
 def _fill(missing: DataFrame, folder: str, kinds: list[str]) -> None:
@@ -563,12 +589,16 @@ class Reader:
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Rows total, n1, n2, n3 (as context), count and before (contexts it follows)."""
-        bits = _bits(self.model.word_buckets)
-        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        return self.find("words", bucket, self.model.word_buckets, hashes)
+        deal, (apart, table) = self.model.deal, self.model.apart
+        out = self.find("words", deal.word(hashes), deal.buckets, hashes)
+        if len(apart):
+            place = np.minimum(np.searchsorted(apart, hashes), len(apart) - 1)
+            at = np.flatnonzero(apart[place] == hashes)
+            out[:, at] = table[:, place[at]]
+        return out
 
     def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        deal = self.model.deal
+        deal, w = self.model.deal, short(w)
         key, bucket, hot = pair_key(v, w), deal.pair(v, w), deal.crowded(v)
         out = np.zeros(len(key))
         for kind, part in (("pairs", np.flatnonzero(~hot)), ("crowded", np.flatnonzero(hot))):
@@ -580,28 +610,23 @@ class Reader:
         """For a row of words (numbers into hashes): the model's probability of each but the first two, and its training count."""
         m = self.model
         used, at = np.unique(numbers, return_inverse=True)
-        table = self.words(hashes[used])
-        flat = hashes[numbers]
-        # Equal pairs and triples are looked up once.
-        code, back = np.unique(at[:-1] * np.int64(len(used)) + at[1:], return_inverse=True)
-        own = hashes[used]
-        before = self.pairs(own[code // len(used)], own[code % len(used)])
-        triple, again = np.unique(back[:-1] * np.int64(len(used)) + at[2:], return_inverse=True)
-        pair = code[triple // len(used)]
-        u, v, w = own[pair // len(used)], own[pair % len(used)], own[triple % len(used)]
-        bucket = m.deal.triple(u, v)
-        n = self.find("triples", bucket, m.deal.buckets, triple_key(u, v, w))[0][again]
-        seen, pair_of = np.unique(triple // len(used), return_inverse=True)
-        pair = code[seen]
-        u, v = own[pair // len(used)], own[pair % len(used)]
-        context = self.find("contexts", m.deal.triple(u, v), m.deal.buckets, pair_key(u, v))
-        once = (context[0] == 0) & (before[seen] > 0)
+        own, size = hashes[used], np.int64(len(used))
+        table = self.words(own)
+        # Equal pairs are looked up once, as pairs and as contexts.
+        code, back = np.unique(at[:-1] * size + at[1:], return_inverse=True)
+        a, b = own[code // size], own[code % size]
+        before = self.pairs(a, b)
+        key, bucket = context_key(short(a), b), m.deal.triple(short(a), b)
+        context = self.find("contexts", bucket, m.deal.buckets, key)
+        once = (context[0] == 0) & (before > 0)
         context[:2, once] = 1.0
-        context = context[:, pair_of[again]]
+        pair = back[:-1]
+        n = self.find("triples", bucket[pair], m.deal.buckets, triple_key(key[pair], short(own[at[2:]])))[0]
+        context = context[:, pair]
         share = lambda d, c: sum(a * b for a, b in zip(d, c[1:4], strict=True)) / np.maximum(c[0], 1)
         off = lambda d, c: np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3).astype(int)], 0)
         left = table[5][at[2:]]
-        p = np.full(len(flat) - 2, m.unknown)
+        p = np.full(len(at) - 2, m.unknown)
         if m.pairs:
             p += off(m.word_discounts, left) / m.pairs
         middle = table[:, at[1:-1]]
