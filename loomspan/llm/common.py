@@ -87,7 +87,7 @@ def word_array(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words, without building them: places where a word starts."""
+    """Number of words between ASCII white space; null has none."""
     text = F.coalesce(text, F.lit(""))
     return F.size(word_array(text)).cast("long")
 
@@ -97,7 +97,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
 
     edges: columns a, b of one type. Returns node, component (the smallest node of its
     component) for every node that has an edge. Each step is a grouped minimum with map-side
-    combination and a join on the node, so a hub is never gathered in one task; the
+    combination and a join on the node. A hub's edges stream through one task of that join, unless Spark's adaptive
+    execution splits them; they are never held in memory. The
     rounds grow with the logarithm of the number of nodes. Every round is written to the shared folder.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()

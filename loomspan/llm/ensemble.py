@@ -46,20 +46,20 @@ def _split(x: np.ndarray, g: np.ndarray, names: tuple[str, ...], columns: np.nda
     return found
 
 
-def _tree(x: np.ndarray, g: np.ndarray, rows: np.ndarray, names: tuple[str, ...], rng: np.random.Generator, path: Rule, out: list[Rule], value: np.ndarray) -> None:
-    """Adds the tree's paths to out, and its leaves' means to value."""
-    value[rows] = g[rows].mean() if len(rows) else 0.0
+def _tree(x: np.ndarray, g: np.ndarray, rows: np.ndarray, every: np.ndarray, names: tuple[str, ...], rng: np.random.Generator, path: Rule, out: list[Rule], value: np.ndarray) -> None:
+    """Adds the paths of a tree grown on rows to out, and its leaves' means to value for every row that comes to them, drawn or not."""
+    value[every] = g[rows].mean() if len(rows) else 0.0
     if len(path) == DEPTH or len(rows) < 2 * LEAF:
         return
     columns = rng.choice(len(names), size=max(1, 2 * len(names) // 3), replace=False)
     c = _split(x[rows], g[rows], names, columns)
     if c is None:
         return
-    on = x[rows, names.index(c.feature)] >= c.cut
-    for at_least, part in ((True, rows[on]), (False, rows[~on])):
+    above = x[:, names.index(c.feature)] >= c.cut
+    for at_least in (True, False):
         rule = (*path, Condition(c.feature, at_least, c.cut))
         out.append(rule)
-        _tree(x, g, part, names, rng, rule, out, value)
+        _tree(x, g, rows[above[rows] == at_least], every[above[every] == at_least], names, rng, rule, out, value)
 
 
 def _rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], seed: int) -> list[Rule]:
@@ -71,8 +71,8 @@ def _rules(x: np.ndarray, y: np.ndarray, names: tuple[str, ...], seed: int) -> l
         g = y - 1 / (1 + np.exp(-f))
         rows = np.sort(rng.choice(len(y), size=max(1, len(y) // 2), replace=False))
         value = np.zeros(len(y))
-        _tree(x, g, rows, names, rng, (), paths := [], value)
-        f[rows] += RATE * 4 * value[rows]
+        _tree(x, g, rows, np.arange(len(y)), names, rng, (), paths := [], value)
+        f += RATE * 4 * value
         out += paths
     return list(dict.fromkeys(out))
 
@@ -139,6 +139,12 @@ def fit(df: DataFrame, labels: DataFrame, target: str = "quality", sample: int =
 
 
 def scored(df: DataFrame, model: Ensemble, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """df with score (0 to 1) and predicted. Null and empty texts are scored as texts without words; no row is dropped."""
-    made = textstats.features(textstats.base_stats(df, text_col)).withColumn("score", model.column())
-    return made.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)).select(*[c for c in df.columns if c not in ("score", "predicted")], "score", "predicted")
+    """df with score (0 to 1) and predicted, which replace columns of df with these names; others stay as they are, whatever their names.
+
+    Null and empty texts are scored as texts without words, however long texts are read whole; repeated rows get one score each; no row is dropped. A score of
+    just the threshold is predicted 1. An empty table gives an empty table.
+    """
+    own = df.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in df.columns])
+    made = textstats.features(textstats.base_stats(own, f"own_{text_col}")).withColumn("score", model.column())
+    kept = [F.col(f"`own_{c}`").alias(c) for c in df.columns if c not in ("score", "predicted")]
+    return made.select(*kept, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -124,13 +124,15 @@ def verdict(rules: list[Rule]) -> Column:
 def judged(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """df with base statistics, base_failed, rule (number of the rule that rejects, 0 for none) and kept.
 
-    Null and empty texts have no words, so they fail. Columns of df with the added names are replaced. Everything is
-    computed in the row by Spark's own functions; rows are never dropped.
+    Null and empty texts have no words, so they fail. Columns of df with the added names are replaced, others stay. Everything is
+    computed in the row by Spark's own functions, from whole texts; rows are never dropped, repeated ones are judged alike. An empty table gives an empty table.
     """
-    made = textstats.features(textstats.base_stats(df, text_col))
+    own = df.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in df.columns])
+    made = textstats.features(textstats.base_stats(own, f"own_{text_col}"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     made = made.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
-    return made.drop(*[c for c in made.columns if c.startswith("_c_")])
+    added = [c for c in made.columns if not c.startswith(("_c_", "own_"))]
+    return made.select(*[F.col(f"`own_{c}`").alias(c) for c in df.columns if c not in added], *added)
 
 
 def learned(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
@@ -138,6 +140,6 @@ def learned(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule
 
 
 def keep(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of df that pass."""
-    prefixed = df.select(*[F.col(c).alias(f"own_{c}") for c in df.columns])
-    return judged(prefixed, rules, f"own_{text_col}").where("kept").select(*[F.col(f"own_{c}").alias(c) for c in df.columns])
+    """The rows of df that pass, with df's columns as they are."""
+    prefixed = df.select(*[F.col(f"`{c}`").alias(f"my_{c}") for c in df.columns])
+    return judged(prefixed, rules, f"my_{text_col}").where("kept").select(*[F.col(f"`my_{c}`").alias(c) for c in df.columns])

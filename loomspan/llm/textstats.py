@@ -89,6 +89,14 @@ def labelled_sample(df: DataFrame, labels: DataFrame, target: str, limit: int, i
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(target).isNotNull()).select(F.col(id_col).alias("_id"), F.col(target).cast("int").alias("_y"))
     if where is not None:
         chosen = chosen.where(where)
+    total = chosen.count()
+    if total > 2 * limit:
+        # Rows under a bound of the hash hold the sample, so no task sorts more than about its share of it.
+        part = limit / total
+        bound = lambda share: chosen.where(F.xxhash64("_id") < int(-(2.0**63) + share * 2.0**64))
+        while part < 0.5 and bound(part := min(0.5, 1.5 * part)).limit(limit).count() < limit:
+            pass
+        chosen = bound(part) if part < 0.5 else chosen
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(limit)
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     return [([float(v) for v in r[:-2]], int(r[-2])) for r in features(base_stats(rows, "_text")).select(*FEATURES, "_y", "_id").orderBy("_id", "_y", *FEATURES).collect()]
