@@ -347,3 +347,82 @@ def local_context(blocks: DataFrame, before: int, after: int) -> DataFrame:
     """Text of the blocks around each one (id, pos, text)."""
     w = W.partitionBy("id").orderBy("pos")
     return blocks.withColumn("context_before", F.array_join(F.collect_list("text").over(w.rowsBetween(-before, -1)), " ")).withColumn("context_after", F.array_join(F.collect_list("text").over(w.rowsBetween(1, after)), " "))
+
+
+REF = "array<struct<kind:string,target:string,label:string,title:string>>"
+_AUTO = re.compile(r"<(https?://[^>\s]+)>")
+_TAG = re.compile(r"<(img|a)\b([^>]*)>", re.I)
+
+
+def _balanced(text: str, at: int) -> int:
+    """Where the parenthesis closes that opens before at: not inside quotes or angle brackets, and not one that is escaped or opened inside."""
+    depth, inside, i = 0, "", at
+    while i < len(text):
+        c = text[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = "" if c == inside else inside
+        elif c in "'\"<":
+            inside = ">" if c == "<" else c
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            if not depth:
+                return i
+            depth -= 1
+        i += 1
+    return -1
+
+
+def _destination(raw: str) -> tuple[str, str]:
+    raw = raw.strip()
+    m = re.match(r"<([^>]*)>(.*)$", raw, re.S) or re.match(r"(\S*)(.*)$", raw, re.S)
+    rest = m[2].strip()
+    return m[1].strip(), rest[1:-1] if len(rest) > 1 and rest[0] in "'\"" and rest[-1] == rest[0] else ""
+
+
+def asset_refs(text: str | None) -> list[tuple[str, str, str, str]]:
+    """kind, target, label and title of inline links and images, autolinks, and the img and a elements of a Markdown text; each kind, target and label once."""
+    text = text or ""
+    out: dict[tuple[str, str, str], str] = {}
+    at = 0
+    while (opened := text.find("[", at)) >= 0:
+        end = re.compile(r"(?:[^\\\]]|\\.)*\]", re.S).match(text, opened + 1)
+        at = opened + 1
+        if not end:
+            continue
+        at = end.end()
+        close = _balanced(text, at + 1) if text[at : at + 1] == "(" else -1
+        if close >= 0:
+            target, title = _destination(text[at + 1 : close])
+            if target:
+                out.setdefault(("image" if opened and text[opened - 1] == "!" else "link", target, text[opened + 1 : at - 1].strip()), title)
+            at = close + 1
+    for m in _AUTO.finditer(text):
+        out.setdefault(("link", m[1], ""), "")
+    attribute = lambda tag, name: (m[1].strip() if (m := re.search(rf"\b{name}=[\"']([^\"']*)[\"']", tag, re.I)) else "")
+    for wanted in ("img", "a"):
+        for m in _TAG.finditer(text):
+            target = attribute(m[2], "src" if wanted == "img" else "href")
+            if m[1].lower() != wanted or not target:
+                continue
+            stop = re.compile(r"</a>", re.I).search(text, m.end()) if wanted == "a" else None
+            if wanted == "a" and not stop:
+                continue
+            label = attribute(m[2], "alt") if wanted == "img" else re.sub(r"<[^>]+>", "", text[m.end() : stop.start()]).strip()
+            out.setdefault(("html_image" if wanted == "img" else "html_link", target, label), attribute(m[2], "title"))
+    return [(*k, t) for k, t in out.items()]
+
+
+def assets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A row per reference of asset_refs: id, kind, target, label, title."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *[T.StructField(n, T.StringType()) for n in ("kind", "target", "label", "title")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *r) for i, t in enumerate(b.column(1)) for r in asset_refs(t.as_py())]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(columns[0], pa.int64())), *[pa.array(c, pa.string()) for c in columns[1:]]], schema.names)
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)

@@ -188,3 +188,11 @@ def crop_box(box: list[Column], width: Column, height: Column, normalised: Colum
     sides = (width, height, width, height)
     pixel = [F.when(normalised, b * s).otherwise(b) for b, s in zip(box, sides, strict=True)]
     return [F.greatest(F.lit(0), F.least(s, F.floor(p))).cast("long") for p, s in zip(pixel, sides, strict=True)]
+
+
+def document_probe(pages: DataFrame, by: str) -> DataFrame:
+    """Scores of documents from their probed pages (by, chars, quality, images, full_page, layout, sandwich): pages, text layer and quality, scan and sandwich likelihood, layout and visual complexity, each from 0 to 1."""
+    clamp = lambda c: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))), 3)
+    sums = pages.groupBy(by).agg(F.count("*").alias("pages"), F.avg("chars").alias("c"), (F.count_if(F.col("chars") >= 80) / F.count("*")).alias("h"), F.avg("quality").alias("q"), F.avg("images").alias("i"), (F.count_if("full_page") / F.count("*")).alias("f"), F.avg("layout").alias("l"), F.avg("sandwich").alias("s"))
+    layer = F.col("h") * 0.55 + F.least(F.col("c") / 900, F.lit(1.0)) * 0.45
+    return sums.select(by, "pages", clamp(layer).alias("text_layer_score"), clamp(F.col("q")).alias("text_quality_score"), clamp((1 - layer) * 0.65 + F.col("f") * 0.35).alias("scan_likelihood"), clamp(F.col("s")).alias("sandwich_likelihood"), clamp(F.col("l")).alias("layout_complexity_score"), clamp(F.col("i") / 3 * 0.45 + F.col("f") * 0.55).alias("visual_complexity_score"))

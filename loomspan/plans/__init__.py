@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "chunk_documents"
-MODULES = ("transcripts", "routing", "images", "jobs", "quality", "documents", "streams")
+MODULES = ("transcripts", "routing", "images", "jobs", "quality", "documents", "streams", "records")
 
 
 def _all(name: str) -> dict:
