@@ -4,12 +4,14 @@ Suffixes are sampled: of the ``KEY``-byte strings inside a window of ``LENGTH``
 equal windows have their anchor at the same place and only suffixes that start at anchors (one in 76 bytes) are indexed.
 A suffix array here is a table of such suffixes in order of the fingerprint of their first KEY
 bytes and then of the fingerprint of the whole neighbourhood that the anchor's windows cover; the order serves only to bring
-equal suffixes together, so fingerprints stand for the strings.
+equal suffixes together, so fingerprints of 64 bits each stand for the strings.
 
 Documents come in batches. Each gets its suffix array, which is merge-scanned against the existing levels; then levels of
-equal size are merged, so a suffix is rewritten a logarithmic number of times. A scan tells which anchors have an
+equal size are merged, so a suffix is rewritten a logarithmic number of times. The levels are tables of a folder, with a list of
+them beside, and can be opened again for a later batch. A scan tells which anchors have an
 equal neighbourhood elsewhere (all their windows repeat) and which share a key with another neighbourhood;
-for the latter the windows themselves are compared, key by key, which makes the result exact.
+for the latter the windows themselves are compared, byte by byte where their hashes agree. Keys that very many suffixes
+share are not scanned in one task but counted.
 """
 
 from __future__ import annotations
@@ -186,27 +188,69 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 HITS = INDEX + ", repeated boolean, lead boolean"
 
 
+def _crowded(rows: DataFrame, held: int) -> DataFrame:
+    """Keys that seem to have more than held rows, by a sample; at most a few for each `held` rows of the table."""
+    part = 64 / held
+    return rows.sample(part, seed=7).groupBy("key").count().where(F.col("count") > 32).select("key") if part < 1 else rows.groupBy("key").count().where(F.col("count") > held).select("key")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """HITS of crowded keys: neighbourhoods are counted before they are shuffled, and the counts joined with the rows, a join that Spark splits where a key is common."""
+    single = rows.groupBy("key", "full", "t1", "t2", "place").agg(F.max("new").alias("new"))
+    classes = single.groupBy("key", "full").agg(F.count("*").alias("n"), F.max("new").alias("any_new"), F.min(F.struct("t1", "t2", "place")).alias("first"))
+    keys = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max("any_new").alias("fresh"))
+    classes = classes.join(keys, "key").where("fresh and (n > 1 or classes > 1)")
+    out = single.join(classes, ["key", "full"])
+    lead = (F.col("classes") > 1) & (F.struct("t1", "t2", "place") == F.col("first"))
+    return out.select("key", "full", "t1", "t2", "place", (F.col("n") > 1).alias("repeated"), lead.alias("lead")).where("repeated or lead")
+
+
 class SuffixIndex:
-    """Levels of suffix arrays, each a table in the shared folder with twice the batches of the one before."""
+    """Levels of suffix arrays, each a table in the shared folder with twice the batches of the one before.
+
+    The list of levels is a small table of the folder, written anew after each batch, from which open takes the index up again.
+    """
+
+    LEVELS = "number bigint, rank bigint, name string"
 
-    def __init__(self, spark: SparkSession, scratch: Scratch):
-        self.spark, self.scratch = spark, scratch
+    def __init__(self, spark: SparkSession, scratch: Scratch, held: int = HELD):
+        self.spark, self.scratch, self.held = spark, scratch, held
         self.levels: list[tuple[int, str, DataFrame]] = []
         self.count = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> SuffixIndex:
+        """The index whose folder (scratch.root) this is, as its last batch left it."""
+        scratch = Scratch(spark, "suffixes")
+        scratch.root = root
+        out = cls(spark, scratch)
+        numbers = [r["number"] for r in spark.read.schema("number bigint").parquet(scratch.path("levels")).distinct().collect()]
+        out.count = max(numbers)
+        rows = spark.read.schema(cls.LEVELS).parquet(f"{scratch.path('levels')}/number={out.count}").where("name is not null").orderBy(F.desc("rank")).collect()
+        out.levels = [(r["rank"], r["name"], spark.read.schema(INDEX).parquet(scratch.path(r["name"]))) for r in rows]
+        return out
+
+    def _save(self) -> None:
+        rows = [(self.count, rank, name) for rank, name, _ in self.levels] or [(self.count, None, None)]
+        self.spark.createDataFrame(rows, self.LEVELS).coalesce(1).write.mode("overwrite").parquet(f"{self.scratch.path('levels')}/number={self.count}")
+
     def add(self, rows: DataFrame, last: bool = False) -> DataFrame:
         """Scans a batch (INDEX rows) against itself and all levels, returns the matches of both sides, and takes the batch in.
 
-        last: no other batch follows, so levels need not be merged.
+        last: no other batch follows, so levels need not be merged or kept.
         """
         self.count += 1
         name = f"level-{self.count}"
         both = rows.withColumn("new", F.lit(True))
         for _, _, level in self.levels:
             both = both.union(level.withColumn("new", F.lit(False)))
-        both = both.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "full", "t1", "t2", "place")
-        hits = self.scratch.write(both.mapInArrow(_scan, HITS), f"hits-{self.count}")
-        del both
+        crowded = self.scratch.write(_crowded(both, self.held), f"crowded-{self.count}")
+        usual = both if crowded.isEmpty() else both.join(F.broadcast(crowded), "key", "left_anti")
+        usual = usual.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "full", "t1", "t2", "place").mapInArrow(_scan, HITS)
+        if not crowded.isEmpty():
+            usual = usual.union(_counted(both.join(F.broadcast(crowded), "key", "left_semi")))
+        hits = self.scratch.write(usual, f"hits-{self.count}")
+        del both, usual
         self.scratch.release()
         if last:
             return hits
@@ -217,6 +261,7 @@ class SuffixIndex:
             gone.append(old)
         merged = merged.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "full", "t1", "t2", "place")
         self.levels.append((rank, name, self.scratch.write(merged, name)))
+        self._save()
         del merged
         for old in gone:
             self.scratch.drop(old)
@@ -269,6 +314,15 @@ def _runs(flags: np.ndarray, row: np.ndarray, first: np.ndarray, lo: np.ndarray,
     return rows, lo[rows] + at[begin] - first[rows], lo[rows] + at[end] - first[rows] + length
 
 
+def _same_bytes(rows: list[tuple], row: np.ndarray, one: np.ndarray, other: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows of two lists (numbers as in _hash_rows) are the same bytes."""
+    joined = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    # Each row before takes length - 1 more bytes than it has windows.
+    start = np.arange(len(row)) + (length - 1) * row
+    windows = np.lib.stride_tricks.sliding_window_view(joined, length)
+    return np.concatenate([(windows[start[one[i : i + 20_000]]] == windows[start[other[i : i + 20_000]]]).all(1) for i in range(0, len(one), 20_000)] or [np.zeros(0, bool)])
+
+
 def _compare(length: int):
     """Neighbourhoods in order of key: yields the byte runs covered by windows that another neighbourhood of the key has too."""
 
@@ -280,6 +334,7 @@ def _compare(length: int):
         marked = hashes ^ mix64(key.view(np.uint64))[row]
         order = np.argsort(marked, kind="stable")
         same = marked[order[1:]] == marked[order[:-1]]
+        same[same] = _same_bytes(rows, row, order[1:][same], order[:-1][same], length)
         twice = np.zeros(len(marked), bool)
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
@@ -335,7 +390,37 @@ def _busy_marks(near: DataFrame, busy: DataFrame, length: int) -> DataFrame:
     return rows.where("not repeated").join(twice, ["key", "hash"], "left_semi").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
 
 
-def repeated_bytes(df: DataFrame, text_col: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*text_key(F.col("text")), "text")
+
+
+def _marks(texts: DataFrame, found: DataFrame, scratch: Scratch, length: int, neighbours: int) -> DataFrame:
+    """MARKS of the matches that scans found; texts: all texts they come from."""
+    spark = scratch.spark
+    leads = found.groupBy("key", "full").agg(F.max("repeated").alias("repeated"), F.max("lead").alias("lead"), F.min(F.struct("t1", "t2", "place")).alias("at"))
+    leads = leads.where("lead").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("key", "full", F.col("at.place").alias("place"), "repeated")).alias("leads"))
+    arrow_batches(spark, 500)
+    near = texts.where(F.octet_length("text") >= length).join(leads, ["t1", "t2"]).select("t1", "t2", "text", "leads").mapInArrow(_neighbourhoods(length), NEAR)
+    near = scratch.write(near.dropDuplicates(["key", "full"]), "neighbourhoods")
+    scratch.release()
+    busy = scratch.write(near.groupBy("key").count().where(F.col("count") > neighbours).select("key"), "busy")
+    usual = near if busy.isEmpty() else near.join(busy, "key", "left_anti")
+    partial = usual.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_compare(length), MARKS)
+    if not busy.isEmpty():
+        partial = partial.union(_busy_marks(near, busy, length))
+    whole = found.where("repeated").select("t1", "t2", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(0xFFFF) + length).alias("stop"))
+    copies = texts.select("t1", "t2", F.octet_length("text").cast("long").alias("stop")).where(F.col("stop") >= length).groupBy("t1", "t2", "stop").count().where("count > 1")
+    marks = scratch.write(whole.union(partial).union(copies.select("t1", "t2", F.lit(0).cast("long"), "stop")).distinct(), "marks")
+    scratch.drop("neighbourhoods")
+    scratch.drop("busy")
+    return marks
+
+
+def _spans(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+
+
+def repeated_bytes(df: DataFrame, text_col: str = "text", length: int = LENGTH, key: int = KEY, batches: int = BATCHES, neighbours: int = NEIGHBOURS, held: int = HELD) -> DataFrame:
     """t1, t2 (see text_key) and spans: sorted, disjoint runs of bytes covered by strings of length bytes that also start elsewhere.
 
     One row per distinct text that has any; null texts count as empty. The documents are indexed in the given number of batches.
@@ -343,39 +428,40 @@ def repeated_bytes(df: DataFrame, text_col: str = "text", length: int = LENGTH,
     spark = df.sparkSession
     scratch = Scratch(spark, "suffixes")
     arrow_batches(spark, 500)
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(*text_key(F.col("text")), "text")
+    texts = _texts(df, text_col)
     rows = _index_rows(texts, length, key).withColumn("batch", F.pmod("t1", F.lit(batches)))
     all_rows = scratch.write(rows, "suffixes")
     arrow_batches(spark, 10_000)
-    index, hits = SuffixIndex(spark, scratch), []
+    index, hits = SuffixIndex(spark, scratch, held), []
     for k in range(batches):
         hits.append(index.add(all_rows.where(F.col("batch") == k).drop("batch"), last=k == batches - 1))
     found = hits[0]
     for more in hits[1:]:
         found = found.union(more)
-    scratch.release()
-    leads = found.groupBy("key", "full").agg(F.max("repeated").alias("repeated"), F.max("lead").alias("lead"), F.min(F.struct("t1", "t2", "place")).alias("at"))
-    leads = leads.where("lead").groupBy("at.t1", "at.t2").agg(F.collect_list(F.struct("key", "full", F.col("at.place").alias("place"), "repeated")).alias("leads"))
-    arrow_batches(spark, 500)
-    near = texts.where(F.octet_length("text") >= length).join(leads, ["t1", "t2"]).select("t1", "t2", "text", "leads").mapInArrow(_neighbourhoods(length), NEAR)
-    near = scratch.write(near.dropDuplicates(["key", "full"]), "neighbourhoods")
     scratch.drop("suffixes")
-    for k in range(1, batches):
-        scratch.drop(f"level-{k}")
+    for _, name, _ in index.levels:
+        scratch.drop(name)
     scratch.release()
-    busy = scratch.write(near.groupBy("key").count().where(F.col("count") > neighbours).select("key"), "busy")
-    usual = near if busy.isEmpty() else near.join(busy, "key", "left_anti")
-    partial = usual.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_compare(length), MARKS)
-    if not busy.isEmpty():
-        partial = partial.union(_busy_marks(near, busy, length))
-    whole = found.where("repeated").select("t1", "t2", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(0xFFFF) + length).alias("stop"))
-    copies = texts.select("t1", "t2", F.octet_length("text").cast("long").alias("stop")).where(F.col("stop") >= length).groupBy("t1", "t2", "stop").count().where("count > 1")
-    marks = scratch.write(whole.union(partial).union(copies.select("t1", "t2", F.lit(0).cast("long"), "stop")).distinct(), "marks")
-    scratch.drop("neighbourhoods")
+    marks = _marks(texts, found, scratch, length, neighbours)
     for k in range(1, batches + 1):
         scratch.drop(f"hits-{k}")
+        scratch.drop(f"crowded-{k}")
     scratch.release()
-    return marks.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    return _spans(marks)
+
+
+def add_batch(index: SuffixIndex, batch: DataFrame, before: DataFrame, text_col: str = "text", length: int = LENGTH, key: int = KEY, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Takes a batch into an index that is kept, and returns t1, t2 and spans of all strings that the batch repeats, in its own texts and in those before.
+
+    before: the documents that the index holds, whose texts are compared where a suffix of the batch meets them. What
+    they repeat among themselves was found when they came.
+    """
+    arrow_batches(index.spark, 500)
+    found = index.add(index.scratch.write(_index_rows(_texts(batch, text_col), length, key), f"batch-{index.count + 1}"))
+    work = Scratch(index.spark, "suffixes-batch")
+    marks = _marks(_texts(batch, text_col).union(_texts(before, text_col)), found, work, length, neighbours)
+    index.scratch.drop(f"batch-{index.count}")
+    return _spans(marks)
 
 
 def _cut(data: bytes, spans: list[dict] | None) -> tuple[list[bytes], int, int]:

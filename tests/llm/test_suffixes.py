@@ -4,6 +4,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomspan.llm import suffixes
 
 SCHEMA = "doc_id long, text string"
@@ -47,7 +49,7 @@ def made(seed):
     return rows + rows[:3] + [(None, None), (200, ""), (201, "a" * 199), (202, "a" * 450), (203, "ab" * 300), (204, rows[5][1][:150] * 3), (None, rows[7][1])]
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 1}, {"batches": 7}, {"neighbours": 0}])
+@pytest.mark.parametrize("options", [{}, {"batches": 1}, {"batches": 7}, {"neighbours": 0}, {"held": 2}, {"held": 40}])
 def test_against_brute_force(spark, options):
     rows = made(1)
     assert run(spark, rows, **options) == brute(rows)
@@ -84,3 +86,34 @@ def test_scan_of_a_group_larger_than_it_holds(monkeypatch):
     repeated = {r[2] for r in out if r[5]}
     lead = {r[2] for r in out if r[6]}
     assert repeated == {0, 1, 2, 3, 4, 6, 7, 10, 11} and {0, 5, 6, 8} <= lead and not lead & {9, 10}
+
+
+def test_a_batch_for_an_index_opened_again(spark):
+    """The spans of three batches, added to an index that is opened anew for each, are together those of all documents."""
+    rows = [r for r in made(3)]
+    random.Random(8).shuffle(rows)
+    frame = lambda v: spark.createDataFrame(v, SCHEMA)
+    parts = [rows[:30], rows[30:60], rows[60:]]
+    index = suffixes.SuffixIndex(spark, suffixes.Scratch(spark, "kept"))
+    root, spans = index.scratch.root, []
+    for i, part in enumerate(parts):
+        if i:
+            index = suffixes.SuffixIndex.open(spark, root)
+            assert index.count == i and [rank for rank, _, _ in index.levels] == [[0], [1]][i - 1]
+        before = [r for p in parts[:i] for r in p]
+        spans.append(suffixes.add_batch(index, frame(part), frame(before)).collect())
+    gone = {}
+    for r in (r for found in spans for r in found):
+        for s in r.spans:
+            gone.setdefault((r.t1, r.t2), set()).update(range(s["start"], s["stop"]))
+    keys = frame(rows).select("doc_id", *suffixes.text_key(F.col("text"))).collect()
+    got = sorted((str(r.doc_id), len(gone.get((r.t1, r.t2), ()))) for r in keys)
+    assert got == sorted((str(i), n) for i, _, n, _, _ in brute(rows))
+
+
+def test_equal_hashes_are_compared_byte_by_byte():
+    import numpy as np
+
+    rows = [(1, 0, 0, 0, 0, False, b"abcdefgh"), (1, 0, 0, 0, 0, False, b"xabcdefy")]
+    row = np.repeat([0, 1], 4)
+    assert suffixes._same_bytes(rows, row, np.array([0, 0]), np.array([5, 4]), 5).tolist() == [True, False]
