@@ -33,31 +33,37 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table outlives the executors that made it. Tables that later steps no longer
-    read are dropped with :meth:`drop`; those a lazily read result needs stay.
+    read are dropped with :meth:`drop`; those a lazily read result needs stay, and go when the application ends, unless keep is set.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
+        self.spark, self.keep = spark, keep
         self.root = f"{shared_dir(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
 
+    def _hadoop(self, path: str) -> tuple:
+        """The path and its file system, as Hadoop's objects."""
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def url(self, name: str) -> str:
         """The path with its file system's scheme, so that workers reach the same files as the driver or fail."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        path, files = self._hadoop(self.path(name))
+        return files.makeQualified(path).toString()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and reads it back."""
         df.write.mode("overwrite").parquet(self.path(name))
+        if not self.keep:
+            path, files = self._hadoop(self.root)
+            files.deleteOnExit(path)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._hadoop(self.path(name))
+        files.delete(path, True)
 
     def release(self) -> None:
         """Lets Spark remove the shuffle files of finished steps, which nothing refers to any more."""
@@ -68,7 +74,11 @@ class Scratch:
 
 
 def arrow_batches(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, as single texts may be long."""
+    """Bounds the rows of an Arrow batch, as single texts may be long.
+
+    This is a setting of the session, which a lazily read result takes from whoever set it last. It bounds memory only: no
+    operator's result depends on where batches end.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -208,7 +208,8 @@ def _counted(rows: DataFrame) -> DataFrame:
 class SuffixIndex:
     """Levels of suffix arrays, each a table in the shared folder with twice the batches of the one before.
 
-    The list of levels is a small table of the folder, written anew after each batch, from which open takes the index up again.
+    The list of levels is a small table of the folder, written anew after each batch, from which open takes the index up again. An
+    index that is to outlive the application needs a Scratch with keep.
     """
 
     LEVELS = "number bigint, rank bigint, name string"
@@ -221,7 +222,7 @@ class SuffixIndex:
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> SuffixIndex:
         """The index whose folder (scratch.root) this is, as its last batch left it."""
-        scratch = Scratch(spark, "suffixes")
+        scratch = Scratch(spark, "suffixes", keep=True)
         scratch.root = root
         out = cls(spark, scratch)
         numbers = [r["number"] for r in spark.read.schema("number bigint").parquet(scratch.path("levels")).distinct().collect()]

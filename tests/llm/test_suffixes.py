@@ -94,7 +94,7 @@ def test_a_batch_for_an_index_opened_again(spark):
     random.Random(8).shuffle(rows)
     frame = lambda v: spark.createDataFrame(v, SCHEMA)
     parts = [rows[:30], rows[30:60], rows[60:]]
-    index = suffixes.SuffixIndex(spark, suffixes.Scratch(spark, "kept"))
+    index = suffixes.SuffixIndex(spark, suffixes.Scratch(spark, "kept", keep=True))
     root, spans = index.scratch.root, []
     for i, part in enumerate(parts):
         if i:
