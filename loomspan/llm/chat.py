@@ -42,15 +42,19 @@ def unescape(text: str) -> str:
     return PAIR.sub(r"\1", text)
 
 
-def counter(vocabulary: str | None = VOCABULARY) -> Callable[[str], int]:
-    """Counts tokens; without a vocabulary file a token is taken to be four bytes."""
-    if vocabulary is None:
+def ranks(vocabulary: str) -> dict[bytes, int]:
+    """The tokens of a vocabulary file and their ranks; the file is read by the driver, so workers need not have it."""
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def counter(own: dict[bytes, int] | None) -> Callable[[str], int]:
+    """Counts tokens; without a vocabulary a token is taken to be four bytes."""
+    if own is None:
         return lambda text: (len(text.encode("utf-8", "surrogatepass")) + 3) // 4
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
@@ -122,8 +126,10 @@ def format_windows(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     arrow = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(arrow), pa.int64(), pa.int64(), pa.bool_()]
 
+    held = spark.sparkContext.broadcast(None if vocabulary is None else ranks(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, now, out = counter(vocabulary), None, []
+        count, now, out = counter(held.value), None, []
 
         def batch(kind: pa.DataType) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))

@@ -82,6 +82,16 @@ def arrow_batches(spark: SparkSession, rows: int) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def put_aside(df: DataFrame) -> DataFrame:
+    """df with own_ before each of its names, so that they can't clash with an operator's."""
+    return df.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in df.columns])
+
+
+def take_back(df: DataFrame, columns: list[str]) -> list[Column]:
+    """These columns of a table made of one put aside, under their names."""
+    return [F.col(f"`own_{c}`").alias(c) for c in columns]
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

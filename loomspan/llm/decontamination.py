@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import Scratch, arrow_batches
+from loomspan.llm.common import Scratch, arrow_batches, put_aside, take_back
 
 WINDOW = 10
 #: Words of benchmark items held by a task at a time; a larger benchmark is taken in blocks, each against all documents.
@@ -114,13 +114,14 @@ FOUND = "n_words bigint, spans array<struct<start:bigint,stop:bigint>>, items ar
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, name: str = "found") -> DataFrame:
-    """df with a column name: struct(n_words, spans of hit words [start, stop), item ids as strings, sorted).
+    """df with a column name (in place of one that has it): struct(n_words, spans of hit words [start, stop), item ids as strings, sorted).
 
     Null and empty texts have no words and are never hit; items without words have no windows. Repeated items count once;
     an item without an id hits words and is listed as null. Repeated documents get equal results. Every block of the benchmark is a pass over the documents,
     and the words' rarities are counted over all documents.
     """
     spark = df.sparkSession
+    df = df.drop(name)
     scratch = Scratch(spark, "decontamination")
     arrow_batches(spark, 500)
     schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(FOUND))])
@@ -158,15 +159,19 @@ def _search(held, place: int, first: bool):
 
 
 def report(found: DataFrame, name: str = "found") -> DataFrame:
-    """Replaces the struct by n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Replaces the struct, and columns that have these names, by n_words, n_hit, n_items, items_sha256, contaminated."""
     hit = F.aggregate(F.col(f"{name}.spans"), F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
-    return found.select(*[c for c in found.columns if c != name], F.col(f"{name}.n_words").alias("n_words"), hit.alias("n_hit"), F.size(f"{name}.items").cast("long").alias("n_items"), F.sha2(F.array_join(f"{name}.items", ",", "").cast("binary"), 256).alias("items_sha256"), (F.size(f"{name}.spans") > 0).alias("contaminated"))
+    added = (name, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c not in added], F.col(f"{name}.n_words").alias("n_words"), hit.alias("n_hit"), F.size(f"{name}.items").cast("long").alias("n_items"), F.sha2(F.array_join(f"{name}.items", ",", "").cast("binary"), 256).alias("items_sha256"), (F.size(f"{name}.spans") > 0).alias("contaminated"))
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of df in which no window of the benchmark occurs; texts stay where they are read."""
-    found = contamination(df, benchmark, text_col, name="_found", **options)
-    return found.where(F.size("_found.spans") == 0).select(*df.columns)
+    """The rows of df in which no window of the benchmark occurs; texts stay where they are read.
+
+    Null and empty texts stay, however long texts are read whole, repeated rows go or stay alike, and df's columns stay as they are, whatever their names.
+    """
+    found = contamination(put_aside(df), benchmark, f"own_{text_col}", name="found", **options)
+    return found.where(F.size("found.spans") == 0).select(*take_back(found, df.columns))
 
 
 SQL = r"""

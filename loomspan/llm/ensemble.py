@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import textstats
+from loomspan.llm.common import put_aside, take_back
 from loomspan.llm.rules import Condition, Rule, _covers
 
 SAMPLE = 12_000
@@ -144,7 +145,6 @@ def scored(df: DataFrame, model: Ensemble, text_col: str = "text", threshold: fl
     Null and empty texts are scored as texts without words, however long texts are read whole; repeated rows get one score each; no row is dropped. A score of
     just the threshold is predicted 1. An empty table gives an empty table.
     """
-    own = df.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in df.columns])
-    made = textstats.features(textstats.base_stats(own, f"own_{text_col}")).withColumn("score", model.column())
-    kept = [F.col(f"`own_{c}`").alias(c) for c in df.columns if c not in ("score", "predicted")]
+    made = textstats.features(textstats.base_stats(put_aside(df), f"own_{text_col}")).withColumn("score", model.column())
+    kept = take_back(made, [c for c in df.columns if c not in ("score", "predicted")])
     return made.select(*kept, "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

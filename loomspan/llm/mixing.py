@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, word_count
+from loomspan.llm.common import Scratch, put_aside, take_back, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
@@ -116,13 +116,14 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scratch = Scratch(df.sparkSession, "mixing")
     plan = _plan(scratch.write(_scored(df, id_col, text_col, source_col, seed), "sizes"), scratch, weights, share, cap)
     plan = plan.select(*[F.col(c).alias("of" if c == "of" else f"_plan_{c}") for c in plan.columns]).withColumnRenamed("of", "_plan_of")
-    rows = df.withColumn("_size", word_count(F.col(text_col))).withColumn("_u", uniform(F.col(id_col), F.col(text_col), seed))
-    joined = rows.join(plan, rows[source_col].eqNullSafe(plan["_plan_of"]))
-    own = F.struct(pareto_key(F.col("_u"), F.col("_plan_fraction")).alias("key"), F.col(id_col).alias("id"), F.col("_size").alias("size"))
+    own_id, own_text = F.col(f"own_{id_col}"), F.col(f"own_{text_col}")
+    rows = put_aside(df).withColumn("_size", word_count(own_text)).withColumn("_u", uniform(own_id, own_text, seed))
+    joined = rows.join(plan, rows[f"own_{source_col}"].eqNullSafe(plan["_plan_of"]))
+    own = F.struct(pareto_key(F.col("_u"), F.col("_plan_fraction")).alias("key"), own_id.alias("id"), F.col("_size").alias("size"))
     once = (F.col("_plan_fraction") > 0) & F.col("_plan_last").isNotNull() & (own <= F.col("_plan_last"))
     joined = joined.withColumn("_copies", F.col("_plan_whole") + F.when(once, 1).otherwise(0)).where((F.col("_copies") > 0) & (F.col("_size") > 0))
     added = {"size": F.col("_size"), "source_size": F.col("_plan_source_size"), "target": F.col("_plan_target"), "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size")}
-    return joined.select(*[F.col(c) for c in df.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    return joined.select(*take_back(joined, [c for c in df.columns if c not in added]), *[v.alias(k) for k, v in added.items()])
 
 
 #: The same in SQL; {rows} is a query with columns doc_id, text, source.

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import textstats
+from loomspan.llm.common import put_aside, take_back
 
 #: Labelled rows that are learned from at most.
 SAMPLE = 8_000
@@ -127,12 +128,11 @@ def judged(df: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFram
     Null and empty texts have no words, so they fail. Columns of df with the added names are replaced, others stay. Everything is
     computed in the row by Spark's own functions, from whole texts; rows are never dropped, repeated ones are judged alike. An empty table gives an empty table.
     """
-    own = df.select(*[F.col(f"`{c}`").alias(f"own_{c}") for c in df.columns])
-    made = textstats.features(textstats.base_stats(own, f"own_{text_col}"))
+    made = textstats.features(textstats.base_stats(put_aside(df), f"own_{text_col}"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     made = made.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
     added = [c for c in made.columns if not c.startswith(("_c_", "own_"))]
-    return made.select(*[F.col(f"`own_{c}`").alias(c) for c in df.columns if c not in added], *added)
+    return made.select(*take_back(made, [c for c in df.columns if c not in added]), *added)
 
 
 def learned(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:

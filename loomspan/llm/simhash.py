@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, arrow_batches, connected_components, partitions
+from loomspan.llm.common import Scratch, arrow_batches, connected_components, partitions, put_aside, take_back
 
 BITS = 4
 SHINGLE = 4
@@ -239,12 +239,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """df with one row of each component: that with the smallest id (rows without an id last, then by text hash)."""
+    """df with one row of each component: that with the smallest id (rows without an id last, then by text hash).
+
+    Null, empty and very long texts are treated as in near_duplicates; of rows repeated with their id and text one stays, and its other columns are those of any of
+    them. df's columns stay as they are, whatever their names. An empty table gives an empty table.
+    """
     found = near_duplicates(df, id_col, text_col, **options)
     # Every row of a component without ids has component_id null; those are told apart by fingerprint.
     with_id = found.where("id = component_id").groupBy("id").agg(F.min("text_hash").alias("text_hash"))
     without = found.where("component_id is null").groupBy("fingerprint").agg(F.min("text_hash").alias("text_hash")).select(F.lit(None).cast(df.schema[id_col].dataType).alias("id"), "text_hash")
     keep = with_id.union(without.distinct()).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
-    rows = df.withColumn("_text_hash", F.xxhash64(text_col))
-    stay = rows.join(keep, rows[id_col].eqNullSafe(keep["_id"]) & (rows["_text_hash"] == keep["_hash"]), "left_semi")
-    return stay.dropDuplicates([id_col, "_text_hash"]).select(*df.columns)
+    rows = put_aside(df).withColumn("_text_hash", F.xxhash64(f"own_{text_col}"))
+    stay = rows.join(keep, rows[f"own_{id_col}"].eqNullSafe(keep["_id"]) & (rows["_text_hash"] == keep["_hash"]), "left_semi")
+    return stay.dropDuplicates([f"own_{id_col}", "_text_hash"]).select(*take_back(stay, df.columns))

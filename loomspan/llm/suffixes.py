@@ -513,7 +513,11 @@ def removal_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_repeats(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """df with the repeated bytes cut out of its texts; what is left of a character cut in half goes too. Null texts stay null."""
+    """df with the repeated bytes cut out of its texts; what is left of a character cut in half goes too. Null texts stay null.
+
+    Rows are never dropped, those whose text is gone have an empty one; all copies of a text are cut alike; however long texts are read whole; df's other columns stay
+    as they are, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -521,6 +525,6 @@ def without_repeats(df: DataFrame, text_col: str = "text", **options) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string())], ["own", "kept"])
 
     others = [c for c in df.columns if c != text_col]
-    joined = _joined(df, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]), text_col, options)
+    joined = _joined(df, F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]), text_col, options)
     out = joined.mapInArrow(run, T.StructType([joined.schema["own"], T.StructField("kept", T.StringType())]))
-    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in df.columns])
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"own.c{others.index(c)}").alias(c) for c in df.columns])

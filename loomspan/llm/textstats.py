@@ -57,7 +57,7 @@ def base_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
     }
     # A generator of one row: a filter on a count is not pushed below it, where the optimizer would
     # put the arrays' expressions into each other and into the functions applied to their elements.
-    own = [c for c in df.columns if c not in made]
+    own = [F.col(f"`{c}`") for c in df.columns if c not in made]
     return stage.select(*own, F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))))
 
 

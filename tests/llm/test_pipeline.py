@@ -1,6 +1,8 @@
 """Each stage of the pipeline against a plain version, on what the stage before it kept."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from loomspan.llm import rules
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_mixing import brute as mix
@@ -61,3 +63,27 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+#: Names that operators use themselves.
+CLASHES = ("_text_hash", "_id", "found", "_found", "n_words", "score", "kept", "rule", "base_failed", "_size", "_u", "_copies", "_plan_of", "_plan_target", "size_of", "_", "none", "own", "own_text", "c0", "t1", "spans", "fingerprint", "component_id", "_t", "_w", "_c_lines", "log_words", "item_id")
+
+
+def edge_rows(docs):
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.limit(60).collect()]
+    long = " ".join(f"w{i % 977} x{i}" for i in range(60_000))
+    return rows + rows[:3] + [(None, rows[0][1], None, None, None), (9001, None, None, None, None), (9002, "", "en", rows[0][3], 0), (9003, long, "en", None, len(long)), (9004, long, "en", rows[0][3], len(long)), (None, None, None, None, None), (9005, " \t\n", "en", "x", 3)]
+
+
+def test_clashing_names_nulls_and_long_texts(spark, sf_dir):
+    """Every stage gives the same rows whatever other columns there are, and leaves these as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = spark.createDataFrame(edge_rows(docs), docs.schema)
+    more = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES])
+    show = lambda rows: sorted(str((r["doc_id"], r["text"], r["source"])) for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, plain, sf_dir).collect(), stage(spark, more, sf_dir).collect()
+        assert show(got) == show(want) and want, name
+        for r in got:
+            assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for c in CLASHES), name
+        assert any(r["doc_id"] in (9003, 9004) for r in want), name
