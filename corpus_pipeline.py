@@ -1,7 +1,8 @@
 """The corpus pipeline: stages that turn documents into a training mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next stage's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents, and any others as they are, whatever their names. An empty table gives an
+empty table; texts are read whole, however long they are.
 """
 
 from __future__ import annotations
@@ -14,28 +15,28 @@ from loomspan.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned decision list, or the base rules before it, rejects go."""
+    """Documents that the learned decision list, or the base rules before it, rejects go: null and empty texts are among them. Repeated rows are judged alike."""
     return rules.keep(docs, rules.learned(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: that with the smallest id."""
+    """One document of each group of linked fingerprints stays: that with the smallest id, one with an id before one without. Of rows repeated with their id and text one stays. Null and empty texts are one group."""
     return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 200 bytes that also start elsewhere are cut out of the texts; n_chars follows."""
+    """Strings of 200 bytes that also start elsewhere are cut out of the texts; n_chars follows. No row goes; null texts stay null; all copies of a text are cut alike."""
     cut = suffixes.without_repeats(docs)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else cut
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go. Null and empty texts stay; repeated rows go or stay alike."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the copies it takes of each."""
+    """The documents that the mix takes, with the copies it takes of each. Texts without words are not taken; a null source is one of its own; repeated rows are taken alike."""
     return mixing.mixed(docs)
 
 
