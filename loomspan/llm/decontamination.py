@@ -8,7 +8,6 @@ the window's length bound where it can lie; what is left is compared word for wo
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import Scratch, arrow_batches, ascii_lower, partitions, word_array
+from loomspan.llm.common import Scratch, arrow_batches, ascii_lower, word_array
 from loomspan.llm.hashing import mix64
 
 #: Neither can be a word, as words hold no spaces.
