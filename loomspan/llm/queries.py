@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import chaining, chat, decontamination, ensemble, kneserney, licences, mixing, rules, simhash, suffixes
+from loomspan.llm import alignment, chaining, chat, decontamination, ensemble, kneserney, licences, mixing, rules, simhash, suffixes
 from loomspan.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_alignment": op13_alignment,
         "pipeline": pipeline,
     }
 
