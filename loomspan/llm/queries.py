@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import alignment, chaining, chat, decontamination, ensemble, kneserney, licences, mixing, rules, simhash, suffixes
-from loomspan.llm.common import table
+from loomspan.llm import alignment, chaining, chat, decontamination, ensemble, kneserney, licences, mixing, rules, simhash, suffixes, trie
+from loomspan.llm.common import Scratch, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "trie")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    return trie.prefix_trie(*trie.share_openings(trie.turns(rows, scratch), scratch), scratch).drop("words")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumnRenamed("id", "doc_id")
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_prefix_trie": op11_prefix_trie,
         "op13_alignment": op13_alignment,
         "pipeline": pipeline,
     }
@@ -105,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": decontamination.SQL.replace("{rows}", DOCUMENTS),
         "op9_mixing": mixing.SQL.replace("{rows}", DOCUMENTS),
+        "op11_prefix_trie": trie.SQL,
     }
