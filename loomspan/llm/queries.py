@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import alignment, chaining, chat, decontamination, ensemble, kneserney, licences, mixing, rules, simhash, suffixes, trie
+from loomspan.llm import alignment, chaining, chat, decontamination, disclosure, ensemble, kneserney, licences, mixing, rules, simhash, suffixes, trie
 from loomspan.llm.common import Scratch, table
 
 
@@ -76,6 +76,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.share_openings(trie.turns(rows, scratch), scratch), scratch).drop("words")
 
 
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = disclosure.spans(docs, disclosure.disclosing_terms(docs))
+    return disclosure.report(found).withColumnRenamed("id", "doc_id")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumnRenamed("id", "doc_id")
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_disclosure": op12_disclosure,
         "op13_alignment": op13_alignment,
         "pipeline": pipeline,
     }
