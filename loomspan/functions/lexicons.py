@@ -11,6 +11,7 @@ HIGH_NO_SPEECH = 0.6
 LOW_LOGPROB = -1.0
 HIGH_COMPRESSION = 2.4
 DUPLICATE_OVERLAP, RELATED_OVERLAP = 0.8, 0.25
+STRATEGIES = {"single_audio": "single_transcript", "duplicate_or_retake": "keep_separate_with_duplicate_warning", "related_or_follow_up": "merged_chronological_with_source_refs", "unrelated_or_low_overlap": "separate_sections_no_forced_narrative"}
 SENSITIVE_KEYS = ("api_key", "apikey", "authorization", "cookie", "credential", "password", "secret", "token")
 MAX_STRING = 512
 SCANNER_KEYWORDS = ("scan", "twain", "wia", "scanner", "fujitsu", "ricoh", "canon", "hp", "xerox", "brother", "epson", "lexmark", "adobe scan", "camscanner", "genius scan", "office lens", "scanbot", "paperport", "abbyy", "omnipage", "readiris", "kofax")

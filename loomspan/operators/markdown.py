@@ -430,13 +430,3 @@ def carried_pages(rows: DataFrame) -> DataFrame:
     w = W.partitionBy("id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     mark = F.regexp_extract("line", r"^<!-- pages: ([0-9,-]+) -->$", 1)
     return rows.withColumn("pages", F.last(F.when(mark != "", mark), ignorenulls=True).over(w))
-
-
-def retrieve(chunks_df: DataFrame, queries: DataFrame, text_col: str, top: int = 1) -> DataFrame:
-    """Lexical retrieval: chunks ranked by the number of distinct query words they hold, then by id."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
-    q = queries.select("query_id", F.explode(words(F.col("query"))).alias("word"))
-    c = chunks_df.select("chunk_id", F.explode(words(F.col(text_col))).alias("word"))
-    hits = q.join(c, "word").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import lexicons as L
+from loomspan.operators.similarity import members, set_links
 
 WORDS = "[A-Za-z0-9]+"
 
@@ -113,40 +114,53 @@ def meaningful_tokens(text: Column) -> Column:
     return F.sort_array(F.array_except(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) > 2)), left_out))
 
 
-def _met(each: DataFrame, group: str, own: str, asked: Column | None) -> DataFrame:
-    """Rows of one group and token, as l and r: each pair once, or with asked, those whose left row is asked for."""
-    left = (each if asked is None else each.where(asked)).alias("l")
-    ahead = F.col(f"l.{own}") < F.col(f"r.{own}")
-    if asked is not None:
-        right = each.withColumn("asked", asked)
-        ahead = ahead | (F.col(f"l.{own}") != F.col(f"r.{own}")) & ~F.coalesce("r.asked", F.lit(False))
-    else:
-        right = each
-    return left.join(right.alias("r"), (F.col(f"l.{group}") == F.col(f"r.{group}")) & (F.col("l.token") == F.col("r.token")) & ahead)
+def contradictions(segments: DataFrame) -> DataFrame:
+    """Pairs of segments of one source, of opposite polarity and with two or more meaningful tokens in common: source_id, left_index, right_index (in order),
+    shared_terms (the first eight by name), left_copies, right_copies.
 
+    All pairs of the table are found, by a join over rare tokens. Segments of a source with the same polarity and the same meaningful tokens are one, named by the first
+    and counted. Segments without a text are neutral.
+    """
+    said = polarity(F.col("text"))
+    sets = segments.where("text <> ''").select(F.col("source_id").alias("grp"), F.when(said == "negative", 0).when(said == "positive", 1).alias("side"), F.col("segment_index").alias("id"), meaningful_tokens(F.col("text")).alias("own"))
+    found = set_links(sets.where("side is not null"), least=2, two_sides=True)
+    ahead = F.col("left_id") < F.col("right_id")
+    turned = {f"{at}_{what}": F.when(ahead if at == "left" else ~ahead, F.col(f"left_{what}")).otherwise(F.col(f"right_{what}")) for at in ("left", "right") for what in ("id", "copies")}
+    found = found.select("grp", "common", *[v.alias(k) for k, v in turned.items()])
+    return found.select(F.col("grp").alias("source_id"), F.col("left_id").alias("left_index"), F.col("right_id").alias("right_index"), F.array_join(F.slice(F.sort_array("common"), 1, 8), ",").alias("shared_terms"), "left_copies", "right_copies")
 
-def contradictions(segments: DataFrame, asked: Column | None = None) -> DataFrame:
-    """Pairs of segments of one source, of opposite polarity and with two or more meaningful tokens in common.
 
-    Joined over tokens, so segments that share nothing never meet. Of a large source only the segments for which asked (over source_id and segment_index) holds should be
-    looked up among all others; a pair of two that are asked for comes once, in order.
-    """
-    base = segments.where("text <> ''").select("source_id", "segment_index", polarity(F.col("text")).alias("polarity"), meaningful_tokens(F.col("text")).alias("own")).where("polarity <> 'neutral'")
-    each = base.select("source_id", "segment_index", "polarity", F.explode("own").alias("token"))
-    pairs = _met(each, "source_id", "segment_index", asked).where(F.col("l.polarity") != F.col("r.polarity"))
-    found = pairs.groupBy(F.col("l.source_id").alias("source_id"), F.col("l.segment_index").alias("left_index"), F.col("r.segment_index").alias("right_index")).agg(F.sort_array(F.collect_set("l.token")).alias("shared")).where(F.size("shared") >= 2)
-    return found.select("source_id", "left_index", "right_index", F.array_join(F.slice("shared", 1, 8), ",").alias("shared_terms"))
-
-
-def pairwise_overlap(texts: DataFrame, asked: Column | None = None) -> DataFrame:
-    """Jaccard overlap of the word sets of texts of one group: rows group, id, text. Pairs without a common word are left out; asked (over grp and id) as in contradictions."""
-    sets = texts.select("grp", "id", F.array_distinct(tokens(F.col("text"))).alias("own")).where(F.size("own") > 0)
-    each = sets.select("grp", "id", F.size("own").alias("n"), F.explode("own").alias("token"))
-    both = _met(each, "grp", "id", asked)
-    both = both.groupBy(F.col("l.grp").alias("grp"), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), F.col("l.n").alias("a"), F.col("r.n").alias("b")).agg(F.count("*").alias("common"))
-    share = F.col("common") / (F.col("a") + F.col("b") - F.col("common"))
+def _overlap(a: Column, b: Column, common: Column) -> list[Column]:
+    share = common / (a + b - common)
     label = F.when(share >= L.DUPLICATE_OVERLAP, "duplicate_or_retake").when(share >= L.RELATED_OVERLAP, "related_or_follow_up").otherwise("unrelated_or_low_overlap")
-    return both.select("grp", "left_id", "right_id", F.round(share, 6).alias("overlap"), label.alias("label"))
+    return [F.round(share, 6).alias("overlap"), label.alias("label")]
+
+
+def pairwise_overlap(texts: DataFrame, least: float = L.RELATED_OVERLAP) -> DataFrame:
+    """Jaccard overlap of the word sets of texts (grp, id, text) of one group, for all pairs of at least `least`: grp, left_id, right_id, overlap, label, left_copies, right_copies.
+
+    Texts of the same words are one, named by the smallest id and counted, and each other of them has a row with that one. Pairs below `least`, which are unrelated
+    by the default, have no row; texts without words have none.
+    """
+    sets = texts.select("grp", "id", F.array_distinct(tokens(F.col("text"))).alias("own"))
+    found = set_links(sets, share=least)
+    found = found.select("grp", "left_id", "right_id", *_overlap(F.col("a"), F.col("b"), F.size("common")), "left_copies", "right_copies")
+    one = F.lit(1)
+    return found.unionByName(members(sets).select("grp", "left_id", "right_id", *_overlap(one, one, one), one.cast("long").alias("left_copies"), one.cast("long").alias("right_copies")))
+
+
+def relationships(texts: DataFrame) -> DataFrame:
+    """How the texts of a group are related, by the largest overlap of any two: grp, texts, overlap (0 where no two reach the related level), label, strategy.
+
+    Groups of one text are single. Only pairs that reach the related level are looked for, as the label of all others is the same.
+    """
+    best = pairwise_overlap(texts).groupBy("grp").agg(F.max("overlap").alias("overlap"))
+    size = texts.groupBy("grp").agg(F.count("*").alias("texts"))
+    single = F.col("texts") <= 1
+    overlap = F.when(single, 1.0).otherwise(F.coalesce("overlap", F.lit(0.0)))
+    label = F.when(single, "single_audio").when(overlap >= L.DUPLICATE_OVERLAP, "duplicate_or_retake").when(overlap >= L.RELATED_OVERLAP, "related_or_follow_up").otherwise("unrelated_or_low_overlap")
+    strategy = F.create_map(*[F.lit(x) for pair in L.STRATEGIES.items() for x in pair])
+    return size.join(best, "grp", "left").select("grp", "texts", overlap.alias("overlap"), label.alias("label")).withColumn("strategy", strategy[F.col("label")])
 
 
 def near_frames(segments: DataFrame, frames: DataFrame, within_ms: int = 1500) -> DataFrame:

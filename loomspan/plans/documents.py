@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import extract as X
 from loomspan.operators import markdown as M
+from loomspan.operators import similarity as S
 from loomspan.session import table
 
 
@@ -79,7 +80,7 @@ def contextual_text(s, d):
 def retrieval(s, d):
     chunks = _docs(s, d).select(F.col("doc_id").alias("chunk_id"), "text")
     queries = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return M.retrieve(chunks, queries, "text", 3).select("query_id", "chunk_id", "score", F.col("place").cast("long").alias("place"))
+    return S.retrieve(chunks, queries, "text", 3).select("query_id", "chunk_id", "score", F.col("place").cast("long").alias("place"))
 
 
 def content_types(s, d):

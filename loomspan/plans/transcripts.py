@@ -121,9 +121,16 @@ def meaningful_tokens(s, d):
 
 
 def pairwise_overlap(s, d):
-    """Documents whose id is divisible by 100, against all of their source."""
-    docs = table(s, d, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")
-    return T.pairwise_overlap(docs, F.col("id") % 100 == 0)
+    """All pairs of documents of a source whose words overlap at least as related ones do."""
+    return T.pairwise_overlap(_by_source(s, d))
+
+
+def relationships(s, d):
+    return T.relationships(_by_source(s, d))
+
+
+def _by_source(s, d):
+    return table(s, d, "documents").select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), "text")
 
 
 def frame_segments(s, d):
@@ -197,15 +204,14 @@ def word_rows(s, d):
     return e.select("event_id", F.explode(own).alias("w")).select("event_id", "w.word", "w.start_ms", "w.end_ms")
 
 
-QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, multi_source_brief, provenance_gaps, frame_labels, transcript_markdown, word_rows)}
+QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, relationships, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, multi_source_brief, provenance_gaps, frame_labels, transcript_markdown, word_rows)}
 QUERIES["speaker_summary"] = lambda s, d: T.speaker_summary(_segs(s, d))
 
 
 def contradictions(s, d):
-    """Documents whose id is divisible by 100, against all of their source; every document is made to agree or to deny."""
-    said = F.concat(F.when(F.col("doc_id") % 3 == 0, "No, never. ").otherwise("Yes, agreed. "), "text")
-    docs = table(s, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("segment_index"), said.alias("text"))
-    return T.contradictions(docs, F.col("segment_index") % 100 == 0)
+    """All pairs of sentences of a document that deny and affirm."""
+    said = table(s, d, "documents").select(F.col("doc_id").alias("source_id"), F.posexplode(F.split("text", "[.!?\n]")).alias("segment_index", "text"))
+    return T.contradictions(said)
 
 
 QUERIES["contradictions"] = contradictions
@@ -225,6 +231,14 @@ trimmed as (select id, pos, trim(term) as term from each where trim(term) <> '')
 firsts as (select id, lower(term) as low, min(pos) as pos, arg_min(term, pos) as term from trimmed group by id, lower(term)),
 terms as (select * from (select id, row_number() over (partition by id order by pos) as place, term from firsts) where place <= 100)
 """
+OVERLAPS = f"""
+w as (select source as grp, doc_id as id, list_sort(list_distinct({TOK})) as own from documents),
+c as (select grp, own, min(id) as id, count(*) as copies from w where len(own) > 0 group by 1, 2),
+p as (select a.grp, a.id as left_id, b.id as right_id, len(list_intersect(a.own, b.own)) as c, len(a.own) as x, len(b.own) as y, a.copies as left_copies, b.copies as right_copies from c a join c b on a.grp = b.grp and a.id < b.id),
+links as (
+  select grp, left_id, right_id, round(c / (x + y - c)::double, 6) as overlap, case when c / (x + y - c)::double >= 0.8 then 'duplicate_or_retake' else 'related_or_follow_up' end as label, left_copies, right_copies from p where c / (x + y - c)::double >= 0.25
+  union all select c.grp, c.id, w.id, 1.0::double, 'duplicate_or_retake', 1, 1 from c join w on c.grp = w.grp and c.own = w.own and w.id > c.id)
+"""
 FLAT = "trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))"
 
 SQL = {
@@ -238,8 +252,9 @@ SQL = {
     "speaker_aliases": f"with {TURNS} select case when speaker = 'user' then 'Customer' else speaker end as speaker, speaker = 'user' as user_confirmed, count(*) as segments from segs group by 1, 2",
     "polarity_counts": f"with {TURNS} select source_id, {POL} as polarity, count(*) as segments from segs group by 1, 2",
     "meaningful_tokens": f"with {TURNS} select segment_id, len({MEAN})::bigint as n_tokens, array_to_string({MEAN}, ' ') as tokens from segs",
-    "contradictions": f"with d as (select source as source_id, doc_id as segment_index, case when doc_id % 3 = 0 then 'No, never. ' else 'Yes, agreed. ' end || text as text from documents), p as (select source_id, segment_index, {POL} as pol, {MEAN} as own from d) select a.source_id, a.segment_index as left_index, b.segment_index as right_index, array_to_string(list_sort(list_intersect(a.own, b.own))[1:8], ',') as shared_terms from p a join p b on a.source_id = b.source_id and a.segment_index % 100 = 0 and (a.segment_index < b.segment_index or a.segment_index > b.segment_index and b.segment_index % 100 <> 0) and a.pol <> b.pol and a.pol <> 'neutral' and b.pol <> 'neutral' where len(list_intersect(a.own, b.own)) >= 2",
-    "pairwise_overlap": f"with s as (select source as grp, doc_id as id, list_distinct({TOK}) as own from documents), p as (select a.grp, a.id as left_id, b.id as right_id, len(list_intersect(a.own, b.own)) as c, len(a.own) as x, len(b.own) as y from s a join s b on a.grp = b.grp and a.id % 100 = 0 and (a.id < b.id or a.id > b.id and b.id % 100 <> 0)) select grp, left_id, right_id, round(c / (x + y - c)::double, 6) as overlap, case when c / (x + y - c)::double >= 0.8 then 'duplicate_or_retake' when c / (x + y - c)::double >= 0.25 then 'related_or_follow_up' else 'unrelated_or_low_overlap' end as label from p where c > 0",
+    "contradictions": f"with d as (select doc_id as source_id, unnest(string_split_regex(text, '[.!?\\n]')) as text, generate_subscripts(string_split_regex(text, '[.!?\\n]'), 1) - 1 as i from documents), p as (select source_id, {POL} as pol, {MEAN} as own, min(i) as i, count(*) as copies from d where text <> '' group by 1, 2, 3) select a.source_id, a.i::int as left_index, b.i::int as right_index, array_to_string(list_sort(list_intersect(a.own, b.own))[1:8], ',') as shared_terms, a.copies as left_copies, b.copies as right_copies from p a join p b on a.source_id = b.source_id and a.i < b.i and a.pol <> b.pol and a.pol <> 'neutral' and b.pol <> 'neutral' where len(list_intersect(a.own, b.own)) >= 2",
+    "pairwise_overlap": f"with {OVERLAPS} select * from links",
+    "relationships": f"with {OVERLAPS}, m as (select grp, max(overlap) as overlap from links group by 1), g as (select source as grp, count(*) as texts from documents group by 1), r as (select grp, texts, case when texts <= 1 then 1.0 else coalesce(overlap, 0.0) end::double as overlap from g left join m using (grp)), l as (select *, case when texts <= 1 then 'single_audio' when overlap >= 0.8 then 'duplicate_or_retake' when overlap >= 0.25 then 'related_or_follow_up' else 'unrelated_or_low_overlap' end as label from r) select *, case label when 'single_audio' then 'single_transcript' when 'duplicate_or_retake' then 'keep_separate_with_duplicate_warning' when 'related_or_follow_up' then 'merged_chronological_with_source_refs' else 'separate_sections_no_forced_narrative' end as strategy from l",
     "frame_segments": "with e as (select *, epoch_ms(ts) as ms from events) select f.user_id as source_id, f.event_id as frame_id, s.event_id as segment_id from e f join e s on f.user_id = s.user_id and f.event_type = 'click' and s.event_type = 'purchase' and f.ms between s.ms - 600000 and s.ms + floor(s.value * 1000)::bigint + 600000",
     "extractive_notes": f"with {TURNS}, t as (select *, row_number() over (partition by source_id order by segment_index) as place, lower(text) as low from segs where text <> '') select source_id, string_agg(text, ' / ' order by place) filter (place <= 3) as summary, count(*) as key_points, count(*) filter ({' or '.join(f'''contains(low, '{m}')''' for m in L.ACTION_MARKERS)}) as actions, count(*) filter (ends_with(trim(low), '?') or {' or '.join(f'''starts_with(trim(low), '{m}')''' for m in L.QUESTION_STARTS)}) as questions from t group by source_id",
     "text_cleanup": f"with {TURNS}, c as (select segment_id, {FLAT} as flat from segs), d as (select segment_id, flat || case when flat = '' or regexp_matches(flat, '[.!?:;]$') then '' else '.' end as done from c) select segment_id, sha256(upper(substr(done, 1, 1)) || substr(done, 2)) as sha256, length(done) as n from d",

@@ -4,6 +4,7 @@ import pytest
 
 from loomspan.operators import extract as X
 from loomspan.operators import markdown as M
+from loomspan.operators import similarity as S
 
 DOC = """---
 title: x
@@ -95,7 +96,7 @@ def test_retrieval_finds_the_right_section(spark):
     book = "\n\n".join(f"# {h}\n\n{t}" for h, t in [("Backups", "Snapshots run nightly and are kept for thirty days."), ("Access", "Passwords rotate every ninety days."), ("Billing", "Invoices are sent on the first day of a month.")])
     rows = [(c["index"], c["text"]) for c in M.chunk(book, 260, 0)]
     queries = [(1, "how long are nightly snapshots kept"), (2, "when do passwords rotate"), (3, "when are invoices sent")]
-    got = M.retrieve(spark.createDataFrame(rows, "chunk_id long, text string"), spark.createDataFrame(queries, "query_id long, query string"), "text").collect()
+    got = S.retrieve(spark.createDataFrame(rows, "chunk_id long, text string"), spark.createDataFrame(queries, "query_id long, query string"), "text").collect()
     text = dict(rows)
     assert {r.query_id: text[r.chunk_id].split("\n")[0] for r in got} == {1: "# Backups", 2: "# Access", 3: "# Billing"}
 

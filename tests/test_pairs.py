@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import lexicons as L
 from loomspan.operators import images as I
 from loomspan.operators import metrics as M
+from loomspan.operators import similarity as S
 from loomspan.operators import transcript as T
 
 
@@ -28,13 +31,71 @@ def test_near_hashes(spark):
     assert got == want and len(want) > 50
 
 
-def test_asked_rows_meet_all_others_once(spark):
-    rows = [("s", i, ("no " if i % 2 else "yes ") + " ".join(f"term{j}" for j in range(i % 5, i % 5 + 3))) for i in range(30)]
-    df = spark.createDataFrame(rows, "source_id string, segment_index int, text string")
-    every = {(r.left_index, r.right_index) for r in T.contradictions(df).collect()}
-    asked = [(r.left_index, r.right_index) for r in T.contradictions(df, F.col("segment_index") % 10 == 0).collect()]
-    assert len(asked) == len(set(asked)) and {tuple(sorted(p)) for p in asked} == {p for p in every if p[0] % 10 == 0 or p[1] % 10 == 0}
-    assert all(a % 10 == 0 and (a < b or b % 10) for a, b in asked)
+def test_contradictions_are_all_found(spark):
+    rng = random.Random(7)
+    say = lambda: " ".join(rng.choice(["yes", "no", "term1", "term2", "term3", "term4", "plan", "budget", "the", "of"]) for _ in range(rng.randrange(1, 7)))
+    rows = [(f"s{i % 3}", i, say()) for i in range(150)] + [("s0", 900, ""), ("s0", 901, None), (None, 1, "no term1 term2"), (None, 2, "yes term1 term2")]
+    left_out = {*L.NEGATION, *L.AFFIRMATION, *L.STOP}
+    classes = {}
+    for s, i, text in rows:
+        words = set((text or "").split())
+        side = "negative" if words & set(L.NEGATION) else "positive" if words & set(L.AFFIRMATION) else None
+        if s and side:
+            classes.setdefault((s, side, frozenset(w for w in words - left_out if len(w) > 2)), []).append(i)
+    want = set()
+    for (s, p, x), own in classes.items():
+        for (t, q, y), other in classes.items():
+            if s == t and p != q and len(x & y) >= 2 and own[0] < other[0]:
+                want.add((s, own[0], other[0], ",".join(sorted(x & y)[:8]), len(own), len(other)))
+    got = [tuple(r) for r in T.contradictions(spark.createDataFrame(rows, "source_id string, segment_index int, text string")).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 20
+
+
+@pytest.mark.parametrize("block", [1, 2000])
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.8, 1.0])
+def test_overlaps_are_all_found(spark, monkeypatch, share, block):
+    """All pairs against every pair, hot words in one block or in many."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(9)
+    base = [[f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 30))] for _ in range(14)]
+    rows = []
+    for i in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(30)}"
+        rows.append(("ab"[i % 2], i, " ".join(["the", *words])))
+    rows += [("a", 500, None), ("a", 501, ""), ("a", None, "the w1"), (None, 502, rows[0][2]), (None, 503, rows[0][2])]
+    sets = {}
+    for g, i, text in rows:
+        if g and i is not None and text:
+            sets.setdefault((g, frozenset(text.split())), []).append(i)
+    want = {}
+    items = [(g, own[0], s, len(own)) for (g, s), own in sets.items()]
+    for g, i, x, m in items:
+        for k, j, y, n in items:
+            if g == k and i < j and len(x & y) / len(x | y) >= share - 1e-12:
+                want[g, i, j] = (round(len(x & y) / len(x | y), 6), m, n)
+    for (g, _), own in sets.items():
+        want |= {(g, own[0], j): (1.0, 1, 1) for j in own[1:]}
+    got = {(r.grp, r.left_id, r.right_id): (r.overlap, r.left_copies, r.right_copies) for r in T.pairwise_overlap(spark.createDataFrame(rows, "grp string, id int, text string"), share).where("grp is not null").collect()}
+    assert got == want and (len(got) > 20 or share == 1.0)
+
+
+@pytest.mark.parametrize("block", [2, 2000])
+@pytest.mark.parametrize("top", [1, 3, 40])
+def test_retrieval_equals_full_ranking(spark, monkeypatch, top, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(top)
+    say = lambda n: " ".join(f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(n))
+    chunks = [(i, say(rng.randrange(40))) for i in range(200)] + [(900, None), (901, "never asked")]
+    asked = [(q, say(rng.randrange(1, 25))) for q in range(30)] + [(90, ""), (91, None), (92, "nowhere"), (93, "w1 w1 W1")]
+    want = []
+    for q, text in asked:
+        words = set((text or "").lower().split())
+        scored = sorted((-len(words & set((t or "").split())), c) for c, t in chunks)
+        want += [(q, c, -n, k) for k, (n, c) in enumerate(scored[:top], 1) if n]
+    frames = spark.createDataFrame(chunks, "chunk_id int, text string"), spark.createDataFrame(asked, "query_id int, query string")
+    assert sorted(tuple(r) for r in S.retrieve(*frames, "text", top).collect()) == sorted(want)
 
 
 def test_word_error_rate(spark):

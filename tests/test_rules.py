@@ -28,7 +28,7 @@ def test_segments_are_sorted_and_warned(spark):
 def test_contradictions_need_two_shared_terms(spark):
     rows = [("s", 1, "The budget plan is approved"), ("s", 2, "The budget plan was not approved"), ("s", 3, "Weather is fine"), ("s", 4, "The budget failed")]
     df = spark.createDataFrame(rows, "source_id string, segment_index long, text string")
-    assert [tuple(r) for r in T.contradictions(df).collect()] == [("s", 1, 2, "budget,plan")]
+    assert [tuple(r) for r in T.contradictions(df).collect()] == [("s", 1, 2, "budget,plan", 1, 1)]
 
 
 def test_notes_and_labels(spark):
