@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import lexicons as L
+from loomspan.session import Cuts
 
 SENTINEL = 9999
 
@@ -56,25 +56,31 @@ def dedup_groups(df: DataFrame, id_col: str, hash_col: str, cost_col: str) -> Da
 
 
 def first_match(df: DataFrame, group_col: str, order_col: str, hash_col: str, most: int) -> DataFrame:
-    """Greedy duplicates in a group: a row takes the earliest stored hash within `most` bits, else is stored itself.
+    """Greedy duplicates in a group: a row takes the earliest stored hash within `most` bits, else is stored itself: group, order, matched (the order of the row taken).
 
-    The order decides, so a group is folded in one task; groups are documents, whose images are few.
+    What is stored is the first independent set, in this order, of the graph of near hashes. In rounds, hashes without an undecided earlier neighbour are stored and
+    their later neighbours fall; edges of decided hashes go, until none is left. Rounds grow with the longest chain of undecided
+    neighbours, not with the rows. Malformed and null hashes match themselves. The order is unique within a group and not null.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order_col)
-        kept: list[tuple[int, object]] = []
-        out = []
-        for own, h in zip(rows[order_col], rows[hash_col], strict=True):
-            value = int(h, 16) if isinstance(h, str) and len(h) == 16 else None
-            hit = next((k for v, k in kept if value is not None and (v ^ value).bit_count() <= most), None)
-            if hit is None and value is not None:
-                kept.append((value, own))
-            out.append(own if hit is None else hit)
-        return pd.DataFrame({group_col: rows[group_col], order_col: rows[order_col], "matched": out})
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (group_col, order_col)}
-    return df.select(group_col, order_col, hash_col).groupBy(group_col).applyInPandas(fold, f"{group_col} {kinds[group_col]}, {order_col} {kinds[order_col]}, matched {kinds[order_col]}")
+    cuts = Cuts(df.sparkSession)
+    edges = every = cuts.write(near_hashes(df, group_col, order_col, hash_col, most).select(F.col(group_col).alias("grp"), "left_id", "right_id"), "edges")
+    fallen = cuts.write(edges.select("grp", F.col("right_id").alias("id")).limit(0), "fallen-0")
+    k = 0
+    while edges.limit(1).count():
+        k += 1
+        later = edges.select("grp", F.col("right_id").alias("left_id")).distinct()
+        stored = edges.join(later, ["grp", "left_id"], "left_anti")
+        falls = cuts.write(stored.select("grp", F.col("right_id").alias("id")).distinct(), f"falls-{k}")
+        gone = [falls.select("grp", F.col("id").alias(c)) for c in ("left_id", "right_id")]
+        edges = cuts.write(edges.join(gone[0], ["grp", "left_id"], "left_anti").join(gone[1], ["grp", "right_id"], "left_anti").select("grp", "left_id", "right_id"), f"edges-{k}")
+        fallen = fallen.union(falls)
+    of_fallen = every.join(fallen.withColumnRenamed("id", "right_id"), ["grp", "right_id"], "left_semi").join(fallen.withColumnRenamed("id", "left_id"), ["grp", "left_id"], "left_anti")
+    taken = of_fallen.groupBy("grp", F.col("right_id").alias("_first")).agg(F.min("left_id").alias("_taken"))
+    rows = df.select(F.col(group_col).alias("grp"), F.col(order_col).alias("id"), F.when(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$"), F.lower(hash_col)).alias("hash"))
+    firsts = rows.where("hash is not null").groupBy("grp", "hash").agg(F.min("id").alias("_first")).join(taken, ["grp", "_first"], "left")
+    firsts = firsts.select("grp", "hash", F.coalesce("_taken", "_first").alias("_match"))
+    found = rows.join(firsts, ["grp", "hash"], "left")
+    return found.select(F.col("grp").alias(group_col), F.col("id").alias(order_col), F.coalesce("_match", "id").alias("matched"))
 
 
 def density_route(density: Column, lines: Column, cloud: Column) -> Column:

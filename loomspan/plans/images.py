@@ -18,12 +18,16 @@ def average_hash(s, d):
     return _hashes(s, d).select("vec_id", "hash")
 
 
-def hamming_pairs(s, d):
-    """Pairs of a label's different hashes that differ in at most seven bits, each hash by the first image that has it; beside every image stands one whose hash begins with up to three zeros."""
+def _altered(s, d):
+    """Images, and beside each one whose hash begins with up to three zeros, as those of the table are far from each other."""
     h = _hashes(s, d)
     zeros = (F.col("vec_id") % 4).cast("int")
-    altered = h.select((-F.col("vec_id") - 1).alias("vec_id"), "label", F.concat(F.repeat(F.lit("0"), zeros), F.substring("hash", zeros + 1, F.lit(16))).alias("hash"))
-    return I.near_hashes(h.union(altered), "label", "vec_id", "hash", 7)
+    return h.union(h.select((-F.col("vec_id") - 1).alias("vec_id"), "label", F.concat(F.repeat(F.lit("0"), zeros), F.substring("hash", zeros + 1, F.lit(16))).alias("hash")))
+
+
+def hamming_pairs(s, d):
+    """Pairs of a label's different hashes that differ in at most seven bits, each hash by the first image that has it."""
+    return I.near_hashes(_altered(s, d), "label", "vec_id", "hash", 7)
 
 
 def image_dedup_groups(s, d):
@@ -32,7 +36,8 @@ def image_dedup_groups(s, d):
 
 
 def image_first_match(s, d):
-    return I.first_match(_hashes(s, d), "label", "vec_id", "hash", 24)
+    """Each image with the first stored image of its label within seven bits."""
+    return I.first_match(_altered(s, d), "label", "vec_id", "hash", 7)
 
 
 def image_caps(s, d):
@@ -132,6 +137,7 @@ QUERIES = {f.__name__: f for f in (average_hash, hamming_pairs, image_dedup_grou
 HASH = """h as (select vec_id, label, printf('%08x%08x', list_sum(list_transform(range(0, 32), lambda i: case when e[i + 1] > m then (1::bigint << (31 - i)) else 0 end))::bigint, list_sum(list_transform(range(0, 32), lambda i: case when e[i + 33] > m then (1::bigint << (31 - i)) else 0 end))::bigint) as hash
  from (select vec_id, label, embedding::double[] as e, list_reduce(list_prepend(0.0::double, embedding::double[]), lambda a, b: a + b) / len(embedding) as m from embeddings))"""
 BIT = " + ".join(f"bit_count(xor(('0x' || substr(a.hash, {at}, 8))::bigint, ('0x' || substr(b.hash, {at}, 8))::bigint))" for at in (1, 9))
+HIT = "list_filter(f.kept, lambda k: " + BIT.replace("a.hash", "k.hash").replace("b.hash", "r.hash") + " <= 7)[1].id"
 BATCH = "b as (select vec_id, label, ((row_number() over (partition by label order by vec_id) - 1) // 8) as batch from embeddings)"
 GROUPS = "g as (select vec_id, coalesce(case when vec_id % 10 <> 0 then hash end, '#' || vec_id) as k from h), r as (select vec_id, min(vec_id) over (partition by k) as representative from g)"
 _labels = "[" + ", ".join(f"'{x}'" for x in [*L.TEXT_LABELS, *L.VLM_LABELS, "Picture", "Figure", "Other"]) + "]"
@@ -145,6 +151,7 @@ _pp = "(values " + ", ".join(f"('{p}', {a}::double, {b}::double)" for p, (a, b)
 SQL = {
     "average_hash": f"with {HASH} select vec_id, hash from h",
     "hamming_pairs": f"with {HASH}, f as (select label, hash, min(vec_id) as vec_id from (select vec_id, label, hash from h union all select -vec_id - 1, label, repeat('0', (vec_id % 4)::int) || substr(hash, (vec_id % 4)::int + 1) from h) group by 1, 2) select a.label, a.vec_id as left_id, b.vec_id as right_id, ({BIT})::int as distance from f a join f b on a.label = b.label and a.vec_id < b.vec_id where {BIT} <= 7",
+    "image_first_match": f"with recursive {HASH}, a as (select vec_id, label, hash from h union all select -vec_id - 1, label, repeat('0', (vec_id % 4)::int) || substr(hash, (vec_id % 4)::int + 1) from h), r as (select *, row_number() over (partition by label order by vec_id) as n from a), fold as (select label, 1::bigint as n, [{{'id': vec_id, 'hash': hash}}] as kept, vec_id, vec_id as matched from r where n = 1 union all select r.label, r.n, case when {HIT} is null then list_append(f.kept, {{'id': r.vec_id, 'hash': r.hash}}) else f.kept end, r.vec_id, coalesce({HIT}, r.vec_id) from fold f join r on r.label = f.label and r.n = f.n + 1) select label, vec_id, matched from fold",
     "image_dedup_groups": f"with {HASH}, {GROUPS} select vec_id, representative, vec_id = representative as is_representative, case when vec_id = representative then 0.25 else 0.0 end::double as cost from r",
     "image_caps": "with r as (select label, row_number() over (partition by label order by vec_id) as p from embeddings) select label, count(*) filter (p <= 50) as processed, count(*) filter (p > 50) as skipped from r group by label",
     "image_batches": f"with {BATCH} select vec_id, label, batch from b",

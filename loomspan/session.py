@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold for every run; partition counts and memory are left to the cluster.
@@ -26,3 +29,30 @@ def local_session(name: str = "loomspan", cpus: str = "*", **conf: str) -> Spark
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; zone-less timestamps stay zone-less."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a local one where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='loomspan-')}/loomspan-{uuid.uuid4().hex}"
+
+
+class Cuts:
+    """Written tables that cut the lineage of a job of many rounds; they outlive lost executors and go when the application ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, shared_folder(spark)
+
+    def _files(self, path: str) -> tuple:
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        path, files = self._files(self.root)
+        files.deleteOnExit(path)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        path, files = self._files(f"{self.root}/{name}")
+        files.delete(path, True)

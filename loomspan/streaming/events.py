@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomspan.session import shared_folder
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -22,14 +22,9 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet",
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='loomspan-stream-')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is now, into a table in the shared folder, and reads that table."""
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -47,7 +42,7 @@ def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour
 
 def drained_windows(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """All windows of a stream that is read to its end: those the watermark has not passed come from a last update of each."""
-    folder = _folder(stream.sparkSession)
+    folder = shared_folder(stream.sparkSession)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
@@ -92,5 +87,5 @@ def leases(stream: DataFrame, limit_ms: int = 600_000) -> DataFrame:
 
 def for_each_batch(stream: DataFrame, use: Callable[[DataFrame, int], None]) -> None:
     """Drains a queue of events batch by batch."""
-    q = stream.writeStream.foreachBatch(use).option("checkpointLocation", f"{_folder(stream.sparkSession)}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(use).option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/state").trigger(availableNow=True).start()
     q.awaitTermination()

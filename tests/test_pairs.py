@@ -31,6 +31,29 @@ def test_near_hashes(spark):
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("most", [1, 3, 7])
+def test_first_match_equals_the_fold(spark, most):
+    """Chains of near hashes, equal ones, malformed ones; rows are judged in order, each by those stored before."""
+    rng = random.Random(most)
+    rows, h = [], 0
+    for i in range(300):
+        h = rng.getrandbits(64) if rng.random() < 0.05 else h
+        for _ in range(rng.randrange(4)):
+            h ^= 1 << rng.randrange(64)
+        rows.append((rng.randrange(10_000) * 300 + i, "abc"[i % 3], f"{h:016x}" if i % 2 else f"{h:016X}"))
+    rows += [(-3, "a", None), (-2, "a", "xyz"), (-1, "b", rows[1][2][:15]), (4_000_000, "d", "0" * 16)]
+    want, kept = {}, {}
+    for i, g, x in sorted(rows):
+        value = int(x, 16) if x and len(x) == 16 else None
+        own = kept.setdefault(g, [])
+        hit = next((j for j, v in own if value is not None and (v ^ value).bit_count() <= most), None)
+        if hit is None and value is not None:
+            own.append((i, value))
+        want[g, i] = i if hit is None else hit
+    got = I.first_match(spark.createDataFrame(rows, "id long, grp string, h string"), "grp", "id", "h", most)
+    assert {(r.grp, r.id): r.matched for r in got.collect()} == want and len(set(want.values())) < 290
+
+
 def test_contradictions_are_all_found(spark):
     rng = random.Random(7)
     say = lambda: " ".join(rng.choice(["yes", "no", "term1", "term2", "term3", "term4", "plan", "budget", "the", "of"]) for _ in range(rng.randrange(1, 7)))
