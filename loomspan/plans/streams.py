@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.sources import converters as C
+from loomspan.sources import eventlog as G
+from loomspan.sources import outputs as O
 from loomspan.streaming import events as E
-from loomspan.session import table
+from loomspan.streaming import timers as K
+from loomspan.session import shared_folder, table
 
 
 def stream_changes(s, d):
@@ -27,6 +30,36 @@ def stream_leases(s, d):
     return E.drained(E.leases(E.read_events(s, d)))
 
 
+def lease_expiries(s, d):
+    """Leases of ten minutes that events renew: all that ran out by the last event of the table."""
+    return K.drained(K.lease_expiries(E.read_events(s, d)))
+
+
+def cache_ttl(s, d):
+    """Requests of a user and an event type; an answer lives for a day."""
+    return K.drained(K.cache_requests(E.read_events(s, d), ["user_id", "event_type"], 86_400_000))
+
+
+def event_log_changes(s, d):
+    """The change feed over the event log, read as a stream with offsets."""
+    return E.drained(E.change_feed(G.follow(s, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+def event_replay(s, d):
+    """Events behind a client's last one, here those of the second half of the log, counted by user."""
+    log = f"{d}/events.parquet"
+    half = G.replay(s, log).agg(F.max("event_id")).first()[0] // 2
+    return G.replay(s, log, half).groupBy("user_id").agg(F.count("*").alias("events"), F.min("event_id").alias("first"))
+
+
+def written_outputs(s, d):
+    """Documents written as Markdown and JSON from one parse, and what the published manifest says of the Markdown."""
+    folder = shared_folder(s)
+    docs = table(s, d, "documents").select(F.format_string("doc-%d", "doc_id").alias("name"), F.col("source"), "text", F.to_json(F.struct("lang")).alias("metadata"))
+    O.write_formats(docs, folder, ["markdown", "json"])
+    return O.read_outputs(s, folder).where("format = 'markdown'").select("name", "source", "bytes", "sha256", "media_type")
+
+
 def convert_rows(s, d):
     """Rows of several tables, written as files of their own formats in memory and converted."""
     n = table(s, d, "nation")
@@ -37,12 +70,19 @@ def convert_rows(s, d):
     return C.convert_files(files).select("path", "engine", "markdown", F.col("error").isNotNull().alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (stream_changes, stream_idempotent, stream_windows, stream_leases, convert_rows)}
+QUERIES = {f.__name__: f for f in (stream_changes, stream_idempotent, stream_windows, stream_leases, lease_expiries, cache_ttl, event_log_changes, event_replay, written_outputs, convert_rows)}
+
+TIMED = "t as (select event_id, user_id, event_type, epoch_us(ts) // 1000 as ms from events)"
 
 SQL = {
     "stream_changes": "with b as (select *, lag(event_type) over (partition by user_id order by event_id) as p from events) select event_id, user_id, event_type from b where p is null or p <> event_type",
     "stream_idempotent": "select user_id, props, 1::bigint as kept from events group by 1, 2",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by 1, 2",
     "stream_leases": "with b as (select event_id, user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) over (partition by user_id order by event_id) as gap_ms from events) select * from b where gap_ms > 600000",
+    "lease_expiries": f"with {TIMED}, n as (select *, lead(ms) over (partition by user_id order by ms, event_id) as next from t) select user_id, event_id, ms + 600000 as expired_ms from n where coalesce(next, (select max(ms) from t)) > ms + 600000",
+    "cache_ttl": f"with recursive {TIMED}, r as (select *, row_number() over (partition by user_id, event_type order by ms, event_id) as n from t), fold as (select user_id, event_type, n, event_id, false as hit, event_id as answer, ms as stored from r where n = 1 union all select r.user_id, r.event_type, r.n, r.event_id, r.ms - f.stored < 86400000, case when r.ms - f.stored < 86400000 then f.answer else r.event_id end, case when r.ms - f.stored < 86400000 then f.stored else r.ms end from fold f join r on r.user_id = f.user_id and r.event_type = f.event_type and r.n = f.n + 1) select event_id, hit, answer from fold",
+    "event_log_changes": "with b as (select *, lag(event_type) over (partition by user_id order by event_id) as p from events) select event_id, user_id, event_type from b where p is null or p <> event_type",
+    "event_replay": "select user_id, count(*) as events, min(event_id) as first from events where event_id > (select max(event_id) // 2 from events) group by 1",
+    "written_outputs": "select 'doc-' || doc_id as name, source, strlen(text) as bytes, sha256(text) as sha256, 'text/markdown' as media_type from documents",
     "convert_rows": "select 'in/' || n_nationkey || (['.csv', '.json', '.html', '.xml', '.json'])[1 + n_nationkey % 5] as path, (['text_data', 'text_data', 'html', 'xml_rss', 'text_data'])[1 + n_nationkey % 5] as engine, case n_nationkey % 5 when 0 then '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || n_name || ' |' when 1 then '```json' || chr(10) || '{' || chr(10) || '  \"name\": \"' || n_name || '\"' || chr(10) || '}' || chr(10) || '```' when 2 then '# T' || chr(10) || chr(10) || n_name when 3 then '- a' || chr(10) || '  - b x=\"1\": ' || n_name end as markdown, n_nationkey % 5 = 4 as failed from nation",
 }
