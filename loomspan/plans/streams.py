@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from loomspan.sources import archives as A
 from loomspan.sources import converters as C
 from loomspan.sources import eventlog as G
 from loomspan.sources import outputs as O
@@ -60,6 +65,25 @@ def written_outputs(s, d):
     return O.read_outputs(s, folder).where("format = 'markdown'").select("name", "source", "bytes", "sha256", "media_type")
 
 
+def archive_members(s, d):
+    """Conversations as archives of their turns, twenty of them in an outer archive, converted as far as its budget goes."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        outer = io.BytesIO()
+        with zipfile.ZipFile(outer, "w", zipfile.ZIP_DEFLATED) as z:
+            for conv, own in rows.sort_values(["conv_id", "turn"]).groupby("conv_id"):
+                inner = io.BytesIO()
+                with zipfile.ZipFile(inner, "w", zipfile.ZIP_DEFLATED) as y:
+                    for turn, text in zip(own["turn"], own["text"], strict=True):
+                        y.writestr(f"{turn}.txt", text or "")
+                z.writestr(f"{conv}.zip", inner.getvalue())
+        return pd.DataFrame({"path": [f"/in/{rows['pack'].iloc[0]}.zip"], "content": [outer.getvalue()]})
+
+    packs = table(s, d, "conversations").withColumn("pack", F.floor(F.col("conv_id") / 20))
+    files = packs.groupBy("pack").applyInPandas(pack, "path string, content binary")
+    return A.convert_archives(files).select("root", "path", "depth", F.array_join(F.col("place").cast("array<string>"), "/").alias("place"), "action", F.when(F.col("depth") == 1, F.col("size")).otherwise(0).alias("size"))
+
+
 def convert_rows(s, d):
     """Rows of several tables, written as files of their own formats in memory and converted."""
     n = table(s, d, "nation")
@@ -70,7 +94,7 @@ def convert_rows(s, d):
     return C.convert_files(files).select("path", "engine", "markdown", F.col("error").isNotNull().alias("failed"))
 
 
-QUERIES = {f.__name__: f for f in (stream_changes, stream_idempotent, stream_windows, stream_leases, lease_expiries, cache_ttl, event_log_changes, event_replay, written_outputs, convert_rows)}
+QUERIES = {f.__name__: f for f in (stream_changes, stream_idempotent, stream_windows, stream_leases, lease_expiries, cache_ttl, event_log_changes, event_replay, written_outputs, archive_members, convert_rows)}
 
 TIMED = "t as (select event_id, user_id, event_type, epoch_us(ts) // 1000 as ms from events)"
 
@@ -84,5 +108,6 @@ SQL = {
     "event_log_changes": "with b as (select *, lag(event_type) over (partition by user_id order by event_id) as p from events) select event_id, user_id, event_type from b where p is null or p <> event_type",
     "event_replay": "select user_id, count(*) as events, min(event_id) as first from events where event_id > (select max(event_id) // 2 from events) group by 1",
     "written_outputs": "select 'doc-' || doc_id as name, source, strlen(text) as bytes, sha256(text) as sha256, 'text/markdown' as media_type from documents",
+    "archive_members": "with c as (select conv_id, conv_id // 20 as pack, dense_rank() over (partition by conv_id // 20 order by conv_id) - 1 as i, turn, row_number() over (partition by conv_id order by turn) - 1 as j, text from conversations), m as (select distinct pack, conv_id, i, -1 as j, null as turn, null as text from c union all select pack, conv_id, i, j, turn, text from c), n as (select *, row_number() over (partition by pack order by i, j) as n from m), a as (select *, min(n) over (partition by pack, conv_id) as first from n) select '/in/' || pack || '.zip' as root, case when j < 0 then conv_id || '.zip' else turn || '.txt' end as path, case when j < 0 then 0 else 1 end::int as depth, case when j < 0 then i::varchar else i || '/' || j end as place, case when n <= 25 then 'converted' else 'skipped' end as action, coalesce(strlen(text), 0) as size from a where j < 0 or first <= 25",
     "convert_rows": "select 'in/' || n_nationkey || (['.csv', '.json', '.html', '.xml', '.json'])[1 + n_nationkey % 5] as path, (['text_data', 'text_data', 'html', 'xml_rss', 'text_data'])[1 + n_nationkey % 5] as engine, case n_nationkey % 5 when 0 then '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || n_name || ' |' when 1 then '```json' || chr(10) || '{' || chr(10) || '  \"name\": \"' || n_name || '\"' || chr(10) || '}' || chr(10) || '```' when 2 then '# T' || chr(10) || chr(10) || n_name when 3 then '- a' || chr(10) || '  - b x=\"1\": ' || n_name end as markdown, n_nationkey % 5 = 4 as failed from nation",
 }

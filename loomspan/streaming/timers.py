@@ -21,7 +21,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def _millis(at: datetime) -> int:
-    return round(at.timestamp() * 1000)
+    return round(at.timestamp() * 1_000_000) // 1000
 
 
 class Leases(StatefulProcessor):
