@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.distance import edit_distance, list_distance
 from loomspan.functions.scalars import facts
 
 GATE = 0.80
@@ -12,7 +13,7 @@ GATE = 0.80
 
 def cer(reference: Column, hypothesis: Column) -> Column:
     n = F.length(reference)
-    return F.when((n == 0) & (F.length(hypothesis) == 0), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.levenshtein(reference, hypothesis) / n))
+    return F.when((n == 0) & (F.length(hypothesis) == 0), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), edit_distance(reference, hypothesis) / n))
 
 
 def _as_text(words: Column, known: Column) -> Column:
@@ -24,13 +25,13 @@ def _as_text(words: Column, known: Column) -> Column:
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Word error rate on words between Unicode white space.
 
-    Words are mapped to characters, so the distance is Spark's own; words that the reference lacks never match and share one.
+    Words are mapped to characters, so the distance is Spark's own; words that the reference lacks never match and share one. Long pairs are compared word by word, bit-parallel.
     """
     words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     a, b = words(reference), words(hypothesis)
     known = F.array_distinct(a)
     n = F.size(a)
-    return F.when((n == 0) & (F.size(b) == 0), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.levenshtein(_as_text(a, known), _as_text(b, known)) / n))
+    return F.when((n == 0) & (F.size(b) == 0), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), list_distance(a, b, F.levenshtein(_as_text(a, known), _as_text(b, known))) / n))
 
 
 def fact_recall(reference: Column, hypothesis: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import lexicons as L
+from loomspan.operators.scan import running_sums
 from loomspan.operators.similarity import members, set_links
+from loomspan.session import Cuts
 
 WORDS = "[A-Za-z0-9]+"
 
@@ -244,6 +246,21 @@ def compacted(segments: DataFrame, most: int = 200) -> DataFrame:
     return kept.groupBy("source_id").agg(F.count("*").alias("kept"), (F.first("total") - F.count("*")).alias("omitted"), F.sum(F.length("text")).cast("long").alias("kept_chars"))
 
 
+def batch_compacted(segments: DataFrame, most: int = 200, words: int = 20) -> DataFrame:
+    """What a batch's budget of segments leaves of each source, in order of sources: batch, source_id, segments, kept, truncated, kept_words (at most `words` a segment), cut_segments (whose
+    words were cut), remaining (the budget before the source).
+
+    segments: batch, source_id, segment_index, text. Earlier sources use up the budget; their running sum is taken over ranges of the table, so a batch may be of any size. Null texts have no words; sources tie
+    by nothing, as they are unique in a batch.
+    """
+    cuts = Cuts(segments.sparkSession)
+    own = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
+    rows = running_sums(segments.select("batch", "source_id", "segment_index", own.alias("n")), "batch", ["source_id", "segment_index"], {"place": F.lit(1)}, cuts, "places")
+    kept = F.col("place") < most
+    made = rows.groupBy("batch", "source_id").agg(F.count("*").alias("segments"), F.count_if(kept).alias("kept"), F.coalesce(F.sum(F.when(kept, F.least("n", F.lit(words)))), F.lit(0)).alias("kept_words"), F.count_if(kept & (F.col("n") > words)).alias("cut_segments"), F.min("place").alias("_first"))
+    return made.select("batch", "source_id", "segments", "kept", (F.col("segments") > F.col("kept")).alias("truncated"), "kept_words", "cut_segments", F.greatest(F.lit(most) - F.col("_first"), F.lit(0)).alias("remaining"))
+
+
 def brief(segments: DataFrame) -> DataFrame:
     """Per source: first text that is not empty, the whole text in order, and segment numbers."""
     said = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "text"))), lambda s: s["text"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import lexicons as L
 from loomspan.operators import routing as R
+from loomspan.operators import transforms as P
 from loomspan.session import table
 
 EXTENSIONS = [r[0] for r in R.REGISTRY] + [".xyz", ""]
@@ -173,7 +174,21 @@ def text_in_images(s, d):
     return inside.groupBy("page").agg(F.count("*").alias("points"), F.count_if("inside").alias("inside"), F.round(F.avg(F.col("inside").cast("int")), 6).alias("sandwich_ratio"))
 
 
-QUERIES = {f.__name__: f for f in (extension_registry, mime_lookup, engine_override, page_scores, text_quality, route_plan, probe_rollup, layout_complexity, routing_segments, page_ranges, missing_pages, coverage_label, mixed_plan, mixed_merge, output_formats, renderable_formats, fallbacks, expected_pages, sampled_pages, ocr_targets, hybrid_engines, crop_boxes, text_in_images)}
+def image_sandwich(s, d):
+    """Events of a user as the operator stream of a page, line items as its text: how much of it lies on large images."""
+    e = table(s, d, "events")
+    v = F.floor("value").cast("long")
+    turn, size = v % 4, F.when(v % 3 == 0, 2.0).when(v % 3 == 1, 0.5).otherwise(1.0)
+    cos, sin = F.when(turn == 0, size).when(turn == 2, -size).otherwise(0.0), F.when(turn == 1, size).when(turn == 3, -size).otherwise(0.0)
+    m = F.array(cos, sin, -sin, cos, (v % 90).cast("double"), (v % 70).cast("double"))
+    op = F.when(F.col("event_type") == "view", "q").when(F.col("event_type") == "click", "cm").when(F.col("event_type") == "purchase", "Do").otherwise("Q")
+    ops = e.select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), op.alias("op"), m.alias("m"), F.lit(True).alias("image"))
+    pages = e.select(F.col("user_id").alias("page")).distinct().select("page", F.lit(2.0).alias("width"), F.lit(2.5).alias("height"))
+    texts = table(s, d, "lineitem").select(F.pmod("l_orderkey", F.lit(500)).alias("page"), (F.col("l_partkey") % 120).cast("double").alias("x"), (F.col("l_suppkey") % 90).cast("double").alias("y"), F.col("l_linenumber").cast("long").alias("chars"))
+    return P.sandwich(ops, texts, pages)
+
+
+QUERIES = {f.__name__: f for f in (extension_registry, mime_lookup, engine_override, page_scores, text_quality, route_plan, probe_rollup, layout_complexity, routing_segments, page_ranges, missing_pages, coverage_label, mixed_plan, mixed_merge, output_formats, renderable_formats, fallbacks, expected_pages, sampled_pages, ocr_targets, hybrid_engines, crop_boxes, text_in_images, image_sandwich)}
 
 _exts = "[" + ", ".join(f"'{e}'" for e in EXTENSIONS) + "]"
 REG = "reg(extension, mime, engine, category, confidence, needs) as (values " + ", ".join(f"('{a}', '{b}', '{c}', '{e}', {f}::double, {str(g).lower()})" for a, b, c, e, f, g in R.REGISTRY) + ")"
@@ -211,4 +226,22 @@ SQL = {
     "hybrid_engines": "select doc_id, case when doc_id % 2 = 0 then 'glm' else 'layout_ocr' end as engine from documents",
     "crop_boxes": "with b as (select event_id, event_id % 2 = 0 as nm, (event_id % 7 - 2) / 5.0::double as a, (event_id % 5 - 1) / 4.0::double as b, (event_id % 9) / 6.0::double as c, (event_id % 11) / 8.0::double as d from events) select event_id, greatest(0, least(640, floor(case when nm then a * 640 else a end)))::bigint as x0, greatest(0, least(480, floor(case when nm then b * 480 else b end)))::bigint as y0, greatest(0, least(640, floor(case when nm then c * 640 else c end)))::bigint as x1, greatest(0, least(480, floor(case when nm then d * 480 else d end)))::bigint as y1 from b",
     "text_in_images": "with j as (select o_orderkey as page, l_partkey % 600 between o_custkey % 400 - 5 and o_custkey % 400 + 205 and (l_suppkey * 13) % 800 between (o_custkey * 3) % 500 - 5 and (o_custkey * 3) % 500 + 305 as inside from lineitem join orders on l_orderkey = o_orderkey) select page, count(*) as points, count(*) filter (inside) as inside, round(avg(inside::int), 6) as sandwich_ratio from j group by page",
+    "image_sandwich": """with recursive
+e as (select user_id as page, event_id as seq, row_number() over (partition by user_id order by event_id) as n, case event_type when 'view' then 'q' when 'click' then 'cm' when 'purchase' then 'Do' else 'Q' end as op, floor(value)::bigint as v from events),
+z as (select *, case v % 3 when 0 then 2.0 when 1 then 0.5 else 1.0 end::double as s from e),
+o as (select page, seq, n, op, case v % 4 when 0 then s when 2 then -s else 0.0 end::double as c, case v % 4 when 1 then s when 3 then -s else 0.0 end::double as t, (v % 90)::double as x, (v % 70)::double as y from z),
+w as (
+  select distinct page, 0::bigint as n, '' as op, [[1.0, 0.0, 0.0, 1.0, 0.0, 0.0]]::double[][] as k from o
+  union all
+  select o.page, o.n, o.op, case o.op when 'q' then list_append(w.k, w.k[-1]) when 'Q' then case when len(w.k) > 1 then w.k[1:len(w.k) - 1] else w.k end
+    when 'cm' then list_append(w.k[1:len(w.k) - 1], [c * w.k[-1][1] + t * w.k[-1][3], c * w.k[-1][2] + t * w.k[-1][4], c * w.k[-1][3] - t * w.k[-1][1], c * w.k[-1][4] - t * w.k[-1][2], x * w.k[-1][1] + y * w.k[-1][3] + w.k[-1][5], x * w.k[-1][2] + y * w.k[-1][4] + w.k[-1][6]]) else w.k end
+  from w join o on o.page = w.page and o.n = w.n + 1),
+b as (select page, k[-1] as m from w where op = 'Do'),
+x as (select page, least(m[5], m[1] + m[5], m[3] + m[5], m[1] + m[3] + m[5]) as x0, greatest(m[5], m[1] + m[5], m[3] + m[5], m[1] + m[3] + m[5]) as x1, least(m[6], m[2] + m[6], m[4] + m[6], m[2] + m[4] + m[6]) as y0, greatest(m[6], m[2] + m[6], m[4] + m[6], m[2] + m[4] + m[6]) as y1 from b),
+s as (select *, (x1 - x0) * (y1 - y0) / 5.0::double as share from x),
+c as (select page, count(*) as image_count, count(*) filter (share >= 0.70::double) as full_page_count from s group by 1),
+p as (select l_orderkey % 500 as page, (l_partkey % 120)::double as x, (l_suppkey % 90)::double as y, l_linenumber as chars from lineitem),
+i as (select page, sum(chars) as total, sum(chars) filter (exists (select 1 from s where s.page = p.page and share >= 0.40::double and x between x0 - 5 and x1 + 5 and y between y0 - 5 and y1 + 5)) as inside from p group by 1)
+select d.page, coalesce(image_count, 0) as image_count, coalesce(full_page_count, 0) as full_page_count, case when total is null then 0.0 else round(coalesce(inside, 0) / total::double, 6) end::double as sandwich_ratio
+from (select distinct page from e) d left join c using (page) left join i using (page)""",
 }

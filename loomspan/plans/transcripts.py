@@ -173,6 +173,12 @@ def metadata_compaction(s, d):
     return T.compacted(_esegs(s, d), 20).select("source_id", "kept", "omitted", "kept_chars")
 
 
+def batch_compaction(s, d):
+    """Conversations in batches of a hundred as sources that share a budget of segments."""
+    turns_ = table(s, d, "conversations").select(F.floor(F.col("conv_id") / 100).alias("batch"), F.col("conv_id").alias("source_id"), F.col("turn").alias("segment_index"), "text")
+    return T.batch_compacted(turns_)
+
+
 def multi_source_brief(s, d):
     return T.brief(_segs(s, d))
 
@@ -204,7 +210,7 @@ def word_rows(s, d):
     return e.select("event_id", F.explode(own).alias("w")).select("event_id", "w.word", "w.start_ms", "w.end_ms")
 
 
-QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, relationships, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, multi_source_brief, provenance_gaps, frame_labels, transcript_markdown, word_rows)}
+QUERIES = {f.__name__: f for f in (normalize_segments, risk_summary, batch_risk, language_mismatch, word_confidence, speaker_timeline, speaker_aliases, polarity_counts, meaningful_tokens, pairwise_overlap, relationships, frame_segments, extractive_notes, text_cleanup, timestamps, source_slugs, vocabulary_terms, vocabulary_prompt, vocabulary_report, metadata_compaction, batch_compaction, multi_source_brief, provenance_gaps, frame_labels, transcript_markdown, word_rows)}
 QUERIES["speaker_summary"] = lambda s, d: T.speaker_summary(_segs(s, d))
 
 
@@ -264,6 +270,7 @@ SQL = {
     "vocabulary_prompt": f"with {PARSED} select id, substr(string_agg(term, ', ' order by place), 1, 1000) as prompt from terms group by id",
     "vocabulary_report": f"with {TURNS}, t as (select source_id, lower(text) as low, unnest({_list(tuple(TERMS))}) as term from segs) select source_id, term, count(*) filter (contains(low, lower(term))) as segments_with_term, count(*) filter (contains(low, lower(term))) > 0 as hit from t group by 1, 2",
     "metadata_compaction": f"with {EVENT_SEGS} select source_id, count(*) filter (segment_index <= 20) as kept, count(*) filter (segment_index > 20) as omitted, sum(length(text)) filter (segment_index <= 20)::bigint as kept_chars from segs group by source_id",
+    "batch_compaction": "with t as (select conv_id // 100 as batch, conv_id as source_id, turn, len(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '')) as n, row_number() over (partition by conv_id // 100 order by conv_id, turn) - 1 as place from conversations) select batch, source_id, count(*) as segments, count(*) filter (place < 200) as kept, count(*) filter (place < 200) < count(*) as truncated, coalesce(sum(least(n, 20)) filter (place < 200), 0)::bigint as kept_words, count(*) filter (place < 200 and n > 20) as cut_segments, greatest(200 - min(place), 0) as remaining from t group by 1, 2",
     "multi_source_brief": f"with {TURNS} select source_id, arg_min(text, segment_index) filter (text <> '') as brief, sha256(string_agg(text, chr(10) order by segment_index)) as timeline_sha256, count(*) as segments from segs group by source_id",
     "transcript_markdown": f"with {EVENT_SEGS}, l as (select source_id, segment_index, '- [' || {LABEL.format(ms='start_ms')} || ' - ' || {LABEL.format(ms='end_ms')} || '] **' || speaker || ':** ' || case when text = '' then '_(no speech)_' else text end as line, case when len(warnings) > 0 then '| ' || segment_id || ' | ' || array_to_string(warnings, ', ') || ' | ' || text || ' |' end as audit from segs), m as (select source_id, '# Transcript ' || source_id || chr(10) || chr(10) || string_agg(line, chr(10) order by segment_index) || coalesce(chr(10) || chr(10) || '## Review' || chr(10) || chr(10) || '| segment | warnings | text |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(audit, chr(10) order by segment_index) filter (audit is not null), '') as markdown from l group by 1) select source_id, sha256(markdown) as markdown_sha256, length(markdown) as n_chars from m",
     "word_rows": "with w as (select event_id, event_type as word, value as s, value - 0.5::double * (event_id % 3) as e from events union all select event_id, user_id::varchar, value + 2, value + 2 - 0.5::double * (event_id % 3) from events) select event_id, word, round_even(s * 1000, 0)::bigint as start_ms, greatest(round_even(s * 1000, 0), round_even(e * 1000, 0))::bigint as end_ms from w",
