@@ -7,6 +7,7 @@ schema is read by from_json.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from urllib.parse import urlsplit
 
@@ -23,18 +24,110 @@ SECRET_ENDS, SECRET_WORDS = ("api_key", "api_keys"), ("secret", "token", "passwo
 LEFT_OUT = ("authorization", "x-api-key", "x-goog-api-key", "api-key", "cookie", "set-cookie", "date", "expires", "server", "x-request-id", "x-correlation-id", "content-length", "transfer-encoding", "content-encoding", "host", "connection")
 #: Fields of a body that are no part of it (fixed values).
 BODY_LEFT_OUT = ("model", "stream", "gemini_model_name")
-#: How deep a record may be nested; deeper ones are left out as malformed.
-DEEPEST = 200
+#: A token of a JSON text: a mark, a string, or a number or word.
+TOKEN = re.compile(r'\s*(?:([\[\]{}:,])|("(?:[^"\\\x00-\x1f]|\\.)*")|([^\s\[\]{}:,"]+))')
+
+
+def parsed(text: str) -> object:
+    """json.loads for records of any depth. Containers that are open are kept in a list, not on the interpreter's stack."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        pass
+    text = text.rstrip(" \t\n\r")
+    at, whole, open_, key, comma = 0, [], [], None, False
+    open_.append(whole)
+    ready = True  # whether a value may stand here
+    while at < len(text):
+        m = TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        at, mark, now = m.end(), m[1], open_[-1]
+        if mark in ("]", "}"):
+            if len(open_) == 1 or isinstance(now, dict) != (mark == "}") or comma or key is not None:
+                raise ValueError(f"no end at {at}")
+            open_.pop()
+            ready = False
+            continue
+        if mark == ",":
+            if ready or len(open_) == 1:
+                raise ValueError(f"no comma at {at}")
+            ready = comma = True
+            continue
+        if not ready or mark == ":":
+            raise ValueError(f"no value at {at}")
+        if isinstance(now, dict) and key is None:
+            colon = TOKEN.match(text, at)
+            if not m[2] or not colon or colon[1] != ":":
+                raise ValueError(f"no key at {at}")
+            key, at, comma = json.loads(m[2]), colon.end(), False
+            continue
+        value = {} if mark == "{" else [] if mark == "[" else json.loads(m[2] or m[3])
+        if isinstance(now, dict):
+            now[key] = value
+        else:
+            now.append(value)
+        key, comma, ready = None, False, bool(mark)
+        if mark:
+            open_.append(value)
+    if len(open_) > 1 or len(whole) != 1:
+        raise ValueError("no whole record")
+    return whole[0]
+
+
+def written(value: object) -> str:
+    """The record in one form, keys sorted, whatever its depth."""
+    form = {"sort_keys": True, "separators": (",", ":"), "ensure_ascii": False}
+    try:
+        return json.dumps(value, **form)
+    except RecursionError:
+        pass
+    out: list[str] = []
+    todo: list[tuple[bool, object]] = [(False, value)]
+    while todo:
+        plain, item = todo.pop()
+        if plain:
+            out.append(item)
+        elif isinstance(item, dict):
+            todo.append((True, "}"))
+            for k in sorted(item, reverse=True):
+                todo += [(False, item[k]), (True, f"{json.dumps(k, ensure_ascii=False)}:"), (True, ",")]
+            todo[-1:] = [(True, "{")] if item else [todo[-1], (True, "{")]
+        elif isinstance(item, list):
+            todo.append((True, "]"))
+            for v in reversed(item):
+                todo += [(False, v), (True, ",")]
+            todo[-1:] = [(True, "[")] if item else [todo[-1], (True, "[")]
+        else:
+            out.append(json.dumps(item, **form))
+    return "".join(out)
 
 
 def _walked(text: str | None, change: Callable[[object], object]) -> str | None:
     """The record, changed and written in one form; null where it is no JSON."""
     try:
-        return None if text is None else json.dumps(change(json.loads(text)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except (ValueError, RecursionError):
+        return None if text is None else written(change(parsed(text)))
+    except ValueError:
         return None
 
 
+def _changed(record: object, replace: Callable[[object, str], tuple[bool, object]]) -> object:
+    """record with what replace gives for a value and its key; a value that it leaves (False) is walked if it is a container. Items of lists have no key."""
+    top: list = [None]
+    todo: list[tuple] = [(record, "", top, 0)]
+    while todo:
+        value, key, into, at = todo.pop()
+        done, new = replace(value, key)
+        if not done and isinstance(value, dict):
+            new = dict.fromkeys(value)
+            todo += [(v, k, new, k) for k, v in value.items()]
+        elif not done and isinstance(value, list):
+            new = [None] * len(value)
+            todo += [(v, "", new, i) for i, v in enumerate(value)]
+        into[at] = new
+    return top[0]
+
+
 def _clean_url(url: str) -> str:
     try:
         parts = urlsplit(url)
@@ -44,30 +137,24 @@ def _clean_url(url: str) -> str:
     return f"{parts.scheme}://{host}{parts.path}" if parts.scheme and parts.netloc else url[: L.MAX_STRING]
 
 
-def _redacted(value: object, key: str = "", depth: int = 0) -> object:
-    if depth > DEEPEST:
-        raise ValueError("nested too deep")
-    if key and any(p in key.lower().replace("-", "_") for p in L.SENSITIVE_KEYS):
-        return "[REDACTED]"
-    if isinstance(value, dict):
-        return {k: _redacted(v, k, depth + 1) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_redacted(v, "", depth + 1) for v in value]
-    if isinstance(value, str):
-        return _clean_url(value) if "url" in key.lower() else value[: L.MAX_STRING] + "..." if len(value) > L.MAX_STRING else value
-    return value
-
-
-def _masked(value: object, depth: int = 0) -> object:
-    if depth > DEEPEST:
-        raise ValueError("nested too deep")
-    if isinstance(value, list):
-        return [_masked(v, depth + 1) for v in value]
-    if not isinstance(value, dict):
-        return value
-    secret = lambda k: k.lower().endswith(SECRET_ENDS) or k.lower() in SECRET_WORDS
-    hidden = lambda v: ["****" for x in v if x] if isinstance(v, list) else "****" if v else v
-    return {k: hidden(v) if secret(k) else _masked(v, depth + 1) for k, v in value.items()}
+def _redacted(record: object) -> object:
+    def replace(value: object, key: str) -> tuple[bool, object]:
+        if key and any(p in key.lower().replace("-", "_") for p in L.SENSITIVE_KEYS):
+            return True, "[REDACTED]"
+        if isinstance(value, str):
+            return True, _clean_url(value) if "url" in key.lower() else value[: L.MAX_STRING] + "..." if len(value) > L.MAX_STRING else value
+        return False, value
+
+    return _changed(record, replace)
+
+
+def _masked(record: object) -> object:
+    def replace(value: object, key: str) -> tuple[bool, object]:
+        if key.lower().endswith(SECRET_ENDS) or key.lower() in SECRET_WORDS:
+            return True, ["****" for x in value if x] if isinstance(value, list) else "****" if value else value
+        return False, value
+
+    return _changed(record, replace)
 
 
 @F.pandas_udf(T.StringType())

@@ -350,29 +350,72 @@ def local_context(blocks: DataFrame, before: int, after: int) -> DataFrame:
 
 
 REF = "array<struct<kind:string,target:string,label:string,title:string>>"
-_AUTO = re.compile(r"<(https?://[^>\s]+)>")
+_AUTO = re.compile(r"<(https?://[^>]+)>")
+_SOLID = re.compile(r"\S+")
 _TAG = re.compile(r"<(img|a)\b([^>]*)>", re.I)
-
-
-def _balanced(text: str, at: int) -> int:
-    """Where the parenthesis closes that opens before at: not inside quotes or angle brackets, and not one that is escaped or opened inside."""
-    depth, inside, i = 0, "", at
-    while i < len(text):
-        c = text[i]
-        if c == "\\":
+_END = re.compile(r"</a>", re.I)
+_CLOSE = re.compile(r"(?:[^\\\]]|\\.)*\]", re.S)
+
+
+class _Parentheses:
+    """Where the parenthesis closes that opens before a place: not inside quotes or angle brackets, and not one that is escaped or opened inside; -1 where none does.
+
+    Texts are read ahead as far as needed; once that has taken more steps than the text is long, all places are worked out from the right, so a text of
+    nothing but openings takes time in proportion too.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.left, self.known = text, 4 * len(text) + 64, None
+
+    def close(self, at: int) -> int:
+        if self.known is None and self.left > 0:
+            return self._ahead(at)
+        if self.known is None:
+            self.known = self._all()
+        return self.known[min(at, len(self.text))]
+
+    def _ahead(self, at: int) -> int:
+        text, depth, inside, i = self.text, 0, "", at
+        while i < len(text):
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif inside:
+                inside = "" if c == inside else inside
+            elif c in "'\"<":
+                inside = ">" if c == "<" else c
+            elif c == "(":
+                depth += 1
+            elif c == ")":
+                if not depth:
+                    break
+                depth -= 1
             i += 1
-        elif inside:
-            inside = "" if c == inside else inside
-        elif c in "'\"<":
-            inside = ">" if c == "<" else c
-        elif c == "(":
-            depth += 1
-        elif c == ")":
-            if not depth:
-                return i
-            depth -= 1
-        i += 1
-    return -1
+        self.left -= i - at
+        return i if i < len(text) else -1
+
+    def _all(self) -> list[int]:
+        text, n = self.text, len(self.text)
+        found, after = [-1] * (n + 2), {q: -1 for q in "'\">"}
+        later = dict(after)  # the same from one place further on
+        for i in range(n - 1, -1, -1):
+            c, j = text[i], -1
+            if c == "\\":
+                j = found[i + 2]
+            elif c == ")":
+                j = i
+            elif c == "(":
+                j = found[i + 1]
+                j = found[j + 1] if j >= 0 else -1
+            elif c in "'\"<":
+                end = after[">" if c == "<" else c]
+                j = found[end + 1] if end >= 0 else -1
+            else:
+                j = found[i + 1]
+            found[i] = j
+            here = later if c == "\\" else {**after, c: i} if c in after else after
+            later, after = after, here
+        return found
 
 
 def _destination(raw: str) -> tuple[str, str]:
@@ -386,30 +429,35 @@ def asset_refs(text: str | None) -> list[tuple[str, str, str, str]]:
     """kind, target, label and title of inline links and images, autolinks, and the img and a elements of a Markdown text; each kind, target and label once."""
     text = text or ""
     out: dict[tuple[str, str, str], str] = {}
-    at = 0
-    while (opened := text.find("[", at)) >= 0:
-        end = re.compile(r"(?:[^\\\]]|\\.)*\]", re.S).match(text, opened + 1)
-        at = opened + 1
-        if not end:
-            continue
-        at = end.end()
-        close = _balanced(text, at + 1) if text[at : at + 1] == "(" else -1
+    parentheses, at = _Parentheses(text), 0
+    end, last = -1, text.rfind("]")
+    while 0 <= (opened := text.find("[", at)) < last:
+        if end <= opened:  # the first end behind this opening, which later openings before it share
+            found = _CLOSE.match(text, opened + 1)
+            if not found:
+                break
+            end = found.end()
+        at = end
+        close = parentheses.close(at + 1) if text[at : at + 1] == "(" else -1
         if close >= 0:
             target, title = _destination(text[at + 1 : close])
             if target:
                 out.setdefault(("image" if opened and text[opened - 1] == "!" else "link", target, text[opened + 1 : at - 1].strip()), title)
             at = close + 1
-    for m in _AUTO.finditer(text):
-        out.setdefault(("link", m[1], ""), "")
+    for solid in _SOLID.finditer(text) if "<http" in text else ():
+        for m in _AUTO.finditer(solid[0], 0, solid[0].rfind(">") + 1):
+            out.setdefault(("link", m[1], ""), "")
     attribute = lambda tag, name: (m[1].strip() if (m := re.search(rf"\b{name}=[\"']([^\"']*)[\"']", tag, re.I)) else "")
     for wanted in ("img", "a"):
-        for m in _TAG.finditer(text):
+        stop = None
+        for m in _TAG.finditer(text, 0, text.rfind(">") + 1):
             target = attribute(m[2], "src" if wanted == "img" else "href")
             if m[1].lower() != wanted or not target:
                 continue
-            stop = re.compile(r"</a>", re.I).search(text, m.end()) if wanted == "a" else None
-            if wanted == "a" and not stop:
-                continue
+            if wanted == "a" and (stop is None or stop.start() < m.end()):
+                stop = _END.search(text, m.end())
+                if not stop:
+                    break
             label = attribute(m[2], "alt") if wanted == "img" else re.sub(r"<[^>]+>", "", text[m.end() : stop.start()]).strip()
             out.setdefault(("html_image" if wanted == "img" else "html_link", target, label), attribute(m[2], "title"))
     return [(*k, t) for k, t in out.items()]

@@ -191,8 +191,18 @@ def crop_box(box: list[Column], width: Column, height: Column, normalised: Colum
 
 
 def document_probe(pages: DataFrame, by: str) -> DataFrame:
-    """Scores of documents from their probed pages (by, chars, quality, images, full_page, layout, sandwich): pages, text layer and quality, scan and sandwich likelihood, layout and visual complexity, each from 0 to 1."""
-    clamp = lambda c: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))), 3)
-    sums = pages.groupBy(by).agg(F.count("*").alias("pages"), F.avg("chars").alias("c"), (F.count_if(F.col("chars") >= 80) / F.count("*")).alias("h"), F.avg("quality").alias("q"), F.avg("images").alias("i"), (F.count_if("full_page") / F.count("*")).alias("f"), F.avg("layout").alias("l"), F.avg("sandwich").alias("s"))
-    layer = F.col("h") * 0.55 + F.least(F.col("c") / 900, F.lit(1.0)) * 0.45
-    return sums.select(by, "pages", clamp(layer).alias("text_layer_score"), clamp(F.col("q")).alias("text_quality_score"), clamp((1 - layer) * 0.65 + F.col("f") * 0.35).alias("scan_likelihood"), clamp(F.col("s")).alias("sandwich_likelihood"), clamp(F.col("l")).alias("layout_complexity_score"), clamp(F.col("i") / 3 * 0.45 + F.col("f") * 0.55).alias("visual_complexity_score"))
+    """Scores of documents from their probed pages (by, chars, quality, images, full_page, layout, sandwich, creator, producer): pages, text layer and quality, scan and sandwich likelihood, layout and
+    visual complexity, each from 0 to 1, the engine that they recommend and the reasons.
+
+    Creator and producer are the document's, the same on all of its pages; the first by name is taken. Digital generators lower the scan likelihood only where there is some text layer.
+    """
+    clamped = lambda c: clamp(F.coalesce(c, F.lit(0.0)))
+    sums = pages.groupBy(by).agg(F.count("*").alias("pages"), F.avg("chars").alias("c"), (F.count_if(F.col("chars") >= 80) / F.count("*")).alias("h"), F.avg("quality").alias("q"), F.avg("images").alias("i"), (F.count_if("full_page") / F.count("*")).alias("f"), F.avg("layout").alias("l"), F.avg("sandwich").alias("s"), F.min("creator").alias("creator"), F.min("producer").alias("producer"))
+    rows = sums.withColumns({"layer": clamped(F.col("h") * 0.55 + F.least(F.col("c") / 900, F.lit(1.0)) * 0.45), "meta": metadata_adjustment(F.col("creator"), F.col("producer"))})
+    effective = F.when((F.col("meta") >= 0) | (F.col("layer") >= 0.10), F.col("meta")).otherwise(0.0)
+    rows = rows.withColumns({"quality": clamped(F.col("q")), "scan": clamped((1 - F.col("layer")) * 0.65 + F.col("f") * 0.35 + effective), "sandwich": clamped(F.col("s")), "visual": clamped(F.col("i") / 3 * 0.45 + F.col("f") * 0.55), "layout": clamped(F.col("l"))})
+    scores = [F.col(c) for c in ("layer", "quality", "scan", "sandwich", "visual", "layout")]
+    names = {"layer": "text_layer_score", "quality": "text_quality_score", "scan": "scan_likelihood", "sandwich": "sandwich_likelihood", "layout": "layout_complexity_score", "visual": "visual_complexity_score"}
+    told = F.when(effective > 0, "metadata_scanner").when(effective < 0, "metadata_digital")
+    reasons = F.array_compact(F.concat(route_reasons(*scores), F.array(told)))
+    return rows.select(by, "pages", *[F.round(k, 3).alias(v) for k, v in names.items()], F.when(is_safe(*scores), "fast_pdf").otherwise("deep_pdf").alias("recommended_engine"), F.array_join(reasons, ",").alias("reasons"))

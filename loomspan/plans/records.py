@@ -8,6 +8,7 @@ from loomspan.functions import contracts as C
 from loomspan.functions import records as R
 from loomspan.operators import extract as X
 from loomspan.operators import routing as G
+from loomspan.plans.routing import QUALITY
 from loomspan.session import table
 
 
@@ -97,9 +98,15 @@ def asset_references(s, d):
 
 
 def document_probes(s, d):
-    """Documents as pages of their source."""
-    n = F.length("text")
-    pages = table(s, d, "documents").select("source", n.alias("chars"), ((F.col("doc_id") % 10) / 10.0).alias("quality"), (F.col("doc_id") % 4).alias("images"), (F.col("doc_id") % 3 == 0).alias("full_page"), ((F.col("doc_id") % 7) / 7.0).alias("layout"), ((F.col("doc_id") % 5) / 5.0).alias("sandwich"))
+    """Documents as pages of their source: quality and text layer from their texts, short ones as full-page images, many short lines as layout; the source's name ends in the generator's."""
+    text = F.col("text")
+    docs = table(s, d, "documents").select("source", text, F.size(F.split(text, "\n")).alias("lines"))
+    full, quality = F.length(text) < 400, G.text_quality(text)
+    images = F.least(F.regexp_count(text, F.lit(r"\$\$\$|###")), F.lit(3))
+    layout = F.least(F.lit(1.0), F.col("lines") * 40 / F.greatest(F.length(text), F.lit(1)))
+    sandwich = G.sandwich_likelihood(G.visual_complexity(images, full), G.text_layer(text), quality)
+    creator = F.when(F.col("source").endswith("1"), "Canon Copier").when(F.col("source").endswith("2"), "pdfTeX-1.40")
+    pages = docs.select("source", F.length(text).alias("chars"), quality.alias("quality"), images.alias("images"), full.alias("full_page"), layout.alias("layout"), sandwich.alias("sandwich"), creator.alias("creator"), F.lit(None).cast("string").alias("producer"))
     return G.document_probe(pages, "source")
 
 
@@ -119,5 +126,14 @@ SQL = {
     "token_usage": "select event_id, case event_id % 3 when 2 then 0 else event_id end as prompt_tokens, case event_id % 3 when 0 then event_id % 9 else 0 end as completion_tokens from events",
     "eval_manifests": "select doc_id, 'm' || doc_id as name, case when doc_id % 5 = 0 then 'version' when doc_id % 4 = 3 then 'no_samples' when doc_id % 4 = 0 then 'sample_id' when doc_id % 4 = 1 then 'text_or_path' end as problem, (doc_id % 4 <> 3)::bigint as n_samples from documents",
     "asset_references": "select page_id, unnest(['link', 'image', 'link', 'html_image', 'html_link']) as kind, unnest(['http://x/(' || page_id || ')', 'p q.png', 'https://auto/' || page_id, 'z.png', '/h']) as target, unnest(['a\\]b', 'i', '', 'A', 'so it is']) as label, unnest(['t', '', '', 'T', '']) as title from pages",
-    "document_probes": "with p as (select source, count(*) as pages, avg(length(text))::double as chars, count(*) filter (length(text) >= 80) / count(*)::double as held, avg((doc_id % 10) / 10.0::double) as q, avg(doc_id % 4)::double as im, count(*) filter (doc_id % 3 = 0) / count(*)::double as f, avg((doc_id % 7) / 7.0::double) as l, avg((doc_id % 5) / 5.0::double) as sw from documents group by 1), x as (select *, held * 0.55::double + least(chars / 900, 1.0::double) * 0.45::double as layer from p) select source, pages, round(layer, 3) as text_layer_score, round(q, 3) as text_quality_score, round(least(1.0::double, (1 - layer) * 0.65::double + f * 0.35::double), 3) as scan_likelihood, round(sw, 3) as sandwich_likelihood, round(l, 3) as layout_complexity_score, round(least(1.0::double, im / 3 * 0.45::double + f * 0.55::double), 3) as visual_complexity_score from x",
+    "document_probes": f"""with d as (select source, text, length(text) as n, length(text) < 400 as full_page, least(len(regexp_extract_all(text, '\\$\\$\\$|###')), 3) as images, least(1.0, len(string_split(text, chr(10))) * 40 / greatest(length(text), 1)::double) as layout, least(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) / 900.0::double, 1.0) as own from documents),
+s as (select *, {QUALITY} as quality, least(1.0, images / 3.0::double * 0.45 + case when full_page then 0.55 else 0.0 end) as seen from d),
+p as (select source, count(*) as pages, avg(n)::double as chars, count(*) filter (n >= 80) / count(*)::double as held, avg(quality) as q, avg(images)::double as im, count(*) filter (full_page) / count(*)::double as f, avg(layout) as l, avg(greatest(0.0, least(1.0, seen * 0.55 + own * 0.25 + (1.0 - quality) * 0.20))) as sw,
+  case right(source, 1) when '1' then 0.40 when '2' then -0.30 else 0.0 end::double as meta from s group by source),
+y as (select *, held * 0.55::double + least(chars / 900, 1.0::double) * 0.45::double as layer from p),
+e as (select *, case when meta >= 0 or layer >= 0.10 then meta else 0.0 end as eff from y),
+x as (select *, greatest(0.0, least(1.0, (1 - layer) * 0.65::double + f * 0.35::double + eff)) as scan, least(1.0::double, im / 3 * 0.45::double + f * 0.55::double) as visual from e)
+select source, pages, round(layer, 3) as text_layer_score, round(q, 3) as text_quality_score, round(scan, 3) as scan_likelihood, round(sw, 3) as sandwich_likelihood, round(l, 3) as layout_complexity_score, round(visual, 3) as visual_complexity_score,
+  case when layer >= 0.70 and q >= 0.80 and scan <= 0.20 and sw <= 0.40 and visual <= 0.35 and l <= 0.45 then 'fast_pdf' else 'deep_pdf' end as recommended_engine,
+  concat_ws(',', case when layer < 0.70 then 'text_layer' end, case when q < 0.80 then 'text_quality' end, case when scan > 0.20 then 'scan' end, case when sw > 0.40 then 'sandwich' end, case when visual > 0.35 then 'visual' end, case when l > 0.45 then 'layout' end, case when eff > 0 then 'metadata_scanner' when eff < 0 then 'metadata_digital' end) as reasons from x""",
 }
