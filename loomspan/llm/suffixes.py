@@ -10,7 +10,8 @@ Documents come in batches. Each gets its suffix array, which is merge-scanned ag
 equal size are merged, so a suffix is rewritten a logarithmic number of times. The levels are tables of a folder, with a list of
 them beside, and can be opened again for a later batch. A scan tells which anchors have an
 equal neighbourhood elsewhere (all their windows repeat) and which share a key with another neighbourhood;
-for the latter the windows themselves are compared, byte by byte where their hashes agree. Keys that very many suffixes
+for the latter the windows themselves are compared: byte by byte where their hashes agree, or, for keys that more than NEIGHBOURS
+neighbourhoods share, by 128-bit BLAKE2 digests of their bytes, dealt out to all tasks. Keys that very many suffixes
 share are not scanned in one task but counted.
 """
 
@@ -33,7 +34,7 @@ KEY = 50
 BATCHES = 4
 #: Rows of one key that a scan holds; the rest of a larger group is judged against what went before.
 HELD = 200_000
-#: Neighbourhoods of one key whose windows are compared in one task; windows of more are dealt out by their hash.
+#: Neighbourhoods of one key whose windows are compared in one task; windows of more are dealt out by their digest.
 NEIGHBOURS = 50_000
 _SPREAD = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
@@ -372,23 +373,21 @@ MARKS = "t1 bigint, t2 bigint, start bigint, stop bigint"
 def _window_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*(b.column(i).to_pylist() for i in range(7)), strict=True))
-            if not rows:
-                continue
-            hashes, row = _hash_rows([r[6] for r in rows], length)
-            first = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(rows)))[:-1]))
-            place = np.array([r[4] for r in rows], np.int64)[row] + np.arange(len(row)) - first[row]
-            pick = lambda i, kind=np.int64: pa.array(np.array([r[i] for r in rows], kind)[row])
-            yield pa.RecordBatch.from_arrays([pick(0), pa.array(hashes.view(np.int64)), pick(2), pick(3), pa.array(place), pick(5, bool)], ["key", "hash", "t1", "t2", "start", "repeated"])
+            for key, t1, t2, lo, repeated, data in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True):
+                n = len(data) - length + 1
+                if n > 0:
+                    digests = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in range(n)]
+                    same = lambda v, kind, n=n: pa.array(np.full(n, v, kind))
+                    yield pa.RecordBatch.from_arrays([same(key, np.int64), pa.array(digests, pa.binary()), same(t1, np.int64), same(t2, np.int64), pa.array(np.arange(lo, lo + n)), same(repeated, bool)], ["key", "window", "t1", "t2", "start", "repeated"])
 
     return run
 
 
 def _busy_marks(near: DataFrame, busy: DataFrame, length: int) -> DataFrame:
-    """The same for keys with very many neighbourhoods: windows are rows and are counted by hash."""
-    rows = near.join(busy, "key", "left_semi").mapInArrow(_window_rows(length), "key bigint, hash bigint, t1 bigint, t2 bigint, start bigint, repeated boolean")
-    twice = rows.groupBy("key", "hash").agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
-    return rows.where("not repeated").join(twice, ["key", "hash"], "left_semi").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
+    """The same for keys with very many neighbourhoods: windows are rows and are counted by a cryptographic digest of their bytes, which stands for these."""
+    rows = near.join(busy, "key", "left_semi").mapInArrow(_window_rows(length), "key bigint, window binary, t1 bigint, t2 bigint, start bigint, repeated boolean")
+    twice = rows.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window")
+    return rows.where("not repeated").join(twice, ["key", "window"], "left_semi").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
 
 
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
@@ -461,7 +460,8 @@ def add_batch(index: SuffixIndex, batch: DataFrame, before: DataFrame, text_col:
     found = index.add(index.scratch.write(_index_rows(_texts(batch, text_col), length, key), f"batch-{index.count + 1}"))
     work = Scratch(index.spark, "suffixes-batch")
     marks = _marks(_texts(batch, text_col).union(_texts(before, text_col)), found, work, length, neighbours)
-    index.scratch.drop(f"batch-{index.count}")
+    for name in ("batch", "hits", "crowded"):
+        index.scratch.drop(f"{name}-{index.count}")
     return _spans(marks)
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -102,6 +103,8 @@ def test_a_batch_for_an_index_opened_again(spark):
             assert index.count == i and [rank for rank, _, _ in index.levels] == [[0], [1]][i - 1]
         before = [r for p in parts[:i] for r in p]
         spans.append(suffixes.add_batch(index, frame(part), frame(before)).collect())
+    left = {f.name.rsplit("-", 1)[0] for f in Path(root.removeprefix("file://").removeprefix("file:")).iterdir()}
+    assert not left & {"batch", "hits", "crowded"}
     gone = {}
     for r in (r for found in spans for r in found):
         for s in r.spans:
@@ -117,3 +120,18 @@ def test_equal_hashes_are_compared_byte_by_byte():
     rows = [(1, 0, 0, 0, 0, False, b"abcdefgh"), (1, 0, 0, 0, 0, False, b"xabcdefy")]
     row = np.repeat([0, 1], 4)
     assert suffixes._same_bytes(rows, row, np.array([0, 0]), np.array([5, 4]), 5).tolist() == [True, False]
+
+
+def test_windows_of_busy_keys_are_told_apart_by_their_bytes():
+    import pyarrow as pa
+
+    data = [b"abcabcab", b"xabcabz", b"abc"]
+    columns = [[1] * 3, [0] * 3, [7, 8, 9], [0] * 3, [10, 20, 30], [False, True, False], data]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "full", "t1", "t2", "lo", "repeated", "data"])
+    by = {}
+    for b in suffixes._window_rows(4)(iter([batch])):
+        for r in b.to_pylist():
+            i = r["t1"] - 7
+            at = r["start"] - 10 * (i + 1)
+            by.setdefault(r["window"], set()).add(data[i][at : at + 4])
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({d[i : i + 4] for d in data for i in range(len(d) - 3)})
