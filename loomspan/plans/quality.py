@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from ipaddress import ip_network
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import lexicons as L
 from loomspan.functions import scalars as S
+from loomspan.operators import addresses as A
 from loomspan.operators import metrics as M
 from loomspan.session import table
 
@@ -49,6 +52,18 @@ def url_safety(s, d):
     return table(s, d, "pages").select(k, S.url_verdict(url, ("example.com",)).alias("verdict"))
 
 
+def address_labels(s, d):
+    """Line items' keys as addresses, written in four ways, and the special networks that they are in."""
+    n = F.pmod(F.col("l_partkey") * 2_654_435 + F.col("l_orderkey") * 69_069 + F.col("l_suppkey"), F.lit(1 << 32))
+    part = lambda i: F.shiftright(n, 8 * i).bitwiseAND(255)
+    dotted = F.format_string("%d.%d.%d.%d", part(3), part(2), part(1), part(0))
+    way = F.col("l_linenumber") % 4
+    host = F.when(way == 0, dotted).when(way == 1, n.cast("string")).when(way == 2, F.concat(F.lit("0x"), F.lower(F.hex(n)))).otherwise(F.concat(F.lit("[::ffff:"), dotted, F.lit("]")))
+    rows = table(s, d, "lineitem").select(n.alias("n"), host.alias("host")).withColumn("address", A.address("host"))
+    found = A.longest_match(rows, "address", A.prefixes(s)).withColumn("label", F.coalesce("label", F.lit("public")))
+    return found.groupBy("label").agg(F.count("*").alias("hosts"), F.sum("n").alias("total"))
+
+
 def numeric_facts(s, d):
     f = S.facts(F.col("text"))
     return _docs(s, d).select("doc_id", F.size(f).cast("long").alias("n_facts"), F.array_join(f, " ").alias("facts"))
@@ -250,8 +265,9 @@ def ocr_formulas(s, d):
     return _docs(s, d).select("doc_id", ((n("{") == n("}")) & (F.regexp_count(made, F.lit("[A-Za-z]{4,}")) <= 6)).alias("accepted"))
 
 
-QUERIES = {f.__name__: f for f in (secret_scan, path_redaction, redact_flat, mask_config, redact_urls, url_safety, numeric_facts, plain_links, safe_names, output_names, scalar_coercion, page_range_counts, compression_ratio, token_estimates, chunk_ids, stable_ids, paged_read, markdown_table, output_manifest, format_merge, cer_report, wer_report, facts_recall, combined_scores, table_cell_recall, table_assignment, benchmark_report, config_compare, class_gate, required_classes, engine_verdicts, format_scores, native_comparison, router_eval, report_markdown, ocr_text, ocr_tables, ocr_formulas)}
+QUERIES = {f.__name__: f for f in (secret_scan, path_redaction, redact_flat, mask_config, redact_urls, url_safety, address_labels, numeric_facts, plain_links, safe_names, output_names, scalar_coercion, page_range_counts, compression_ratio, token_estimates, chunk_ids, stable_ids, paged_read, markdown_table, output_manifest, format_merge, cer_report, wer_report, facts_recall, combined_scores, table_cell_recall, table_assignment, benchmark_report, config_compare, class_gate, required_classes, engine_verdicts, format_scores, native_comparison, router_eval, report_markdown, ocr_text, ocr_tables, ocr_formulas)}
 
+NETS = " ".join(f"when n in (3221225481, 3221225482) then 'public' when n between {int(net[0])} and {int(net[-1])} then '{label}'" for net, label in ((ip_network(t), x) for t, x in A.NETWORKS) if net.version == 4 and net.prefixlen < 32)
 FACTS = "list_sort(list_distinct(list_transform(regexp_extract_all({t}, '[0-9]+(?:[.,][0-9]+)*%?'), lambda x: rtrim(x, '%'))))"
 URLS = "list_sort(list_distinct(list_transform(regexp_extract_all({t}, 'https?://[^\\s)>\\]\"'']+'), lambda x: rtrim(x, '.,'))))"
 PAIRS = "pr as (select b.item_id, b.text as r, d.text as h from benchmark b join documents d on d.doc_id = b.item_id)"
@@ -265,6 +281,7 @@ SQL = {
     "mask_config": "select event_id, '****' as openai_key, event_type as mode from events",
     "redact_urls": "select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://)[^/@]*@', '\\1') as url from pages",
     "url_safety": "select page_id, case page_id % 6 when 0 then 'bad_scheme' when 1 then 'blocked_address' when 2 then 'credentials' when 3 then 'host_not_allowed' else case when regexp_matches(url, '^https?://([^/]*\\.)?example\\.com') then 'ok' else 'host_not_allowed' end end as verdict from pages",
+    "address_labels": f"with a as (select (l_partkey * 2654435 + l_orderkey * 69069 + l_suppkey) % 4294967296 as n from lineitem), b as (select n, case {NETS} else 'public' end as label from a) select label, count(*) as hosts, sum(n)::bigint as total from b group by 1",
     "numeric_facts": f"select doc_id, len({FACTS.format(t='text')})::bigint as n_facts, array_to_string({FACTS.format(t='text')}, ' ') as facts from documents",
     "plain_links": f"select page_id, len({URLS.format(t='html')})::bigint as n_links, sha256(array_to_string({URLS.format(t='html')}, ' ')) as sha256 from pages",
     "safe_names": f"with {NAME} select p_partkey, regexp_replace(regexp_replace(leaf, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g') as leaf, regexp_replace(leaf, '[<>:\"|?*]', '_', 'g') as attachment, array_to_string(list_filter(string_split(replace(name, '\\', '/'), '/'), lambda p: p not in ('', '.', '..')), '/') as relative from lf",
