@@ -104,6 +104,21 @@ def test_overlaps_are_all_found(spark, monkeypatch, share, block):
     assert got == want and (len(got) > 20 or share == 1.0)
 
 
+@pytest.mark.parametrize("head", [0, 3, 1024])
+def test_blocks_and_tiles_lose_no_overlap(spark, monkeypatch, head):
+    """Sets of one group over many blocks and tiles, few words counted as common; no pair is written that does not share enough."""
+    for name, value in (("SIDE", 9), ("BLOCKS", 5), ("TILE", 4), ("HEAD", head)):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(head)
+    sets = [{f"w{int(rng.paretovariate(0.5)) % 200}" for _ in range(rng.randrange(1, 40))} for _ in range(90)]
+    sets = sorted({tuple(sorted(s)) for s in sets})
+    rows = [("g", f"d{i:03d}", list(s)) for i, s in enumerate(sets)]
+    want = {(f"d{i:03d}", f"d{j:03d}") for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and len({*x} & {*y}) / len({*x} | {*y}) >= 0.25 - 1e-12}
+    frame = spark.createDataFrame(rows, "grp string, id string, own array<string>")
+    assert {(r.left_id, r.right_id) for r in S.set_links(frame, 0.25).collect()} == want and len(want) > 20
+    assert {(r.left_id, r.right_id) for r in S._close(frame, 0.25, 1).collect()} == want
+
+
 @pytest.mark.parametrize("block", [2, 2000])
 @pytest.mark.parametrize("top", [1, 3, 40])
 def test_retrieval_equals_full_ranking(spark, monkeypatch, top, block):
