@@ -31,19 +31,28 @@ def hamming(a: Column, b: Column) -> Column:
 def near_hashes(df: DataFrame, group_col: str, id_col: str, hash_col: str, most: int) -> DataFrame:
     """Pairs of different 16-digit hashes of a group that differ in at most `most` bits, with their first ids: group, left_id, right_id, distance.
 
-    Equal hashes are one row (dedup_groups has their members). The 64 bits are cut into most + 1 parts, of which two such hashes have one in
-    common, so no pair is lost; a pair is taken from the first part that its hashes share. Malformed hashes have no pair.
+    Equal hashes are one row (dedup_groups has their members). The 64 bits are cut into half as many parts as most + 1, so two such hashes differ by one bit at most in one of them, and no pair is lost: one of
+    the two is looked up by each part as it is, the other by the part and all that differ from it in one bit. A pair is taken from the first part that is so near. Malformed hashes have no pair.
     """
-    first = df.where(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$")).groupBy(F.col(group_col).alias("grp"), F.lower(hash_col).alias("hash")).agg(F.min(id_col).alias("id"))
-    bits = F.concat(*[F.lpad(F.conv(F.substring("hash", at, 8), 16, 2), 32, "0") for at in (1, 9)])
-    cuts = [64 * k // (most + 1) for k in range(most + 2)]
-    parts = F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(cuts, cuts[1:])])
-    each = first.withColumn("parts", parts).select("*", F.posexplode("parts").alias("part", "key"))
-    l, r = each.alias("l"), each.alias("r")  # noqa: E741
+    half = lambda at: F.conv(F.substring(hash_col, at, 8), 16, 10).cast("long")
+    first = df.where(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$")).groupBy(F.col(group_col).alias("grp"), half(1).alias("high"), half(9).alias("low")).agg(F.min(id_col).alias("id"))
+    count = most // 2 + 1
+    cuts = [64 * k // count for k in range(count + 1)]
+    bits = F.shiftleft("high", 32).bitwiseOR(F.col("low"))
+    masks = [(1 << (b - a)) - 1 for a, b in zip(cuts, cuts[1:])]
+    part = lambda c, k: F.shiftrightunsigned(c, 64 - cuts[k + 1]).bitwiseAND(F.lit(masks[k] if masks[k] < 1 << 63 else -1))
+    first = first.select("grp", "id", bits.alias("bits"))
+    exact = F.array(*[F.struct(F.lit(k).alias("part"), part(F.col("bits"), k).alias("key")) for k in range(count)])
+    one = lambda k: F.transform(F.array(*[F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)) for i in range(cuts[k + 1] - cuts[k])]]), lambda m: F.struct(F.lit(k).alias("part"), part(F.col("bits"), k).bitwiseXOR(m).alias("key")))
+    l = first.select("grp", "id", "bits", F.explode(exact).alias("p")).select("grp", "id", "bits", "p.*").alias("l")  # noqa: E741
+    r = first.select("grp", "id", "bits", F.explode(F.concat(*[one(k) for k in range(count)])).alias("p")).select("grp", "id", "bits", "p.*").alias("r")
     met = l.join(r, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("grp", "part", "key")] + [F.col("l.id") < F.col("r.id")])
-    same = F.zip_with("l.parts", "r.parts", lambda a, b: a == b)
-    distance = hamming(F.col("l.hash"), F.col("r.hash"))
-    met = met.where((F.array_position(same, True) - 1 == F.col("l.part")) & (distance <= most))
+    differs = F.col("l.bits").bitwiseXOR(F.col("r.bits"))
+    distance = F.bit_count(differs)
+    nearest = F.lit(count)
+    for k in reversed(range(count)):
+        nearest = F.when(F.bit_count(part(differs, k)) <= 1, k).otherwise(nearest)
+    met = met.where((distance <= most) & (nearest == F.col("l.part")))
     return met.select(F.col("l.grp").alias(group_col), F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"), distance.alias("distance"))
 
 

@@ -167,3 +167,21 @@ def test_best_assignment(spark):
                 free.discard(h)
                 want.add((k, ref, h, s))
     assert {tuple(r) for r in M.best_assignment(spark.createDataFrame(rows, "k int, ref int, hyp int, score double"), "k").collect()} == want
+
+
+@pytest.mark.parametrize("most", [1, 2, 6, 7])
+def test_near_hashes_of_any_distance(spark, most):
+    """Pairs at most and just beyond the distance, bits of every part, the highest bit too; each comes once."""
+    rng = random.Random(most)
+    rows = []
+    for i in range(40):
+        h = rng.getrandbits(64)
+        rows += [(3 * i, "a", f"{h:016x}")]
+        for k, n in enumerate((most, most + 1)):
+            x = h
+            for b in rng.sample(range(63), n - 1) + [63]:
+                x ^= 1 << b
+            rows.append((3 * i + 1 + k, "a", f"{x:016x}"))
+    want = sorted((i, j, (int(x, 16) ^ int(y, 16)).bit_count()) for i, _, x in rows for j, _, y in rows if i < j and (int(x, 16) ^ int(y, 16)).bit_count() <= most)
+    found = I.near_hashes(spark.createDataFrame(rows, "id int, g string, h string"), "g", "id", "h", most)
+    assert sorted((r.left_id, r.right_id, r.distance) for r in found.collect()) == want and len(want) >= 40
