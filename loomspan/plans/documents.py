@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.operators import extract as X
 from loomspan.operators import markdown as M
 from loomspan.operators import similarity as S
-from loomspan.session import table
+from loomspan.session import spread, table
 
 
 def _docs(s, d):
@@ -113,7 +113,8 @@ def table_cells(s, d):
 
 def stitched_tables(s, d):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    rows = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("pos"), F.col("l_linestatus").alias("header"), F.col("l_linenumber").cast("long").alias("rows"))
+    li = spread(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linestatus"), "l_orderkey")
+    rows = li.select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("pos"), F.col("l_linestatus").alias("header"), F.col("l_linenumber").cast("long").alias("rows"))
     return X.stitch_segments(rows)
 
 
@@ -126,7 +127,8 @@ def table_union(s, d):
 
 
 def chart_pivot(s, d):
-    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.max("l_quantity").alias("y"))
+    li = spread(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), "l_orderkey")
+    li = li.groupBy("l_orderkey", "l_linenumber", "l_returnflag").agg(F.max("l_quantity").alias("y"))
     pts = li.select(F.col("l_orderkey").alias("chart"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("series"), F.col("l_linenumber").alias("x"), "y")
     return X.chart_pivot(pts, ["A", "N", "R"]).select("chart", "x", F.coalesce("A", F.lit(0.0)).alias("a"), F.coalesce("N", F.lit(0.0)).alias("n"), F.coalesce("R", F.lit(0.0)).alias("r"), F.col("row").cast("long").alias("row"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import lexicons as L
 from loomspan.operators import routing as R
 from loomspan.operators import transforms as P
-from loomspan.session import table
+from loomspan.session import spread, table
 
 EXTENSIONS = [r[0] for r in R.REGISTRY] + [".xyz", ""]
 
@@ -78,7 +78,8 @@ def layout_complexity(s, d):
 
 def _pages(s, d):
     w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).cast("long").alias("page"), F.col("l_linestatus").alias("engine"))
+    li = spread(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linestatus"), "l_orderkey")
+    return li.select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).cast("long").alias("page"), F.col("l_linestatus").alias("engine"))
 
 
 def routing_segments(s, d):
