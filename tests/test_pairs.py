@@ -185,3 +185,15 @@ def test_near_hashes_of_any_distance(spark, most):
     want = sorted((i, j, (int(x, 16) ^ int(y, 16)).bit_count()) for i, _, x in rows for j, _, y in rows if i < j and (int(x, 16) ^ int(y, 16)).bit_count() <= most)
     found = I.near_hashes(spark.createDataFrame(rows, "id int, g string, h string"), "g", "id", "h", most)
     assert sorted((r.left_id, r.right_id, r.distance) for r in found.collect()) == want and len(want) >= 40
+
+
+def test_asked_texts_contradict_all_of_their_source(spark):
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(["yes", "no", "term1", "term2", "term3", "plan", "budget", "the"]) for _ in range(rng.randrange(1, 7)))
+    rows = [(f"s{i % 2}", i, say()) for i in range(120)] + [("s0", 900, None), (None, 910, "no term1 term2")]
+    left_out = {*L.NEGATION, *L.AFFIRMATION, *L.STOP}
+    side = lambda w: "negative" if w & set(L.NEGATION) else "positive" if w & set(L.AFFIRMATION) else None
+    items = [(s, i, side({*t.split()}), {w for w in {*t.split()} - left_out if len(w) > 2}) for s, i, t in rows if s and t]
+    want = sorted((s, i, j, ",".join(sorted(x & y)[:8])) for s, i, p, x in items for t, j, q, y in items if s == t and p and q and p != q and i % 10 == 0 and (i < j or (i > j and j % 10)) and len(x & y) >= 2)
+    found = T.contradicting(spark.createDataFrame(rows, "source_id string, segment_index int, text string"), F.col("segment_index") % 10 == 0, 3)
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 5
