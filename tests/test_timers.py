@@ -69,3 +69,35 @@ def test_cache_entries_expire(spark, tmp_path):
         put(tmp_path, f"e{k}", rows[k * 40 : k * 40 + 40])
     got = K.drained(K.cache_requests(E.read_events(spark, str(tmp_path), "*.parquet"), ["user_id"], 30 * 60_000))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_cache_asks_for_its_state_once():
+    """A key's first requests cost one read, one write and one timer; a later miss also takes back the timer that it knows."""
+    from datetime import UTC, datetime
+
+    from pyspark.sql import Row
+
+    from loomspan.streaming.timers import Cache
+
+    calls = []
+
+    class Handle:
+        held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append((name, *args))
+                if name == "update":
+                    self.held = args[0]
+                return self if name == "getValueState" else self.held if name == "get" else None
+            return call
+
+    cache = Cache(1000)
+    cache.init(Handle())
+    calls.clear()
+    at = lambda ms: datetime.fromtimestamp(ms / 1000, UTC)
+    assert [r.hit for r in cache.handleInputRows((1,), iter([Row(ts=at(0), event_id=1), Row(ts=at(500), event_id=2)]), None)] == [False, True]
+    assert [c[0] for c in calls] == ["get", "update", "registerTimer"]
+    calls.clear()
+    assert [r.answer for r in cache.handleInputRows((1,), iter([Row(ts=at(5000), event_id=3)]), None)] == [3]
+    assert calls == [("get",), ("deleteTimer", 1000), ("update", (3, 5000)), ("registerTimer", 6000)]
