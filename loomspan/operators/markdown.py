@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions import scalars as S
+from loomspan.session import PIECE, ROWS, arrow_batches
 
 MAX_CHARS, OVERLAP, LEAST_CHARS, LEAST_TOKENS = 1800, 160, 200, 16
 #: HTML elements that begin a block (fixed values).
@@ -376,14 +377,18 @@ def chunks(df: DataFrame, id_col: str, text_col: str, name_col: str, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], []
-            for i, t in enumerate(b.column(3)):
+            at, rows, size = [], [], 0
+            for i, t in enumerate(b.column(3), 1):
                 own = chunk(t.as_py(), **options)
-                at += [i] * len(own)
+                at += [i - 1] * len(own)
                 rows += own
-            taken = [c.take(pa.array(at, pa.int64())) for c in b.columns[:3]]
-            yield pa.RecordBatch.from_arrays([*taken, *[pa.array([r[n] for r in rows], _KINDS[k]) for n, k in spec]], schema.names)
+                size += sum(len(r["text"]) for r in own)
+                if size >= PIECE or i == len(b):
+                    taken = [c.take(pa.array(at, pa.int64())) for c in b.columns[:3]]
+                    yield pa.RecordBatch.from_arrays([*taken, *[pa.array([r[n] for r in rows], _KINDS[k]) for n, k in spec]], schema.names)
+                    at, rows, size = [], [], 0
 
+    arrow_batches(df.sparkSession, ROWS)
     out = df.select(F.col(id_col).alias("id"), F.col(name_col).cast("string").alias("name"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("source_sha256"), text_col).mapInArrow(run, schema)
     lines, chars = F.concat_ws("-", "start_line", "end_line"), F.concat_ws("-", "char_start", "char_end")
     path = F.array_join("heading_path", " > ")

@@ -1,6 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.operators import extract as X
 from loomspan.operators import markdown as M
@@ -167,3 +169,32 @@ def test_spans_and_nested_html_tables():
     wide = X.html_tables('<table><tr><td colspan="1000000000">a</td></tr><tr><td>b</td></tr></table>')[0]
     assert len(wide["headers"]) == X.MOST_COLUMNS and wide["rows"][0][0] == "b"
     assert X.html_tables("<table><td>alone</table>")[0]["headers"] == ["alone"] and X.html_tables("<table></table>") == [] == X.html_tables("<table><tr><td>open")
+
+
+def test_texts_are_sent_on_in_pieces(spark, monkeypatch):
+    """A task keeps what it makes of a few texts, whatever the table's size, and Spark sends it few rows at once."""
+    seen = []
+    monkeypatch.setattr(M, "PIECE", 3000)
+    monkeypatch.setattr(X, "PIECE", 3000)
+    one = spark.createDataFrame([(1, "t", "x")], "id long, name string, text string")
+    texts = pa.array([f"# T{i}\n\n" + "word and more. " * 60 for i in range(40)])
+    ids, names = pa.array(range(40), pa.int64()), pa.array(["n"] * 40)
+
+    class Frame:
+        sparkSession, schema = spark, one.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            seen.append(run)
+            return one.withColumns({c: F.lit(None).cast(t) for c, t in (x.rsplit(" ", 1) for x in M.CHUNK.split(", "))}).withColumn("source_sha256", F.lit(""))
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    M.chunks(Frame(), "id", "text", "name")
+    X.pages_to_markdown(Frame(), "id", "text")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    chunked, pages = (list(run(iter([pa.RecordBatch.from_arrays(c, [str(i) for i in range(len(c))])]))) for run, c in zip(seen, ([ids, names, names, texts], [ids, texts]), strict=True))
+    assert len(chunked) > 5 and len(pages) > 5
+    assert [i for b in chunked for i in b.column(0).to_pylist()] == [i for i, t in enumerate(texts.to_pylist()) for _ in M.chunk(t)]
+    assert [i for b in pages for i in b.column(0).to_pylist()] == list(range(40))
