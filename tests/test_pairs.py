@@ -197,3 +197,14 @@ def test_asked_texts_contradict_all_of_their_source(spark):
     want = sorted((s, i, j, ",".join(sorted(x & y)[:8])) for s, i, p, x in items for t, j, q, y in items if s == t and p and q and p != q and i % 10 == 0 and (i < j or (i > j and j % 10)) and len(x & y) >= 2)
     found = T.contradicting(spark.createDataFrame(rows, "source_id string, segment_index int, text string"), F.col("segment_index") % 10 == 0, 3)
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) > 5
+
+
+def test_asked_texts_meet_their_source_without_a_join_of_pairs(spark):
+    """All pairs against every pair, over several blocks; texts are compared by numbers of their words, and no pair is a row before it qualifies."""
+    rng = random.Random(23)
+    rows = [(f"s{i % 2}", i, " ".join([rng.choice(["yes", "no", "maybe"]), *rng.sample([f"term{k:02}" for k in range(30)], rng.randrange(1, 20))])) for i in range(120)] + [("s0", 500, ""), (None, 10, "no term01 term02"), (None, 11, "yes term01 term02")]
+    sets = [(s, i, t.split()[0], {w for w in t.split()[1:]}) for s, i, t in rows if s and t and not t.startswith("maybe")]
+    want = [(s, i, j, ",".join(sorted(x & y)[:8])) for s, i, p, x in sets for r, j, q, y in sets if s == r and p != q and i % 10 == 0 and (i < j or (i > j and j % 10)) and len(x & y) >= 2]
+    out = T.contradicting(spark.createDataFrame(rows, "source_id string, segment_index long, text string"), F.col("segment_index") % 10 == 0)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and len(want) > 50
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
