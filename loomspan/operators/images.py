@@ -33,6 +33,7 @@ def near_hashes(df: DataFrame, group_col: str, id_col: str, hash_col: str, most:
 
     Equal hashes are one row (dedup_groups has their members). The 64 bits are cut into half as many parts as most + 1, so two such hashes differ by one bit at most in one of them, and no pair is lost: one of
     the two is looked up by each part as it is, the other by the part and all that differ from it in one bit. A pair is taken from the first part that is so near. Malformed hashes have no pair.
+    Both sides are sorted: Spark judges them by the size they have before their parts are written out, and would broadcast one through the driver.
     """
     half = lambda at: F.conv(F.substring(hash_col, at, 8), 16, 10).cast("long")
     first = df.where(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$")).groupBy(F.col(group_col).alias("grp"), half(1).alias("high"), half(9).alias("low")).agg(F.min(id_col).alias("id"))
@@ -46,7 +47,7 @@ def near_hashes(df: DataFrame, group_col: str, id_col: str, hash_col: str, most:
     one = lambda k: F.transform(F.array(*[F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)) for i in range(cuts[k + 1] - cuts[k])]]), lambda m: F.struct(F.lit(k).alias("part"), part(F.col("bits"), k).bitwiseXOR(m).alias("key")))
     l = first.select("grp", "id", "bits", F.explode(exact).alias("p")).select("grp", "id", "bits", "p.*").alias("l")  # noqa: E741
     r = first.select("grp", "id", "bits", F.explode(F.concat(*[one(k) for k in range(count)])).alias("p")).select("grp", "id", "bits", "p.*").alias("r")
-    met = l.join(r, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("grp", "part", "key")] + [F.col("l.id") < F.col("r.id")])
+    met = l.join(r.hint("merge"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("grp", "part", "key")] + [F.col("l.id") < F.col("r.id")])
     differs = F.col("l.bits").bitwiseXOR(F.col("r.bits"))
     distance = F.bit_count(differs)
     nearest = F.lit(count)

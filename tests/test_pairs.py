@@ -31,6 +31,14 @@ def test_near_hashes(spark):
     assert got == want and len(want) > 50
 
 
+@pytest.mark.parametrize("find", [I.near_hashes])
+def test_images_are_joined_without_a_broadcast(spark, find):
+    """Spark takes sides for as small as they are before their parts are written out; one that looks like 10 MB fills the driver."""
+    rows = [(i, "ab"[i % 2], f"{random.Random(i // 4).getrandbits(64) ^ (i % 4):016x}") for i in range(200)]
+    found = find(spark.createDataFrame(rows, "id int, g string, h string"), "g", "id", "h", 7)
+    assert found.collect() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("most", [1, 3, 7])
 def test_first_match_equals_the_fold(spark, most):
     """Chains of near hashes, equal ones, malformed ones; rows are judged in order, each by those stored before."""
