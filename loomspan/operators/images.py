@@ -70,7 +70,8 @@ def first_match(df: DataFrame, group_col: str, order_col: str, hash_col: str, mo
 
     What is stored is the first independent set, in this order, of the graph of near hashes. In rounds, hashes without an undecided earlier neighbour are stored and
     their later neighbours fall; edges of decided hashes go, until none is left. Rounds grow with the longest chain of undecided
-    neighbours, not with the rows. Malformed and null hashes match themselves. The order is unique within a group and not null.
+    neighbours, not with the rows. Malformed and null hashes match themselves. The order is unique within a group and not null. Edges and rows are joined sorted, as
+    tables that are small on disk are not small in the driver.
     """
     cuts = Cuts(df.sparkSession)
     edges = every = cuts.write(near_hashes(df, group_col, order_col, hash_col, most).select(F.col(group_col).alias("grp"), "left_id", "right_id"), "edges")
@@ -79,17 +80,17 @@ def first_match(df: DataFrame, group_col: str, order_col: str, hash_col: str, mo
     while edges.limit(1).count():
         k += 1
         later = edges.select("grp", F.col("right_id").alias("left_id")).distinct()
-        stored = edges.join(later, ["grp", "left_id"], "left_anti")
+        stored = edges.join(later.hint("merge"), ["grp", "left_id"], "left_anti")
         falls = cuts.write(stored.select("grp", F.col("right_id").alias("id")).distinct(), f"falls-{k}")
-        gone = [falls.select("grp", F.col("id").alias(c)) for c in ("left_id", "right_id")]
+        gone = [falls.select("grp", F.col("id").alias(c)).hint("merge") for c in ("left_id", "right_id")]
         edges = cuts.write(edges.join(gone[0], ["grp", "left_id"], "left_anti").join(gone[1], ["grp", "right_id"], "left_anti").select("grp", "left_id", "right_id"), f"edges-{k}")
         fallen = fallen.union(falls)
-    of_fallen = every.join(fallen.withColumnRenamed("id", "right_id"), ["grp", "right_id"], "left_semi").join(fallen.withColumnRenamed("id", "left_id"), ["grp", "left_id"], "left_anti")
+    of_fallen = every.join(fallen.withColumnRenamed("id", "right_id").hint("merge"), ["grp", "right_id"], "left_semi").join(fallen.withColumnRenamed("id", "left_id").hint("merge"), ["grp", "left_id"], "left_anti")
     taken = of_fallen.groupBy("grp", F.col("right_id").alias("_first")).agg(F.min("left_id").alias("_taken"))
     rows = df.select(F.col(group_col).alias("grp"), F.col(order_col).alias("id"), F.when(F.col(hash_col).rlike("^[0-9a-fA-F]{16}$"), F.lower(hash_col)).alias("hash"))
-    firsts = rows.where("hash is not null").groupBy("grp", "hash").agg(F.min("id").alias("_first")).join(taken, ["grp", "_first"], "left")
+    firsts = rows.where("hash is not null").groupBy("grp", "hash").agg(F.min("id").alias("_first")).join(taken.hint("merge"), ["grp", "_first"], "left")
     firsts = firsts.select("grp", "hash", F.coalesce("_taken", "_first").alias("_match"))
-    found = rows.join(firsts, ["grp", "hash"], "left")
+    found = rows.join(firsts.hint("merge"), ["grp", "hash"], "left")
     return found.select(F.col("grp").alias(group_col), F.col("id").alias(order_col), F.coalesce("_match", "id").alias("matched"))
 
 

@@ -31,7 +31,7 @@ def test_near_hashes(spark):
     assert got == want and len(want) > 50
 
 
-@pytest.mark.parametrize("find", [I.near_hashes])
+@pytest.mark.parametrize("find", [I.near_hashes, I.first_match])
 def test_images_are_joined_without_a_broadcast(spark, find):
     """Spark takes sides for as small as they are before their parts are written out; one that looks like 10 MB fills the driver."""
     rows = [(i, "ab"[i % 2], f"{random.Random(i // 4).getrandbits(64) ^ (i % 4):016x}") for i in range(200)]
