@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,29 @@ def test_blocks_and_tiles_lose_no_overlap(spark, monkeypatch, head):
     assert {(r.left_id, r.right_id) for r in S._close(frame, 0.25, 1).collect()} == want
 
 
+def test_blocks_are_compared_in_pieces(monkeypatch):
+    """One block is held while the other passes by; no batch of pairs, and no meeting of words, is larger than a piece."""
+    monkeypatch.setattr(S, "PIECE", 7)
+    monkeypatch.setattr(S, "MEETINGS", 5)
+    rng = random.Random(4)
+    sets = sorted(({rng.randrange(60) for _ in range(rng.randrange(1, 40))} for _ in range(90)), key=len)
+    rows = [{"grp": "g", "low": 0, "high": high, "at_right": right, "id": i, "n": len(x), "lost": 0, "codes": sorted(x)} for high in (0, 1) for right in (0, 1)[: high + 1] for i, x in enumerate(sets) if i % 2 == right or not high and i % 2 == 0]
+    schema = pa.schema([("grp", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("at_right", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("lost", pa.int32()), ("codes", pa.list_(pa.int32()))])
+    out = pa.schema([("grp", pa.string()), ("a_id", pa.int64()), ("b_id", pa.int64())])
+    parts = list(S._near(0.25, 1, 8, 3, out)(iter(pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=11))))
+    got = sorted(tuple(sorted((r["a_id"], r["b_id"]))) for b in parts for r in b.to_pylist())
+    want = sorted((i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and not (i % 2 and j % 2) and len(x & y) / len(x | y) >= 0.25)
+    assert got == want and len(want) > 100 and max(map(len, parts)) <= 7
+
+
+def test_long_texts_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "WORDS", 100)
+    monkeypatch.setattr(S, "_near", lambda *a: lambda batches: (pa.RecordBatch.from_arrays([b["grp"], b["id"], pa.array([low * 1000 + high for low, high in zip(b["low"].to_pylist(), b["high"].to_pylist(), strict=True)], pa.int64())], ["grp", "a_id", "b_id"]) for b in batches))
+    frame = spark.createDataFrame([("g", i, [f"w{i}-{k}" for k in range(50)]) for i in range(40)], "grp string, id long, own array<string>")
+    held = {r.left_id if r.left_id >= 40 else r.right_id for r in S._close(frame, 0.25, 1).collect()}
+    assert len(held) > 100
+
+
 @pytest.mark.parametrize("block", [2, 2000])
 @pytest.mark.parametrize("top", [1, 3, 40])
 def test_retrieval_equals_full_ranking(spark, monkeypatch, top, block):
