@@ -151,6 +151,27 @@ def test_long_texts_make_more_blocks(spark, monkeypatch):
     assert len(held) > 100
 
 
+def test_relationships_do_no_more_than_the_largest_overlap_needs(spark, monkeypatch):
+    """Groups whose largest overlap is at each level, against every pair; the blocks of all pairs only get groups that nothing before settles."""
+    rng = random.Random(12)
+    word = lambda g, k: f"{g}w{k}"
+    rows = [(g, i, " ".join(word(g, rng.randrange(400)) for _ in range(30))) for g in ("same", "near", "half", "some", "none") for i in range(12)]
+    rows += [("same", 50, "a b c"), ("same", 51, "c b a a"), ("one", 1, "a b"), (None, 1, "a b"), (None, 2, "a b"), ("empty", 1, ""), ("empty", 2, None), ("twice", 1, "a b"), ("twice", 1, "b a"), ("twice", 2, "c")]
+    for g, n in (("near", 1), ("half", 6), ("some", 16)):
+        rows += [(g, 60, " ".join(f"x{k}" for k in range(30))), (g, 61, " ".join(f"x{k}" for k in range(n, 30 + n)))]
+    given = []
+    close = S._close
+    monkeypatch.setattr(S, "_close", lambda classes, *a: given.extend(r.grp for r in classes.select("grp").distinct().collect()) or close(classes, *a))
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [(i, {*(t or "").split()}) for h, i, t in rows if h == g]
+        best = max((len(x & y) / len(x | y) for k, (i, x) in enumerate(own) for j, y in own[k + 1 :] if g and i != j and x and y), default=0)
+        want[g] = 1.0 if len(own) <= 1 else round(best, 6) if best >= L.RELATED_OVERLAP else 0.0
+    got = {r.grp: r.overlap for r in T.relationships(spark.createDataFrame(rows, "grp string, id int, text string")).collect()}
+    assert got == want and want["same"] == 1 and 0.8 <= want["near"] < 1 and 0.5 <= want["half"] < 0.8 and 0.25 <= want["some"] < 0.5
+    assert {*given} == {"some", "none", "one", "twice"}
+
+
 @pytest.mark.parametrize("block", [2, 2000])
 @pytest.mark.parametrize("top", [1, 3, 40])
 def test_retrieval_equals_full_ranking(spark, monkeypatch, top, block):
