@@ -151,6 +151,15 @@ def test_long_texts_make_more_blocks(spark, monkeypatch):
     assert len(held) > 100
 
 
+def test_words_are_taken_out_of_texts_once(spark, monkeypatch):
+    """What counts words and looks them up gets written sets, not texts."""
+    given, plain = [], S.by_rarity
+    monkeypatch.setattr(S, "by_rarity", lambda classes: given.append(classes._jdf.queryExecution().toString()) or plain(classes))
+    rows = [("g", i, f"{'no' if i % 2 else 'yes'} term{i % 3} term{i % 5} plan budget") for i in range(20)]
+    assert T.contradictions(spark.createDataFrame(rows, "source_id string, segment_index int, text string")).count()
+    assert len(given) == 1 and "Aggregate" not in given[0] and "regexp" not in given[0]
+
+
 def test_relationships_do_no_more_than_the_largest_overlap_needs(spark, monkeypatch):
     """Groups whose largest overlap is at each level, against every pair; the blocks of all pairs only get groups that nothing before settles."""
     rng = random.Random(12)
